@@ -1,0 +1,14 @@
+"""Join helpers shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast only when a count proves the side small; else leave it to the
+    planner, which shuffles and splits skewed partitions."""
+    seen = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if seen <= max_rows else df
