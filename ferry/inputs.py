@@ -229,12 +229,12 @@ RULES: dict[str, list[tuple[str, tuple[str, ...], str | None]]] = {
     "ledger": [
         (
             "orders",
-            (*_LEDGER_TAIL, "'PENDING' as status", "cast(0 as bigint) as rows_done", "cast(null as string) as error", "o_orderdate as at"),
+            (*_LEDGER_TAIL, "'PENDING' as status", "cast(0 as bigint) as rows_done", "cast(null as string) as error", "o_orderdate as noted_at"),
             None,
         ),
         (
             "orders",
-            (*_LEDGER_TAIL, "'RUNNING' as status", "cast(0 as bigint) as rows_done", "cast(null as string) as error", "o_orderdate + interval 60 second as at"),
+            (*_LEDGER_TAIL, "'RUNNING' as status", "cast(0 as bigint) as rows_done", "cast(null as string) as error", "o_orderdate + interval 60 second as noted_at"),
             "o_orderkey % 5 <> 2",
         ),
         (
@@ -244,7 +244,7 @@ RULES: dict[str, list[tuple[str, tuple[str, ...], str | None]]] = {
                 "case when o_orderkey % 5 = 0 then 'FAILED' else 'COMPLETED' end as status",
                 "cast(case when o_orderkey % 5 = 0 then 0 else o_orderkey % 1000 end as bigint) as rows_done",
                 "case when o_orderkey % 5 = 0 then concat('lost connection ', cast(o_orderkey as string)) end as error",
-                "o_orderdate + interval 120 second as at",
+                "o_orderdate + interval 120 second as noted_at",
             ),
             "o_orderkey % 5 not in (1, 2)",
         ),
@@ -290,7 +290,7 @@ RULES: dict[str, list[tuple[str, tuple[str, ...], str | None]]] = {
                 "case when event_id % 4 <> 3 then cast(event_id % 100 as double) end as progress_percent",
                 "case when event_id % 5 <> 2 then event_id * 10 end as rows_migrated",
                 "case when event_id % 6 = 5 then concat('step failed ', cast(event_id as string)) end as error",
-                "ts as at",
+                "ts as noted_at",
             ),
             None,
         )
@@ -318,7 +318,7 @@ RULES: dict[str, list[tuple[str, tuple[str, ...], str | None]]] = {
                 "event_id as batch_id",
                 "case when event_type in ('error', 'click', 'view') and event_id % 40 < 34 then 'ERROR'"
                 " when event_type = 'signup' then 'EMPTY' when event_id % 3 = 0 then 'APPLIED' else 'EMPTY' end as outcome",
-                "ts as at",
+                "ts as noted_at",
             ),
             None,
         )

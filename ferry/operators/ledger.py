@@ -9,12 +9,12 @@ from ferry.operators.metrics import change_counts
 from ferry.operators.ordered import latest_per_key
 from ferry.schemas import ERROR_TEXT_CHARS, STALL_SECONDS
 
-LEDGER = "migration_id bigint, chunk_id string, table_name string, status string, rows_done bigint, error string, at timestamp_ntz"
+LEDGER = "migration_id bigint, chunk_id string, table_name string, status string, rows_done bigint, error string, noted_at timestamp_ntz"
 
 
 def current_ledger(ledger: DataFrame) -> DataFrame:
     """Newest state row of each chunk; error texts are cut as when stored."""
-    now = latest_per_key(ledger, ["migration_id", "chunk_id"], ["at", "status"])
+    now = latest_per_key(ledger, ["migration_id", "chunk_id"], ["noted_at", "status"])
     return now.withColumn("error", F.substring("error", 1, ERROR_TEXT_CHARS))
 
 
@@ -22,7 +22,7 @@ def stalled_chunks(ledger_now: DataFrame, asof: str, limit_seconds: int = STALL_
     """Open chunks without news for longer than the limit, marked FAILED."""
     bound = F.lit(asof).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(limit_seconds))
     return (
-        ledger_now.where(F.col("status").isin("PENDING", "RUNNING") & (F.col("at") < bound))
+        ledger_now.where(F.col("status").isin("PENDING", "RUNNING") & (F.col("noted_at") < bound))
         .withColumn("status", F.lit("FAILED"))
         .withColumn("error", F.concat(F.lit("no progress for "), F.lit(str(limit_seconds)), F.lit(" seconds")))
     )
@@ -48,12 +48,12 @@ def start_guard(jobs: DataFrame) -> DataFrame:
 def apply_status_updates(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     """Fold progress messages into the jobs: the newest value of each field that
     was sent wins. COMPLETED forces 100 percent; COMPLETED and FAILED set the end time."""
-    when = F.struct("at", "update_id")
+    when = F.struct("noted_at", "update_id")
 
     def newest(name: str) -> Column:
         return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), when)).alias(f"_{name}")
 
-    ended = F.max(F.when(F.col("status").isin("COMPLETED", "FAILED"), F.col("at"))).alias("_ended")
+    ended = F.max(F.when(F.col("status").isin("COMPLETED", "FAILED"), F.col("noted_at"))).alias("_ended")
     forced = F.max(F.when(F.col("status") == "COMPLETED", when)).alias("_done_at")
     sent = F.max(F.when(F.col("progress_percent").isNotNull(), when)).alias("_sent_at")
     folded = updates.groupBy("migration_id").agg(

@@ -70,8 +70,8 @@ def daily_throughput(jobs: DataFrame, asof: str, days: int = 7) -> DataFrame:
             F.array(
                 F.struct(F.col("created_at").cast("date").alias("day"), F.lit("started").alias("what")),
                 F.struct(
-                    F.col("completed_at").cast("date"),
-                    F.when(F.col("status") == "COMPLETED", "completed").when(F.col("status") == "FAILED", "failed"),
+                    F.col("completed_at").cast("date").alias("day"),
+                    F.when(F.col("status") == "COMPLETED", "completed").when(F.col("status") == "FAILED", "failed").alias("what"),
                 ),
             )
         )
@@ -205,7 +205,7 @@ def stale_workers(heartbeats: DataFrame, asof: str, limit_seconds: int) -> DataF
     silent = F.timestamp_diff("SECOND", F.col("last_seen"), F.lit(asof).cast("timestamp_ntz"))
     return (
         heartbeats.groupBy("worker_id")
-        .agg(F.max("at").alias("last_seen"))
+        .agg(F.max("seen_at").alias("last_seen"))
         .withColumn("silent_seconds", silent)
         .where(F.col("silent_seconds") > limit_seconds)
     )

@@ -80,7 +80,7 @@ def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan:
         F.lit("COMPLETED").alias("status"),
         F.coalesce("stored", F.lit(0).cast("bigint")).alias("rows_done"),
         F.lit(None).cast("string").alias("error"),
-        F.lit(asof).cast("timestamp_ntz").alias("at"),
+        F.lit(asof).cast("timestamp_ntz").alias("noted_at"),
     )
     done.write.mode("append").parquet(ledger_path)
     return read_ledger(spark, ledger_path)

@@ -128,7 +128,7 @@ def upsert_rows(t: Inputs):
            case when c_name is null then 'c_name is null' end,
            case when c_nationkey = -1 then 'c_nationkey is not allowed' end,
            case when c_acctbal = 'n/a' then 'c_acctbal is not double' end,
-           case when copy_no > 0 then 'duplicate key' end], x -> x is not null), '; ') as reasons,
+           case when copy_no > 0 then 'duplicate key' end], lambda x: x is not null), '; ') as reasons,
          not (c_name is null or c_nationkey = -1 or c_acctbal = 'n/a' or copy_no > 0) as loaded
        from dirty""",
     ("dirty",),
@@ -332,7 +332,7 @@ def copy_pending_chunks(t: Inputs):
     finished = copy.chunks_of(t.orders.where("floor(o_orderkey / 1000) % 3 = 0"), plan).select(
         F.lit(1).cast("bigint").alias("migration_id"), "chunk_id", F.lit("orders").alias("table_name"),
         F.lit("COMPLETED").alias("status"), F.col("row_count").alias("rows_done"),
-        F.lit(None).cast("string").alias("error"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("at"),
+        F.lit(None).cast("string").alias("error"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("noted_at"),
     )
     finished.write.parquet(f"{root}/ledger")
     copy.copy_pending_chunks(t.spark, t.orders, root, plan, "run-2", "2024-01-02 00:00:00")
@@ -342,7 +342,7 @@ def copy_pending_chunks(t: Inputs):
 
 @query(
     "copy_table",
-    """select 1 as migration_id, 'customer' as table_name,
+    """select cast(1 as bigint) as migration_id, 'customer' as table_name,
          count(*) filter (where c_name is not null and c_nationkey <> -1 and c_acctbal <> 'n/a' and copy_no = 0) as rows_copied,
          count(distinct c_custkey // 100) as chunks_total, count(distinct c_custkey // 100) as chunks_completed, 100.0e0 as progress_percent
        from dirty""",

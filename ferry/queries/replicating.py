@@ -235,5 +235,5 @@ def event_rate_windows(t: Inputs):
        group by 1 having floor(epoch(timestamp '2024-01-31' - max(ts))) > 43200""",
 )
 def stale_workers(t: Inputs):
-    beats = t.events.select(F.col("user_id").alias("worker_id"), F.col("ts").alias("at"))
+    beats = t.events.select(F.col("user_id").alias("worker_id"), F.col("ts").alias("seen_at"))
     return metrics.stale_workers(beats, "2024-01-31 00:00:00", 43200)

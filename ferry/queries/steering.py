@@ -13,7 +13,7 @@ from ferry.sources import target as store
 ASOF = "2024-01-20 00:00:00"
 JOBS_ASOF = "2001-08-01 00:00:00"
 
-_LEDGER_NOW = """(select * exclude (rn) from (select *, row_number() over (partition by migration_id, chunk_id order by at desc, status desc) as rn
+_LEDGER_NOW = """(select * exclude (rn) from (select *, row_number() over (partition by migration_id, chunk_id order by noted_at desc, status desc) as rn
   from ledger) where rn = 1)"""
 
 
@@ -30,8 +30,8 @@ def chunk_ledger(t: Inputs):
 
 @query(
     "stalled_chunks",
-    f"""select migration_id, chunk_id, table_name, rows_done, at, 'FAILED' as status, 'no progress for 15 seconds' as error
-        from {_LEDGER_NOW} where status in ('PENDING', 'RUNNING') and at < timestamp '1999-01-01 00:00:00' - interval 15 second""",
+    f"""select migration_id, chunk_id, table_name, rows_done, noted_at, 'FAILED' as status, 'no progress for 15 seconds' as error
+        from {_LEDGER_NOW} where status in ('PENDING', 'RUNNING') and noted_at < timestamp '1999-01-01 00:00:00' - interval 15 second""",
     ("ledger",),
 )
 def stalled_chunks(t: Inputs):
@@ -70,7 +70,7 @@ def _last(field: str, test: str = "") -> str:
 @query(
     "apply_status_updates",
     f"""with f as (select migration_id, {_last('status')} as s, {_last('progress_percent')} as p, {_last('rows_migrated')} as r, {_last('error')} as e,
-           max(at) filter (where status in ('COMPLETED', 'FAILED')) as ended, max(update_id) filter (where status = 'COMPLETED') as done_at,
+           max(noted_at) filter (where status in ('COMPLETED', 'FAILED')) as ended, max(update_id) filter (where status = 'COMPLETED') as done_at,
            max(update_id) filter (where progress_percent is not null) as sent_at from status_updates group by 1)
        select migration_id, coalesce(s, status) as status,
          case when done_at is not null and (sent_at is null or done_at >= sent_at) then 100.0e0 else coalesce(p, progress_percent) end as progress_percent,
@@ -137,7 +137,7 @@ def cumulative_progress(t: Inputs):
     return out.select("migration_id", "chunk_id", "rows_so_far", "total_rows", "percent_so_far")
 
 
-_STREAK = """select migration_id, batch_id, outcome, at, cast(sum(case when outcome = 'ERROR' then 1 else 0 end)
+_STREAK = """select migration_id, batch_id, outcome, cast(sum(case when outcome = 'ERROR' then 1 else 0 end)
     over (partition by migration_id, island order by batch_id) as bigint) as error_run
   from (select *, sum(case when outcome = 'APPLIED' then 1 else 0 end) over (partition by migration_id order by batch_id) as island from poll_log)"""
 
@@ -320,9 +320,7 @@ def union_drift_events(t: Inputs):
     ("source_orders", "target_orders"),
 )
 def table_set_diff(t: Inputs):
-    # `place` reads from the source's side: new = only the source has it.
-    flipped = drift.set_diff(t.target_orders, t.source_orders, ["o_orderkey"])
-    return flipped
+    return drift.set_diff(t.source_orders, t.target_orders, ["o_orderkey"])
 
 
 def _named(kind: str, test: str) -> str:
