@@ -51,10 +51,10 @@ def plan_key_ranges(df: DataFrame, key: str, chunks: int, accuracy: int = 10_000
     narrow ranges. The first range also takes nulls and all below, the last all
     above: together they cover every row.
     """
-    cuts = F.array_distinct(
-        F.percentile_approx(key, [i / chunks for i in range(1, chunks)], accuracy)
-    ) if chunks > 1 else F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")
-    bounds = df.agg(cuts.alias("_cuts")).select(F.coalesce("_cuts", F.array().cast("array<bigint>")).alias("_cuts"))
+    none = F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")
+    shares = [i / chunks for i in range(1, chunks)] or [0.5]
+    cuts = F.array_distinct(F.percentile_approx(key, shares, accuracy)) if chunks > 1 else F.first(none)
+    bounds = df.agg(cuts.alias("_cuts")).select(F.coalesce("_cuts", none).alias("_cuts"))
     ranges = F.transform(
         F.sequence(F.lit(0), F.size("_cuts")),
         lambda i: F.struct(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ferry.functions.convert import convert_columns
@@ -13,7 +12,7 @@ from ferry.functions.text import offset_chunk_id
 from ferry.operators import ledger as states, quality
 from ferry.operators.joins import broadcast_if_small
 from ferry.plans.chunks import pending_chunks, stride_chunk
-from ferry.sources import target as store
+from ferry.sources import files, target as store
 
 
 @dataclass(frozen=True)
@@ -32,10 +31,7 @@ class CopyPlan:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(states.LEDGER).parquet(path)
-    except AnalysisException:
-        return None
+    return spark.read.schema(states.LEDGER).parquet(path) if files.exists(spark, path) else None
 
 
 def with_chunk(rows: DataFrame, plan: CopyPlan) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -12,11 +12,9 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_lake(df: DataFrame, path: str, partition_by: Sequence[str], mode: str = "overwrite") -> None:
-    """Partitioned Parquet. The round-robin salt in front of the write keeps one
-    hot partition value from being written by a single task, while each value
-    still gets a bounded number of files."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(8))
-    df.repartition(*partition_by, salt).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    """Partitioned Parquet. The rebalance in front of the write brings a value's
+    rows together, and adaptive execution splits a hot value over several tasks."""
+    df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def export_csv(df: DataFrame, path: str, visible: Sequence[str], order: Sequence[Column] = ()) -> None:

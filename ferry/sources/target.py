@@ -12,63 +12,92 @@ Where the session's catalog supports MERGE INTO, use ``merge_into`` instead.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ferry.operators.ordered import latest_per_key
 from ferry.session import fresh_dir, parallelism
+from ferry.sources import files
 
 _COMMIT = "_bucket int, _folder string, version bigint, batch string, buckets int"
+CONTROL = ("_lsn", "_event_id", "_deleted")
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame | None:
     """The commit log, or None before the first commit."""
-    try:
-        return spark.read.schema(_COMMIT).parquet(f"{root}/commits")
-    except AnalysisException:
-        return None
-
-
-def _state(spark: SparkSession, root: str, as_of: int | None = None) -> tuple[dict[int, str], int, int, set[str]]:
-    """Folder per bucket, last version, bucket count, committed batches.
-
-    Only the newest row of each bucket is fetched: at most one row per bucket.
-    """
-    log = commits(spark, root)
-    if log is None:
-        return {}, 0, 0, set()
-    seen = log if as_of is None else log.where(F.col("version") <= as_of)
-    last = log.agg(F.max("version").alias("v"), F.max("buckets").alias("n")).first()
-    rows = seen.groupBy("_bucket").agg(F.max_by("_folder", "version").alias("_folder")).collect()
-    done = {r.batch for r in log.select("batch").distinct().collect()}
-    return {r._bucket: r._folder for r in rows if r._folder}, last.v or 0, last.n or 0, done
+    path = f"{root}/commits"
+    return spark.read.schema(_COMMIT).parquet(path) if files.exists(spark, path) else None
+
+
+class _State:
+    """What is current: folder per bucket, last version, bucket count. One small
+    job; it fetches one row per bucket, however long the log is."""
+
+    def __init__(self, spark: SparkSession, root: str, as_of: int | None = None, batch: str | None = None):
+        self.folders: dict[int, str] = {}
+        self.version, self.buckets, self.committed = 0, 0, False
+        log = commits(spark, root)
+        if log is None:
+            return
+        version = F.col("version")
+        seen = version if as_of is None else F.when(version <= as_of, version)
+        rows = log.groupBy("_bucket").agg(
+            F.max_by("_folder", seen).alias("folder"),
+            F.max("version").alias("version"),
+            F.max("buckets").alias("buckets"),
+            F.max(F.col("batch") == F.lit(batch or "")).alias("committed"),
+        )
+        for r in rows.collect():
+            if r.folder:
+                self.folders[r._bucket] = r.folder
+            self.version = max(self.version, r.version)
+            self.buckets = r.buckets
+            self.committed |= r.committed
 
 
 def _read_folders(spark: SparkSession, root: str, folders: dict[int, str]) -> DataFrame:
     paths = [f"{root}/data/_bucket={b}/_batch={f}" for b, f in sorted(folders.items())]
-    return spark.read.option("basePath", f"{root}/data").parquet(*paths)
+    base = spark.read.option("basePath", f"{root}/data")
+    return base.schema(base.parquet(paths[0]).schema).parquet(*paths)
 
 
 def read_target(spark: SparkSession, root: str, as_of: int | None = None, control: bool = False) -> DataFrame:
     """Current rows, or the rows as of an earlier version. Rows marked deleted and
     control columns are left out unless ``control`` is set."""
-    folders, *_ = _state(spark, root, as_of)
-    if not folders:
+    state = _State(spark, root, as_of)
+    if not state.folders:
         raise ValueError(f"nothing committed under {root}")
-    rows = _read_folders(spark, root, folders)
+    rows = _read_folders(spark, root, state.folders).drop("_bucket", "_batch")
     if control:
-        return rows.drop("_bucket", "_batch")
+        return rows
     if "_deleted" in rows.columns:
         rows = rows.where(~F.col("_deleted"))
-    return rows.drop(*[c for c in rows.columns if c.startswith("_") and c != "_chunk_id"])
+    return rows.drop(*CONTROL)
 
 
 def _commit(spark: SparkSession, root: str, folders: dict[int, str | None], version: int, batch: str, buckets: int) -> None:
-    rows = [(b, f, version, batch, buckets) for b, f in sorted(folders.items())] or [(-1, None, version, batch, buckets)]
-    spark.createDataFrame(rows, _COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    """Append one file, which appears whole or not at all. At most a row per bucket."""
+    named = sorted(folders.items()) or [(-1, None)]
+    rows = [{"_bucket": b, "_folder": f, "version": version, "batch": batch, "buckets": buckets} for b, f in named]
+    listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_COMMIT}>>")
+    spark.range(0, 1, 1, 1).select(F.inline(listed)).write.mode("append").parquet(f"{root}/commits")
+
+
+def _aligned(rows: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Shuffle so that each bucket lies in one task, which then writes one file
+    per bucket. The bucket number is Spark's own hash partitioning of the keys."""
+    if buckets == parallelism(rows.sparkSession):
+        return rows.repartition(*keys)
+    return rows.repartition(buckets, *keys)
+
+
+def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
 def upsert(
@@ -87,49 +116,64 @@ def upsert(
     keys must be unique in the batch. ``guard`` names columns that must be
     greater than the stored ones, else the stored row stays. Returns the version.
     """
-    folders, version, known, done = _state(spark, root)
-    if batch in done:
-        return version
-    count = known or buckets or parallelism(spark)
-    # Same hash as Spark's shuffle: with `count` equal to the shuffle partitions,
-    # rows grouped by key are already grouped by bucket.
-    bucketed = (latest_per_key(rows, list(keys), list(order)) if order else rows).withColumn(
-        "_bucket", F.pmod(F.hash(*keys), F.lit(count))
-    )
+    keys = list(keys)
+    state = _State(spark, root, batch=batch)
+    if state.committed:
+        return state.version
+    count = state.buckets or buckets or parallelism(spark)
+    if order:
+        rows = latest_per_key(rows, keys, list(order))
+    # The grouping above has already shuffled by key into as many partitions as
+    # the session uses; another shuffle is only needed for another bucket count.
+    if not order or count != parallelism(spark):
+        rows = _aligned(rows, keys, count)
+    rows = rows.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(count)))
     folder = f"{batch}-{uuid.uuid4().hex[:8]}"
-    if not folders:
-        made = _write(bucketed, root, folder)
+    if not state.folders:
+        made = _write(rows, root, folder)
     else:
-        staged_path = fresh_dir(spark, "staged")
-        bucketed.write.partitionBy("_bucket").parquet(staged_path)
-        staged = spark.read.schema(bucketed.schema).parquet(staged_path)
-        touched = [r._bucket for r in staged.select("_bucket").distinct().collect()]
-        old = {b: folders[b] for b in touched if b in folders}
-        if old:
-            stored = _read_folders(spark, root, old).drop("_batch")
-            if guard:
-                staged = _newer_only(staged, stored, keys, guard)
-            staged = stored.join(staged.select(*keys), list(keys), "left_anti").unionByName(staged)
-        made = _write(staged, root, folder) if touched else []
-    _commit(spark, root, {b: folder for b in made}, version + 1, batch, count)
-    return version + 1
-
-
-def _newer_only(staged: DataFrame, stored: DataFrame, keys: Sequence[str], guard: Sequence[str]) -> DataFrame:
-    held = stored.select(*keys, F.struct(*guard).alias("_held"))
-    joined = staged.join(held, list(keys), "left")
-    return joined.where(F.col("_held").isNull() | (F.struct(*guard) > F.col("_held"))).drop("_held")
+        made = _merge(spark, root, rows, keys, list(guard), state.folders, folder, count)
+    _commit(spark, root, {b: folder for b in made}, state.version + 1, batch, count)
+    return state.version + 1
+
+
+def _merge(
+    spark: SparkSession, root: str, rows: DataFrame, keys: list[str], guard: list[str], current: dict[int, str], folder: str, count: int
+) -> list[int]:
+    """Rewrite the buckets the batch touches: stored rows without a successor, and
+    the batch. Only the stored keys of those buckets meet the batch in a join."""
+    path = fresh_dir(spark, "staged")
+    rows.write.partitionBy("_bucket").parquet(path)
+    touched = _bucket_numbers(files.folders(spark, f"{path}/_bucket=*"))
+    if not touched:
+        return []
+    staged = spark.read.schema(rows.schema).parquet(path)
+    old = {b: current[b] for b in touched if b in current}
+    if old:
+        stored = _read_folders(spark, root, old).drop("_batch")
+        if guard:
+            held = stored.select(*keys, F.struct(*guard).alias("_held"))
+            paired = staged.join(held, _same_key(staged, held, keys), "left")
+            newer = F.col("_held").isNull() | (F.struct(*[staged[g] for g in guard]) > F.col("_held"))
+            staged = paired.where(newer).select(*[staged[c] for c in staged.columns])
+        next_keys = staged.select(*[F.col(k).alias(k) for k in keys])
+        kept = stored.join(next_keys, _same_key(stored, next_keys, keys), "left_anti")
+        staged = kept.unionByName(staged)
+        if count != parallelism(spark):
+            staged = _aligned(staged, keys, count)
+    made = _write(staged, root, folder)
+    files.discard(spark, path)
+    return made
 
 
 def _write(rows: DataFrame, root: str, folder: str) -> list[int]:
     """Write the folders of one try and return the buckets that got rows."""
-    spark = rows.sparkSession
     rows.withColumn("_batch", F.lit(folder)).write.mode("append").partitionBy("_bucket", "_batch").parquet(f"{root}/data")
-    try:
-        written = spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data/_bucket=*/_batch={folder}")
-    except AnalysisException:
-        return []
-    return [r._bucket for r in written.select("_bucket").distinct().collect()]
+    return _bucket_numbers(files.folders(rows.sparkSession, f"{root}/data/_bucket=*/_batch={folder}"))
+
+
+def _bucket_numbers(paths: list[str]) -> list[int]:
+    return sorted(int(re.search(r"_bucket=(\d+)", p).group(1)) for p in paths)
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
@@ -139,12 +183,27 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
 
 def roll_back(spark: SparkSession, root: str, to_version: int, batch: str) -> int:
     """Make an earlier version current again by committing its folder names."""
-    now, version, count, done = _state(spark, root)
-    if batch in done:
-        return version
-    then, *_ = _state(spark, root, to_version)
-    _commit(spark, root, {b: then.get(b) for b in now | then}, version + 1, batch, count)
-    return version + 1
+    now = _State(spark, root, batch=batch)
+    if now.committed:
+        return now.version
+    then = _State(spark, root, to_version).folders
+    _commit(spark, root, {b: then.get(b) for b in now.folders | then}, now.version + 1, batch, now.buckets)
+    return now.version + 1
+
+
+def purge_deleted(spark: SparkSession, root: str, before_lsn: int, keys: Sequence[str], batch: str) -> int:
+    """Drop rows marked deleted before a log position: no event that old can come
+    again, so their marks are not needed any more."""
+    state = _State(spark, root, batch=batch)
+    if state.committed or not state.folders:
+        return state.version
+    rows = _read_folders(spark, root, state.folders).drop("_batch")
+    kept = rows.where(~(F.col("_deleted") & (F.col("_lsn") < F.lit(before_lsn))))
+    folder = f"{batch}-{uuid.uuid4().hex[:8]}"
+    made = _write(_aligned(kept, list(keys), state.buckets), root, folder)
+    now = {b: (folder if b in made else None) for b in state.folders}
+    _commit(spark, root, now, state.version + 1, batch, state.buckets)
+    return state.version + 1
 
 
 def merge_into(spark: SparkSession, table: str, rows: DataFrame, keys: Sequence[str], deleted: str | None = None) -> None:

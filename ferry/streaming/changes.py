@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -177,7 +178,7 @@ def replicate(
 
 def start_apply(
     stream: DataFrame, root: str, checkpoint: str, row: T.StructType | str, key: str,
-    on_batch: Callable[[DataFrame, int], None] | None = None, max_errors: int = MAX_CONSECUTIVE_ERRORS, once: bool = True,
+    on_batch: Callable[[DataFrame, int], None] | None = None, max_errors: int = MAX_CONSECUTIVE_ERRORS, back_off: float = 2.0, once: bool = True,
 ) -> StreamingQuery:
     """Keep a target in step with a stream of changes.
 
@@ -194,6 +195,7 @@ def start_apply(
             except Exception:
                 if attempt == max_errors:
                     raise
+                time.sleep(back_off)
         if on_batch:
             on_batch(batch, batch_id)
 
