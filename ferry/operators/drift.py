@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ferry.functions.images import change_details
 
@@ -71,14 +71,25 @@ def read_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return columns, parsed.select(*TABLE, F.explode("d.indexes").alias("index_name"))
 
 
-def _sides(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    return before.withColumn("_b", F.lit(True)).join(after.withColumn("_a", F.lit(True)), keys, "full_outer")
+def _sides(before: DataFrame, after: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
+    """Keys of both sides with ``before``/``after`` marks and the values each side
+    has for them. One shuffle with partial aggregation, no join."""
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        out = [F.lit(tag == t).alias(t) for t in ("before", "after")]
+        for name, value in values.items():
+            out += [(value if tag == t else F.lit(None).cast("string")).alias(f"{t}_{name}") for t in ("before", "after")]
+        return df.select(*keys, *out)
+
+    both = side(before, "before").unionByName(side(after, "after"))
+    names = [c for c in both.columns if c not in keys]
+    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in names])
 
 
 def set_diff(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every key with where it is: new (source only), removed (target only), common."""
-    both = _sides(source.select(*keys).distinct(), target.select(*keys).distinct(), list(keys))
-    place = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "removed").otherwise("common")
+    both = _sides(source, target, keys)
+    place = F.when(~F.col("after"), "new").when(~F.col("before"), "removed").otherwise("common")
     return both.select(*keys, place.alias("place"))
 
 
@@ -92,94 +103,144 @@ def _event(change: Column, risk: Column, approval: Column, name: Column, details
     ]
 
 
+def _table_event(new: Column) -> list[Column]:
+    action = F.when(new, "table_added").otherwise("table_dropped")
+    return _event(
+        F.when(new, "CREATE_TABLE").otherwise("DROP_TABLE"),
+        F.when(new, "MODERATE").otherwise("CRITICAL"),
+        F.lit(True),
+        F.lit(None).cast("string"),
+        change_details(action, F.col("table_name")),
+    )
+
+
+def _column_event(status: Column, name: Column, before: Column, after: Column) -> list[Column]:
+    added, altered = status == "ADDED", status == "ALTERED"
+    details = change_details(
+        F.concat(F.lit("column_"), F.lower(status)),
+        F.col("table_name"),
+        column=name,
+        before_type=F.when(altered, before),
+        after_type=F.when(altered, after),
+    )
+    return _event(
+        F.when(added, "ADD_COLUMN").when(altered, "ALTER_TABLE").otherwise("DROP_COLUMN"),
+        F.when(added, "MODERATE").otherwise("HIGH"),
+        ~added,
+        name,
+        details,
+    )
+
+
+def _index_event(new: Column, name: Column) -> list[Column]:
+    action = F.when(new, "index_added").otherwise("index_dropped")
+    return _event(
+        F.when(new, "CREATE_INDEX").otherwise("DROP_INDEX"),
+        F.when(new, "SAFE").otherwise("MODERATE"),
+        ~new,
+        name,
+        change_details(action, F.col("table_name"), index=name),
+    )
+
+
 def table_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """Tables that came (CREATE_TABLE, MODERATE) or went (DROP_TABLE, CRITICAL);
     both need approval."""
     moved = set_diff(after, before, TABLE).where(F.col("place") != "common")
-    new = F.col("place") == "new"
-    action = F.when(new, "table_added").otherwise("table_dropped")
-    return moved.select(
-        *TABLE,
-        *_event(
-            F.when(new, "CREATE_TABLE").otherwise("DROP_TABLE"),
-            F.when(new, "MODERATE").otherwise("CRITICAL"),
-            F.lit(True),
-            F.lit(None).cast("string"),
-            change_details(action, F.col("table_name")),
-        ),
-    )
+    return moved.select(*TABLE, *_table_event(F.col("place") == "new"))
 
 
-def _common_tables(before: DataFrame, after: DataFrame) -> DataFrame:
-    return before.select(*TABLE).distinct().join(after.select(*TABLE).distinct(), TABLE, "left_semi")
+def _type_status(strict: bool) -> Column:
+    same = F.col("before_type").eqNullSafe(F.col("after_type"))
+    if strict:
+        same = same & F.col("before_nullable").eqNullSafe(F.col("after_nullable"))
+    return F.when(~F.col("before"), "ADDED").when(~F.col("after"), "DROPPED").when(~same, "ALTERED").otherwise("SAME")
 
 
 def diff_columns(before: DataFrame, after: DataFrame, strict: bool = False) -> DataFrame:
     """Columns of both sides matched by name: ADDED, DROPPED, ALTERED or SAME.
     Nullability counts only when ``strict``."""
+    nullable = F.col("nullable").cast("string")
+    both = _sides(before, after, [*TABLE, "column_name"], type=F.col("type_text"), nullable=nullable)
+    return both.select(*TABLE, "column_name", "before_type", "after_type", _type_status(strict).alias("column_status"))
 
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*TABLE, "column_name", F.col("type_text").alias(f"{tag}_type"), F.col("nullable").alias(f"{tag}_nullable"))
 
-    both = _sides(side(before, "before"), side(after, "after"), [*TABLE, "column_name"])
-    same = F.col("before_type").eqNullSafe(F.col("after_type"))
-    if strict:
-        same = same & F.col("before_nullable").eqNullSafe(F.col("after_nullable"))
-    status = (
-        F.when(F.col("_b").isNull(), "ADDED").when(F.col("_a").isNull(), "DROPPED").when(~same, "ALTERED").otherwise("SAME")
+def _findings(columns: tuple[DataFrame, DataFrame], indexes: tuple[DataFrame, DataFrame] | None, strict: bool) -> DataFrame:
+    """Columns and indexes of both snapshots, matched, with whether their table is
+    in both.
+
+    Everything is shuffled once, by table; matching by name and the look at the
+    whole table then find their rows in place. A table's facts are as many as its
+    columns and indexes.
+    """
+
+    def facts(df: DataFrame, kind: str, name: str, tag: str, shape: Column, nullable: Column) -> DataFrame:
+        return df.select(
+            *TABLE, F.lit(kind).alias("kind"), F.col(name).alias("name"),
+            F.lit(tag == "before").alias("before"), F.lit(tag == "after").alias("after"),
+            shape.alias("type_text"), nullable.cast("string").alias("nullable"),
+        )
+
+    none, listed = F.lit(""), None
+    for i, tag in enumerate(("before", "after")):
+        parts = [facts(columns[i], "column", "column_name", tag, F.col("type_text"), F.col("nullable"))]
+        if indexes:
+            parts.append(facts(indexes[i], "index", "index_name", tag, none, none))
+        for part in parts:
+            listed = part if listed is None else listed.unionByName(part)
+    sided = [
+        F.max(F.when(F.col(tag), F.col(value))).alias(f"{tag}_{name}")
+        for tag in ("before", "after") for name, value in (("type", "type_text"), ("nullable", "nullable"))
+    ]
+    matched = listed.repartition(*TABLE).groupBy(*TABLE, "kind", "name").agg(
+        F.max("before").alias("before"), F.max("after").alias("after"), *sided
     )
-    return both.select(*TABLE, "column_name", "before_type", "after_type", status.alias("column_status"))
+    whole = Window.partitionBy(*TABLE)
+    is_column = F.col("kind") == "column"
+    return (
+        matched.withColumn("table_before", F.max(is_column & F.col("before")).over(whole))
+        .withColumn("table_after", F.max(is_column & F.col("after")).over(whole))
+        .withColumn("place", F.row_number().over(whole.orderBy("kind", "name")))
+        .withColumn("column_status", _type_status(strict))
+    )
+
+
+
+
+def _in_both() -> Column:
+    return F.col("table_before") & F.col("table_after")
 
 
 def column_drift(before: DataFrame, after: DataFrame, strict: bool = False) -> DataFrame:
     """Column changes of tables both snapshots have."""
-    changed = diff_columns(before, after, strict).where(F.col("column_status") != "SAME")
-    status = F.col("column_status")
-    added, dropped = status == "ADDED", status == "DROPPED"
-    altered = status == "ALTERED"
-    details = change_details(
-        F.when(added, "column_added").when(dropped, "column_dropped").otherwise("column_altered"),
-        F.col("table_name"),
-        column=F.col("column_name"),
-        before_type=F.when(altered, F.col("before_type")),
-        after_type=F.when(altered, F.col("after_type")),
-    )
-    return changed.join(_common_tables(before, after), TABLE, "left_semi").select(
-        *TABLE,
-        *_event(
-            F.when(added, "ADD_COLUMN").when(dropped, "DROP_COLUMN").otherwise("ALTER_TABLE"),
-            F.when(added, "MODERATE").otherwise("HIGH"),
-            ~added,
-            F.col("column_name"),
-            details,
-        ),
-    )
+    found = _findings((before, after), None, strict).where(_in_both() & (F.col("column_status") != "SAME"))
+    return found.select(*TABLE, *_column_event(*[F.col(c) for c in ("column_status", "name", "before_type", "after_type")]))
 
 
 def index_drift(before: DataFrame, after: DataFrame, tables_before: DataFrame, tables_after: DataFrame) -> DataFrame:
     """Index changes of tables both snapshots have: added is SAFE, dropped MODERATE."""
-    moved = set_diff(after, before, [*TABLE, "index_name"]).where(F.col("place") != "common")
-    new = F.col("place") == "new"
-    action = F.when(new, "index_added").otherwise("index_dropped")
-    return moved.join(_common_tables(tables_before, tables_after), TABLE, "left_semi").select(
-        *TABLE,
-        *_event(
-            F.when(new, "CREATE_INDEX").otherwise("DROP_INDEX"),
-            F.when(new, "SAFE").otherwise("MODERATE"),
-            ~new,
-            F.col("index_name"),
-            change_details(action, F.col("table_name"), index=F.col("index_name")),
-        ),
-    )
+    found = _findings((typed(tables_before), typed(tables_after)), (before, after), False)
+    moved = found.where(_in_both() & (F.col("kind") == "index") & (F.col("before") != F.col("after")))
+    return moved.select(*TABLE, *_index_event(F.col("after"), F.col("name")))
 
 
-def drift_between(before: DataFrame, after: DataFrame, indexes_before: DataFrame, indexes_after: DataFrame) -> DataFrame:
-    """Table, column and index findings in one list."""
-    return (
-        table_drift(before, after)
-        .unionByName(column_drift(before, after))
-        .unionByName(index_drift(indexes_before, indexes_after, before, after))
+def drift_between(before: DataFrame, after: DataFrame, indexes_before: DataFrame, indexes_after: DataFrame, strict: bool = False) -> DataFrame:
+    """Table, column and index findings in one list, from one pass over both
+    snapshots. A table that came or went is told once and its parts are not."""
+    found = _findings((before, after), (indexes_before, indexes_after), strict)
+    status, name = F.col("column_status"), F.col("name")
+    is_column = F.col("kind") == "column"
+    events = F.array_compact(
+        F.array(
+            F.when(~_in_both() & (F.col("place") == 1) & (F.col("table_before") | F.col("table_after")), F.struct(*_table_event(F.col("table_after")))),
+            F.when(
+                _in_both() & is_column & (status != "SAME"),
+                F.struct(*_column_event(status, name, F.col("before_type"), F.col("after_type"))),
+            ),
+            F.when(_in_both() & ~is_column & (F.col("before") != F.col("after")), F.struct(*_index_event(F.col("after"), name))),
+        )
     )
+    return found.select(*TABLE, F.inline(events))
 
 
 def compare_schemas(
@@ -187,13 +248,13 @@ def compare_schemas(
     source_fks: DataFrame, target_fks: DataFrame, strict: bool = False,
 ) -> DataFrame:
     """Per table that differs: NEW, REMOVED or MODIFIED with the sorted names that
-    differ, as comma lists. All facts go through one grouping by table."""
+    differ, as comma lists. All facts are shuffled once, by table."""
 
     def facts(df: DataFrame, side: str, kind: str, name: Column, shape: Column) -> DataFrame:
         return df.select(*TABLE, F.lit(side).alias("side"), F.lit(kind).alias("kind"), name.alias("name"), shape.alias("shape"))
 
     keys = ["column_type", "nullable", "max_length"] + (["num_precision", "num_scale"] if strict else [])
-    shape = F.to_json(F.struct(*keys))
+    shape = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys])
     none = F.lit("")
     listed = None
     for side, columns, indexes, fks in (("s", source, source_indexes, source_fks), ("t", target, target_indexes, target_fks)):
@@ -203,34 +264,37 @@ def compare_schemas(
             facts(fks, side, "foreign_key", F.col("constraint_name"), none),
         ):
             listed = part if listed is None else listed.unionByName(part)
-    matched = listed.groupBy(*TABLE, "kind", "name").agg(
+    matched = listed.repartition(*TABLE).groupBy(*TABLE, "kind", "name").agg(
         F.max(F.when(F.col("side") == "s", F.col("shape"))).alias("s"),
         F.max(F.when(F.col("side") == "t", F.col("shape"))).alias("t"),
     )
-
-    def names(kind: str, test: Column) -> Column:
-        return F.array_join(F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & test, F.col("name")))), ",")
-
-    only_s, only_t, differs = F.col("t").isNull(), F.col("s").isNull(), F.col("s") != F.col("t")
     is_column = F.col("kind") == "column"
-    per_table = matched.groupBy(*TABLE).agg(
-        F.count_if(is_column & F.col("s").isNotNull()).alias("_s"),
-        F.count_if(is_column & F.col("t").isNotNull()).alias("_t"),
-        names("column", only_s).alias("new_columns"),
-        names("column", only_t).alias("removed_columns"),
-        names("column", differs).alias("modified_columns"),
-        names("index", only_s).alias("new_indexes"),
-        names("index", only_t).alias("removed_indexes"),
-        names("foreign_key", only_s).alias("new_foreign_keys"),
-        names("foreign_key", only_t).alias("removed_foreign_keys"),
+    how = F.when(F.col("t").isNull(), "new").when(F.col("s").isNull(), "removed").when(F.col("s") != F.col("t"), "modified")
+    per_table = matched.withColumn("how", how).groupBy(*TABLE).agg(
+        F.max(is_column & F.col("s").isNotNull()).alias("_s"),
+        F.max(is_column & F.col("t").isNotNull()).alias("_t"),
+        F.sort_array(F.collect_list(F.when(F.col("how").isNotNull(), F.struct("name", "kind", "how")))).alias("_differ"),
     )
-    lists = [c for c in per_table.columns if c.startswith(("new_", "removed_", "modified_"))]
-    status = F.when(F.col("_t") == 0, "NEW").when(F.col("_s") == 0, "REMOVED").otherwise("MODIFIED")
+
+    def names(how_: str, kind: str) -> Column:
+        picked = F.filter("_differ", lambda d: (d["how"] == how_) & (d["kind"] == kind))
+        return F.array_join(F.transform(picked, lambda d: d["name"]), ",")
+
+    lists = {
+        "new_columns": ("new", "column"),
+        "removed_columns": ("removed", "column"),
+        "modified_columns": ("modified", "column"),
+        "new_indexes": ("new", "index"),
+        "removed_indexes": ("removed", "index"),
+        "new_foreign_keys": ("new", "foreign_key"),
+        "removed_foreign_keys": ("removed", "foreign_key"),
+    }
+    status = F.when(~F.col("_t"), "NEW").when(~F.col("_s"), "REMOVED").otherwise("MODIFIED")
     whole = F.col("table_status") != "MODIFIED"
     return (
         per_table.withColumn("table_status", status)
-        .where(whole | (F.concat(*lists) != ""))
-        .select(*TABLE, "table_status", *[F.when(whole, "").otherwise(F.col(c)).alias(c) for c in lists])
+        .where(whole | (F.size("_differ") > 0))
+        .select(*TABLE, "table_status", *[F.when(whole, "").otherwise(names(*v)).alias(n) for n, v in lists.items()])
     )
 
 

@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+# Above this a double has no room for hundredths.
+MAX_HUNDREDTHS = 2.0**53 / 100
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -40,23 +44,29 @@ def compare_row_counts(source: DataFrame, target: DataFrame, by: Sequence[str])
 
 
 def canonical_text(column: Column, data_type: T.DataType) -> Column:
-    """One spelling per value, the same in other engines."""
+    """One spelling per value, the same in other engines: floating point as whole
+    hundredths, times as microseconds since 1970. Both are integer arithmetic,
+    which is far cheaper here than decimal or date formatting."""
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return column.cast("decimal(18,2)").cast("string")
+        hundredths = F.floor(column * 100.0 + 0.5)
+        return F.when(F.abs(column) < MAX_HUNDREDTHS, hundredths.cast("string")).otherwise(column.cast("string"))
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        epoch = F.lit("1970-01-01 00:00:00").cast(data_type)
+        return F.timestamp_diff("MICROSECOND", epoch, column).cast("string")
     return column.cast("string")
 
 
 def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """All fields in one text that no other row content can spell: each field is
-    led by its length, null is a lone dash."""
+    """All fields in one text that no other row content can spell: fields end at a
+    bar, texts (which may hold bars) are led by their length, null is a lone dash."""
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for name in columns or df.columns:
         text = canonical_text(F.col(f"`{name}`"), types[name])
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.concat(*parts)
+        if not isinstance(types[name], (T.NumericType, T.DatetimeType, T.BooleanType)):
+            text = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+        parts.append(F.coalesce(text, F.lit("-")))
+    return F.concat_ws("|", *parts)
 
 
 def table_checksum(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:

@@ -41,19 +41,21 @@ def _text_sql(columns: dict[str, str]) -> str:
     parts = []
     for name, kind in columns.items():
         spelled = {
-            "double": f"cast(cast({name} as decimal(18,2)) as varchar)",
-            "time": f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f')",
+            "double": f"cast(cast(floor({name} * 100.0e0 + 0.5e0) as bigint) as varchar)",
+            "time": f"cast(epoch_us({name}) as varchar)",
         }.get(kind, f"cast({name} as varchar)")
-        parts.append(f"coalesce(length({spelled}) || ':' || {spelled}, '-')")
-    return " || ".join(parts)
+        if kind == "text":
+            spelled = f"length({name}) || ':' || {name}"
+        parts.append(f"coalesce({spelled}, '-')")
+    return " || '|' || ".join(parts)
 
 
 _ORDERS = {
-    "o_orderkey": "", "o_custkey": "", "o_orderstatus": "", "o_totalprice": "double", "o_orderdate": "time", "o_orderpriority": "",
+    "o_orderkey": "", "o_custkey": "", "o_orderstatus": "text", "o_totalprice": "double", "o_orderdate": "time", "o_orderpriority": "text",
 }
 _LINES = {
     "l_orderkey": "", "l_partkey": "", "l_suppkey": "", "l_linenumber": "", "l_quantity": "double", "l_extendedprice": "double",
-    "l_discount": "double", "l_tax": "double", "l_returnflag": "", "l_linestatus": "", "l_shipdate": "time",
+    "l_discount": "double", "l_tax": "double", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time",
 }
 _SUM = "cast(cast(sum(cast('0x' || substr(md5({0}), 1, 8) as bigint)) as hugeint) as varchar)"
 
