@@ -72,37 +72,27 @@ def row_positions(df: DataFrame, order: Sequence[str], blocks: int | None = None
     )
 
 
-def _carry(tagged: DataFrame, keys: Sequence[str], value: Column, name: str, combine, start) -> DataFrame:
-    """Inclusive running ``combine`` of ``value`` per key over tagged blocks."""
-    group = [*keys, "_block"]
-    inside = Window.partitionBy(*group).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    marked = tagged.withColumn("_value", value)
-    carried = marked.groupBy(*group).agg(combine("_value").alias("_total")).select(
-        *group, combine("_total").over(earlier).alias("_carried")
-    )
-    local = marked.withColumn("_local", combine("_value").over(inside))
-    return local.join(carried, group).withColumn(name, start(F.col("_local"), F.col("_carried"))).drop(
-        "_value", "_local", "_carried"
-    )
-
-
-def _add(local: Column, carried: Column) -> Column:
-    return F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
+def _inside(keys: Sequence[str]):
+    return Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def running_sum(tagged: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    return _carry(tagged, keys, value, name, F.sum, _add)
+def _earlier(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running_max(tagged: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    return _carry(tagged, keys, value, name, F.max, F.greatest)
+def running_sum(tagged: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Inclusive running sum of a column per key over tagged blocks."""
+    totals = tagged.groupBy(*keys, "_block").agg(F.sum(value).alias("_total"))
+    carried = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(_earlier(keys)), F.lit(0)).alias("_carried"))
+    local = tagged.withColumn("_local", F.coalesce(F.sum(value).over(_inside(keys)), F.lit(0)))
+    summed = local.join(carried, [*keys, "_block"]).withColumn(name, F.col("_local") + F.col("_carried"))
+    return summed.drop("_local", "_carried")
 
 
 def cumulative_progress(rows: DataFrame, totals: DataFrame, key: str, order: Sequence[str], done: str, total: str) -> DataFrame:
     """Rows copied so far and percent of the key's total, in order."""
     tagged = ordered_blocks(rows, [*order])
-    counted = running_sum(tagged, [key], F.col(done), "rows_so_far").join(totals.select(key, total), key, "left")
+    counted = running_sum(tagged, [key], done, "rows_so_far").join(totals.select(key, total), key, "left")
     share = F.col("rows_so_far") * 100.0 / F.nullif(F.col(total).cast("double"), F.lit(0.0))
     percent = F.when(F.col(total) > 0, F.least(share, F.lit(100.0))).otherwise(F.lit(100.0))
     return counted.withColumn("percent_so_far", percent).drop("_block", "_pos")
@@ -112,17 +102,24 @@ def consecutive_errors(polls: DataFrame, key: str, order: Sequence[str], outcome
     """Length of the failure run at each poll. ``APPLIED`` ends a run, ``EMPTY``
     neither ends nor lengthens it.
 
-    With ``e`` the failures so far, the run length is ``e`` minus the value ``e``
-    had at the last applied batch, which is the running maximum of it.
+    Inside a block the run is the failures so far minus their number at the last
+    applied batch. A block that has not seen one yet adds the run it inherits:
+    failures of all earlier blocks minus their number at the last applied batch
+    before it, which only takes two figures per (key, block).
     """
     tagged = ordered_blocks(polls, [*order])
     failed = (F.col(outcome) == "ERROR").cast("bigint")
-    counted = running_sum(tagged, [key], failed, "_errors")
-    at_reset = F.when(F.col(outcome) == "APPLIED", F.col("_errors"))
-    counted = running_max(counted, [key], at_reset, "_base")
-    streak = (F.col("_errors") - F.coalesce("_base", F.lit(0))).cast("bigint")
+    local = tagged.withColumn("_failed", F.sum(failed).over(_inside([key])))
+    at_reset = F.when(F.col(outcome) == "APPLIED", F.col("_failed"))
+    local = local.withColumn("_reset", F.max(at_reset).over(_inside([key])))
+    blocks = local.groupBy(key, "_block").agg(F.max("_failed").alias("_sum"), F.max("_reset").alias("_last"))
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(_earlier([key])), F.lit(0)))
+    base = F.max(F.col("_before") + F.col("_last")).over(_earlier([key]))
+    blocks = blocks.select(key, "_block", (F.col("_before") - F.coalesce(base, F.lit(0))).alias("_inherited"))
+    run = F.when(F.col("_reset").isNotNull(), F.col("_failed") - F.col("_reset")).otherwise(F.col("_failed") + F.col("_inherited"))
     return (
-        counted.withColumn("error_run", streak)
+        local.join(blocks, [key, "_block"])
+        .withColumn("error_run", run)
         .withColumn("tripped", F.col("error_run") >= limit)
-        .drop("_block", "_pos", "_errors", "_base")
+        .drop("_block", "_pos", "_failed", "_reset", "_inherited")
     )

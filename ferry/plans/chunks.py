@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ferry.functions.numbers import chunk_count, fixed_chunk_rows, planned_chunk_rows
@@ -71,6 +73,19 @@ def range_bounds(ranges: DataFrame) -> list[tuple]:
     return [(r.low, r.high) for r in ranges.orderBy("chunk_no").collect()]
 
 
+def scan_ranges(df: DataFrame, key: str, bounds: list[tuple]) -> DataFrame:
+    """The table read range by range, each with its bounds in the scan. The open
+    first range also takes null keys."""
+    parts = []
+    for i, (low, high) in enumerate(bounds):
+        part = df if low is None else df.where(F.col(key) >= F.lit(low))
+        if high is not None:
+            below = F.col(key) < F.lit(high)
+            part = part.where(below | F.col(key).isNull() if i == 0 else below)
+        parts.append(part)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def stride_chunk(key: Column, stride: int) -> Column:
     """Chunk number of a dense numeric key."""
     return F.floor(key / F.lit(stride)).cast("bigint")

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ferry.functions.convert import convert_columns
 from ferry.functions.text import offset_chunk_id
 from ferry.operators import ledger as states, quality
-from ferry.operators.joins import broadcast_if_small
+from ferry.operators.joins import BROADCAST_ROWS, broadcast_if_small
 from ferry.plans.chunks import pending_chunks, stride_chunk
 from ferry.sources import files, target as store
+from ferry.sources.tables import scan_chunk
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,24 @@ def with_chunk(rows: DataFrame, plan: CopyPlan) -> DataFrame:
 
 
 def chunks_of(rows: DataFrame, plan: CopyPlan) -> DataFrame:
-    """The table's chunks with the rows found in each."""
-    return with_chunk(rows.select(plan.key), plan).groupBy(F.col("_chunk_id").alias("chunk_id")).agg(
-        F.count(F.lit(1)).alias("row_count")
-    )
+    """The table's chunks with their first key and the rows found in each."""
+    start = stride_chunk(F.col(plan.key), plan.stride) * plan.stride
+    counted = rows.select(start.alias("chunk_start")).groupBy("chunk_start").agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.withColumn("chunk_id", offset_chunk_id(F.lit(plan.migration_id), F.lit(plan.table), F.col("chunk_start")))
+
+
+def _rows_of(source: DataFrame, plan: CopyPlan, todo: DataFrame, done: DataFrame) -> DataFrame:
+    """Source rows of the open chunks. The span of their keys goes to the scan as a
+    plain filter; inside it the shorter list of chunks decides, broadcast when a
+    count shows it is short."""
+    span = todo.agg(F.min("chunk_start").alias("low"), F.max("chunk_start").alias("high")).first()
+    if span.low is None:
+        return with_chunk(source.limit(0), plan)
+    keyed = with_chunk(scan_chunk(source, plan.key, span.low, span.high + plan.stride), plan)
+    finished = done.select(F.col("chunk_id").alias("_chunk_id"))
+    if finished.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(finished), "_chunk_id", "left_anti")
+    return keyed.join(broadcast_if_small(todo.select(F.col("chunk_id").alias("_chunk_id"))), "_chunk_id", "left_semi")
 
 
 def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan: CopyPlan, batch: str, asof: str) -> DataFrame:
@@ -56,12 +71,11 @@ def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan:
     ledger_path, quarantine = f"{root}/ledger", f"{root}/quarantine"
     ledger = read_ledger(spark, ledger_path)
     chunks = chunks_of(source, plan)
-    if ledger is not None:
-        chunks = pending_chunks(chunks, states.current_ledger(ledger))
-    todo = chunks.select(F.col("chunk_id").alias("_chunk_id"))
     rows = with_chunk(source, plan)
     if ledger is not None:
-        rows = rows.join(broadcast_if_small(todo), "_chunk_id", "left_semi")
+        now = states.current_ledger(ledger)
+        chunks = pending_chunks(chunks, now)
+        rows = _rows_of(source, plan, chunks, now.where(F.col("status") == "COMPLETED"))
     rows = convert_columns(rows, plan.kinds, plan.source_engine, plan.target_engine)
     good = rows
     if plan.rules:

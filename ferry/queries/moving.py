@@ -240,9 +240,11 @@ def plan_chunks_fixed(t: Inputs):
     return chunks.plan_chunks_fixed(_row_counts(t), F.lit(1), 1000)
 
 
-@query("plan_key_ranges")
+@query("plan_key_ranges", "select o_orderkey, o_custkey, o_totalprice from orders")
 def plan_key_ranges(t: Inputs):
-    return chunks.plan_key_ranges(t.orders, "o_orderkey", 16)
+    """All rows, read range by range: every row comes back once."""
+    ranges = chunks.range_bounds(chunks.plan_key_ranges(t.orders, "o_orderkey", 8))
+    return chunks.scan_ranges(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", ranges)
 
 
 @query(
