@@ -53,7 +53,7 @@ def _rows_of(source: DataFrame, plan: CopyPlan, todo: DataFrame, done: DataFrame
     count shows it is short."""
     span = todo.agg(F.min("chunk_start").alias("low"), F.max("chunk_start").alias("high")).first()
     if span.low is None:
-        return with_chunk(source.limit(0), plan)
+        return with_chunk(source, plan).where(F.lit(False))
     keyed = with_chunk(scan_chunk(source, plan.key, span.low, span.high + plan.stride), plan)
     finished = done.select(F.col("chunk_id").alias("_chunk_id"))
     if finished.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -65,9 +65,12 @@ def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan:
     """Copy the chunks the ledger does not show as completed and record them.
 
     One job reads all pending chunks, splits off bad rows, upserts the good ones
-    and writes the quarantine. The rows counted per chunk are the stored ones: a
-    scan of the target's chunk column alone.
+    and writes the quarantine; rows without a key are quarantined by a filter that
+    reaches the scan. The rows counted per chunk are the stored ones: a scan of
+    the target's chunk column alone.
     """
+    unkeyed = with_chunk(source.where(F.col(plan.key).isNull()), plan)
+    source = source.where(F.col(plan.key).isNotNull())
     ledger_path, quarantine = f"{root}/ledger", f"{root}/quarantine"
     ledger = read_ledger(spark, ledger_path)
     chunks = chunks_of(source, plan)
@@ -78,9 +81,13 @@ def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan:
         rows = _rows_of(source, plan, chunks, now.where(F.col("status") == "COMPLETED"))
     rows = convert_columns(rows, plan.kinds, plan.source_engine, plan.target_engine)
     good = rows
+    held = convert_columns(unkeyed, plan.kinds, plan.source_engine, plan.target_engine).withColumn(
+        "reasons", F.array(F.lit(f"{plan.key} is null"))
+    )
     if plan.rules:
         good, bad = quality.split_rows(quality.check_rows(rows, plan.rules, plan.key if plan.order else None, plan.order))
-        bad.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{quarantine}/batch={batch}")
+        held = held.unionByName(bad)
+    held.write.mode("overwrite").parquet(f"{quarantine}/batch={batch}")
     store.upsert(spark, root, good, [plan.key], batch, order=(plan.order,) if plan.order else ())
     stored = store.read_target(spark, root).groupBy(F.col("_chunk_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("stored"))
     done = chunks.join(stored, "chunk_id", "left").select(

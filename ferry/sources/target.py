@@ -100,6 +100,10 @@ def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def _values(rows: DataFrame, columns: Sequence[str]) -> Column:
+    return F.struct(*[rows[c] for c in columns])
+
+
 def upsert(
     spark: SparkSession,
     root: str,
@@ -151,13 +155,14 @@ def _merge(
     old = {b: current[b] for b in touched if b in current}
     if old:
         stored = _read_folders(spark, root, old).drop("_batch")
+        same = _same_key(stored, staged, keys)
         if guard:
-            held = stored.select(*keys, F.struct(*guard).alias("_held"))
-            paired = staged.join(held, _same_key(staged, held, keys), "left")
-            newer = F.col("_held").isNull() | (F.struct(*[staged[g] for g in guard]) > F.col("_held"))
-            staged = paired.where(newer).select(*[staged[c] for c in staged.columns])
-        next_keys = staged.select(*[F.col(k).alias(k) for k in keys])
-        kept = stored.join(next_keys, _same_key(stored, next_keys, keys), "left_anti")
+            # Either the stored row or its successor goes, never both and never none.
+            wins = F.coalesce(_values(staged, guard) > _values(stored, guard), F.lit(False))
+            kept = stored.join(staged.select(*keys, *guard), same & wins, "left_anti")
+            staged = staged.join(stored.select(*keys, *guard), same & ~wins, "left_anti")
+        else:
+            kept = stored.join(staged.select(*keys), same, "left_anti")
         staged = kept.unionByName(staged)
         if count != parallelism(spark):
             staged = _aligned(staged, keys, count)

@@ -134,6 +134,21 @@ def test_copy_quarantines_and_counts_what_was_stored(spark, t):
     assert saved.checkpoint_name == f"checkpoint_customer_{stored}"
 
 
+def test_rows_without_a_key_are_quarantined(spark):
+    root = fresh_dir(spark, "copy")
+    source = spark.createDataFrame([(1, "a"), (None, "b"), (250, "c"), (None, "d")], "o_orderkey bigint, v string")
+    copy.copy_table(spark, source, root, orders_plan(), "2024-01-01 00:00:00")
+    assert rows(target.read_target(spark, root), "o_orderkey", "v") == [(1, "a"), (250, "c")]
+    assert rows(spark.read.parquet(f"{root}/quarantine"), "v") == [("b",), ("d",)]
+
+
+def test_a_finished_copy_has_nothing_left_to_read(spark, t):
+    root = fresh_dir(spark, "copy")
+    first = copy.copy_pending_chunks(spark, t.orders, root, orders_plan(), "run-1", "2024-01-01 00:00:00").count()
+    again = copy.copy_pending_chunks(spark, t.orders, root, orders_plan(), "run-2", "2024-01-01 00:00:00").count()
+    assert again == first
+
+
 def test_upsert_last_row_wins_and_rollback_restores(spark):
     root = fresh_dir(spark, "target")
     schema = "k int, v string, seq int"
