@@ -35,8 +35,21 @@ def progress_percent(done: Column, total: Column, when_empty: float = 100.0) ->
     return F.when(total > 0, F.least(share, F.lit(100.0))).otherwise(F.lit(float(when_empty)))
 
 
+def _halves(lsn: Column, base: int) -> list[Column]:
+    return [F.conv(F.split_part(lsn, F.lit("/"), F.lit(i)), base, 10).cast("bigint") for i in (1, 2)]
+
+
 def lsn_number(lsn: Column, base: int = 16) -> Column:
     """``hi/lo`` log position as a number that sorts in log order."""
-    hi = F.conv(F.split_part(lsn, F.lit("/"), F.lit(1)), base, 10).cast("decimal(20,0)")
-    lo = F.conv(F.split_part(lsn, F.lit("/"), F.lit(2)), base, 10).cast("decimal(20,0)")
+    hi, lo = (half.cast("decimal(11,0)") for half in _halves(lsn, base))
     return (hi * F.lit(2**32).cast("decimal(11,0)") + lo).cast(LSN)
+
+
+def lsn_rank(lsn: Column, base: int = 16) -> Column:
+    """The same order as a plain long, for sorting and comparing: the number less
+    2^63, which is what keeps all 64 bits of it in range."""
+    hi, lo = _halves(lsn, base)
+    return (hi - F.lit(2**31)) * F.lit(2**32) + lo
+
+
+LSN_BEFORE_ALL = -(2**63)

@@ -18,11 +18,9 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Newest row of each key. Partial aggregation runs before the shuffle, so a
+    """Newest row of each key. The rank limit runs before the shuffle too, so a
     hot key sends one row per map task."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*keys, "_row.*")
+    return newest_n(df, keys, [F.col(c).desc() for c in order], 1).drop("row_rank")
 
 
 def newest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -89,12 +87,15 @@ def running_sum(tagged: DataFrame, keys: Sequence[str], value: str, name: str) -
     return summed.drop("_local", "_carried")
 
 
-def cumulative_progress(rows: DataFrame, totals: DataFrame, key: str, order: Sequence[str], done: str, total: str) -> DataFrame:
-    """Rows copied so far and percent of the key's total, in order."""
+def cumulative_progress(rows: DataFrame, key: str, order: Sequence[str], done: str, totals: DataFrame | None = None) -> DataFrame:
+    """Rows copied so far and percent of the key's ``total_rows``, in order.
+    Without given totals they are those of the rows themselves."""
     tagged = ordered_blocks(rows, [*order])
-    counted = running_sum(tagged, [key], done, "rows_so_far").join(totals.select(key, total), key, "left")
-    share = F.col("rows_so_far") * 100.0 / F.nullif(F.col(total).cast("double"), F.lit(0.0))
-    percent = F.when(F.col(total) > 0, F.least(share, F.lit(100.0))).otherwise(F.lit(100.0))
+    if totals is None:
+        totals = tagged.groupBy(key).agg(F.sum(done).alias("total_rows"))
+    counted = running_sum(tagged, [key], done, "rows_so_far").join(totals.select(key, "total_rows"), key, "left")
+    share = F.col("rows_so_far") * 100.0 / F.nullif(F.col("total_rows").cast("double"), F.lit(0.0))
+    percent = F.when(F.col("total_rows") > 0, F.least(share, F.lit(100.0))).otherwise(F.lit(100.0))
     return counted.withColumn("percent_so_far", percent).drop("_block", "_pos")
 
 

@@ -78,6 +78,8 @@ def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan:
     if ledger is not None:
         now = states.current_ledger(ledger)
         chunks = pending_chunks(chunks, now)
+        if chunks.isEmpty():
+            return ledger
         rows = _rows_of(source, plan, chunks, now.where(F.col("status") == "COMPLETED"))
     rows = convert_columns(rows, plan.kinds, plan.source_engine, plan.target_engine)
     good = rows

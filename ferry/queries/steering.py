@@ -132,8 +132,7 @@ def keep_latest_n(t: Inputs):
 )
 def cumulative_progress(t: Inputs):
     rows = _now(t).select("migration_id", "chunk_id", "rows_done")
-    totals = rows.groupBy("migration_id").agg(F.sum("rows_done").alias("total_rows"))
-    out = ordered.cumulative_progress(rows, totals, "migration_id", ["migration_id", "chunk_id"], "rows_done", "total_rows")
+    out = ordered.cumulative_progress(rows, "migration_id", ["migration_id", "chunk_id"], "rows_done")
     return out.select("migration_id", "chunk_id", "rows_so_far", "total_rows", "percent_so_far")
 
 

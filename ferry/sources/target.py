@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ferry.functions.numbers import lsn_rank
 from ferry.operators.ordered import latest_per_key
 from ferry.session import fresh_dir, parallelism
 from ferry.sources import files
@@ -196,14 +197,14 @@ def roll_back(spark: SparkSession, root: str, to_version: int, batch: str) -> in
     return now.version + 1
 
 
-def purge_deleted(spark: SparkSession, root: str, before_lsn: int, keys: Sequence[str], batch: str) -> int:
+def purge_deleted(spark: SparkSession, root: str, before_lsn: str, keys: Sequence[str], batch: str, base: int = 16) -> int:
     """Drop rows marked deleted before a log position: no event that old can come
     again, so their marks are not needed any more."""
     state = _State(spark, root, batch=batch)
     if state.committed or not state.folders:
         return state.version
     rows = _read_folders(spark, root, state.folders).drop("_batch")
-    kept = rows.where(~(F.col("_deleted") & (F.col("_lsn") < F.lit(before_lsn))))
+    kept = rows.where(~(F.col("_deleted") & (F.col("_lsn") < lsn_rank(F.lit(before_lsn), base))))
     folder = f"{batch}-{uuid.uuid4().hex[:8]}"
     made = _write(_aligned(kept, list(keys), state.buckets), root, folder)
     now = {b: (folder if b in made else None) for b in state.folders}

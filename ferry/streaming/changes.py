@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from ferry.functions.images import decode_image
-from ferry.functions.numbers import lsn_number
+from ferry.functions.numbers import LSN_BEFORE_ALL, lsn_number, lsn_rank
 from ferry.functions.text import in_enum, normalise_enum
 from ferry.operators.metrics import change_counts
-from ferry.operators.ordered import newest_n
+from ferry.operators.ordered import latest_per_key, newest_n
 from ferry.schemas import CHANGE_BATCH_ROWS, CHANGE_EVENT, CHANGE_OPERATIONS, MAX_CONSECUTIVE_ERRORS, MAX_LAG_SECONDS
 from ferry.sources import target as store
 
-_LSN_SHAPE = r"\A[0-9A-Fa-f]+/[0-9A-Fa-f]+\z"
+_LSN_SHAPE = r"\A[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}\z"
 
 
 # ---- reading and recording -------------------------------------------------
@@ -56,8 +56,9 @@ def record_changes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def changes_in_order(changes: DataFrame, limit: int = CHANGE_BATCH_ROWS, base: int = 16) -> DataFrame:
     """The next pending events of each migration in log order, as numbers."""
-    pending = changes.where(F.col("status") == "PENDING").withColumn("lsn_num", lsn_number(F.col("lsn"), base))
-    return newest_n(pending, ["migration_id"], [F.col("lsn_num"), F.col("event_id")], limit)
+    pending = changes.where(F.col("status") == "PENDING")
+    first = newest_n(pending, ["migration_id"], [lsn_rank(F.col("lsn"), base), F.col("event_id")], limit)
+    return first.withColumn("lsn_num", lsn_number(F.col("lsn"), base))
 
 
 def dedupe_changes(events: DataFrame, within: str = "10 minutes") -> DataFrame:
@@ -78,7 +79,7 @@ def keyed_changes(events: DataFrame, row: T.StructType | str, key: str, base: in
     decoded = events.select(
         "event_id",
         "operation",
-        lsn_number(F.col("lsn"), base).alias("_lsn"),
+        lsn_rank(F.col("lsn"), base).alias("_lsn"),
         decode_image(F.col("before_data"), row).alias("_before"),
         decode_image(F.col("after_data"), row).alias("_after"),
     )
@@ -108,16 +109,9 @@ def keyless_changes(events: DataFrame, row: T.StructType | str, key: str) -> Dat
 
 def collapse_changes(keyed: DataFrame, key: str) -> DataFrame:
     """The last change of each key by (log position, event, step)."""
-    last = keyed.groupBy(key).agg(
-        F.max_by(F.struct("_after", "_deleted", "_lsn", "event_id"), F.struct("_lsn", "event_id", "_step")).alias("_c")
-    )
     values = [f.name for f in keyed.schema["_after"].dataType.fields if f.name != key]
-    return last.select(
-        key,
-        *[F.col(f"_c._after.{v}").alias(v) for v in values],
-        F.col("_c._lsn").alias("_lsn"),
-        F.col("_c.event_id").alias("_event_id"),
-        F.col("_c._deleted").alias("_deleted"),
+    return latest_per_key(keyed, [key], ["_lsn", "event_id", "_step"]).select(
+        key, *[F.col(f"_after.{v}").alias(v) for v in values], "_lsn", F.col("event_id").alias("_event_id"), "_deleted"
     )
 
 
@@ -128,7 +122,7 @@ def collapse_partial_changes(events: DataFrame, key: str, base: int = 16, keep:
     Each field is a row of its own, so one key's history is reduced by partial
     aggregation and never gathered as a list.
     """
-    numbered = events.withColumn("_lsn", lsn_number(F.col("lsn"), base))
+    numbered = events.withColumn("_lsn", lsn_rank(F.col("lsn"), base))
     fields = numbered.select(
         F.get_json_object("after_data", f"$.{key}").alias(key),
         "_lsn",
@@ -142,7 +136,7 @@ def as_loaded(rows: DataFrame) -> DataFrame:
     """Full-load rows with the control columns of a replicated target, placed
     before any log position."""
     return (
-        rows.withColumn("_lsn", F.lit(-1).cast("decimal(20,0)"))
+        rows.withColumn("_lsn", F.lit(LSN_BEFORE_ALL))
         .withColumn("_event_id", F.lit(-1).cast("bigint"))
         .withColumn("_deleted", F.lit(False))
     )
@@ -228,7 +222,7 @@ def replication_lag(changes: DataFrame, base: int = 16) -> DataFrame:
     return seen.groupBy("migration_id", "table_name").agg(
         F.max(lag).alias("max_lag_seconds"),
         F.round(F.sum(lag) / F.count(lag).cast("double"), 6).alias("avg_lag_seconds"),
-        F.max_by("lsn", F.struct(lsn_number(F.col("lsn"), base), F.col("event_id"))).alias("last_lsn"),
+        F.max_by("lsn", F.struct(lsn_rank(F.col("lsn"), base), F.col("event_id"))).alias("last_lsn"),
         F.max("processed_at").alias("last_sync_at"),
     )
 
@@ -271,6 +265,4 @@ def start_progress_feed(stream: DataFrame, feed: str, checkpoint: str) -> Stream
 
 
 def read_feed(spark: SparkSession, feed: str) -> DataFrame:
-    from ferry.operators.ordered import latest_per_key
-
     return latest_per_key(spark.read.parquet(feed).drop("part"), ["migration_id"], ["feed_batch"]).drop("feed_batch")

@@ -35,7 +35,8 @@ def test_fixed_size_clamp(spark, asked, size):
 @pytest.mark.parametrize("lsn, base, number", [("16/B374D848", 16, 97500059720), ("0/10", 16, 16), ("0/9", 16, 9), ("1700000000/12", 10, 1700000000 * 2**32 + 12), ("FFFFFFFF/FFFFFFFF", 16, 2**64 - 1)])
 def test_lsn_number(spark, lsn, base, number):
     df = spark.createDataFrame([(lsn,)], "l string")
-    assert int(df.select(numbers.lsn_number(F.col("l"), base)).first()[0]) == number
+    row = df.select(numbers.lsn_number(F.col("l"), base), numbers.lsn_rank(F.col("l"), base)).first()
+    assert (int(row[0]), row[1]) == (number, number - 2**63)
 
 
 @pytest.mark.parametrize("done, total, copy_percent, chunk_percent", [(5, 10, 50.0, 50.0), (20, 10, 100.0, 100.0), (0, 0, 100.0, 0.0)])
