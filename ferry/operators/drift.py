@@ -309,6 +309,21 @@ def foreign_key_map(constraints: DataFrame, key_columns: DataFrame, referenced:
     )
 
 
+def with_primary_keys(columns: DataFrame, constraints: DataFrame, key_columns: DataFrame) -> DataFrame:
+    """Column rows with ``primary_key`` taken from the key lists, for catalogs
+    whose column list does not tell."""
+    names = ["migration_id", "table_name", "constraint_name"]
+    keys = (
+        constraints.where(F.col("constraint_type") == "PRIMARY KEY")
+        .select(*names)
+        .join(key_columns.select(*names, "column_name"), names)
+        .select(*TABLE, "column_name", F.lit(True).alias("_key"))
+        .distinct()
+    )
+    marked = columns.drop("primary_key").join(keys, [*TABLE, "column_name"], "left")
+    return marked.withColumn("primary_key", F.coalesce("_key", F.lit(False))).drop("_key")
+
+
 _QUOTE = {"MYSQL": "`", "POSTGRESQL": '"'}
 
 

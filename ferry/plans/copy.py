@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -90,7 +91,9 @@ def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan:
         good, bad = quality.split_rows(quality.check_rows(rows, plan.rules, plan.key if plan.order else None, plan.order))
         held = held.unionByName(bad)
     held.write.mode("overwrite").parquet(f"{quarantine}/batch={batch}")
-    store.upsert(spark, root, good, [plan.key], batch, order=(plan.order,) if plan.order else ())
+    # A name of its own per try: what is still open depends on the ledger, so a
+    # repeated batch may hold other chunks. Copying a chunk twice is harmless.
+    store.upsert(spark, root, good, [plan.key], f"{batch}-{uuid.uuid4().hex[:12]}", order=(plan.order,) if plan.order else ())
     stored = store.read_target(spark, root).groupBy(F.col("_chunk_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("stored"))
     done = chunks.join(stored, "chunk_id", "left").select(
         F.lit(plan.migration_id).cast("bigint").alias("migration_id"),

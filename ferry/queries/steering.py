@@ -371,6 +371,16 @@ def foreign_key_map(t: Inputs):
     return drift.foreign_key_map(t.table_constraints, t.key_columns, t.referenced_columns)
 
 
+@query(
+    "primary_key_columns",
+    """select migration_id, table_name, column_name, ordinal, column_name = 'id' as primary_key from columns_after""",
+    ("columns_after",),
+)
+def primary_key_columns(t: Inputs):
+    marked = drift.with_primary_keys(t.columns_after, t.table_constraints, t.key_columns)
+    return marked.select("migration_id", "table_name", "column_name", "ordinal", "primary_key")
+
+
 @query(
     "create_table_ddl",
     """with c as (select *, sum(case when primary_key then 1 else 0 end) over (partition by migration_id, table_name) as keys from columns_after)

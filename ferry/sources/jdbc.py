@@ -14,35 +14,77 @@ _URLS = {
 }
 _QUOTES = {"MYSQL": ("`", "`"), "SQL_SERVER": ("[", "]")}
 
-# information_schema queries, engine → (tables, columns, foreign keys)
+_COLUMNS = (
+    "select table_name, ordinal_position, column_name, data_type, is_nullable, column_default,"
+    " character_maximum_length, numeric_precision, numeric_scale from information_schema.columns where table_schema = {schema}"
+)
+_KEYS = (
+    "select c.table_name, c.constraint_name, k.column_name, k.ordinal_position from information_schema.table_constraints c"
+    " join information_schema.key_column_usage k on k.constraint_schema = c.constraint_schema"
+    " and k.constraint_name = c.constraint_name and k.table_name = c.table_name"
+    " where c.constraint_type = 'PRIMARY KEY' and c.table_schema = {schema}"
+)
+_REFERENCES = (
+    "select c.table_name, c.constraint_name, k.column_name, r.table_name as referenced_table_name,"
+    " r.column_name as referenced_column_name from information_schema.table_constraints c"
+    " join information_schema.key_column_usage k using (constraint_schema, constraint_name)"
+    " join information_schema.constraint_column_usage r using (constraint_schema, constraint_name)"
+    " where c.constraint_type = 'FOREIGN KEY' and c.table_schema = {schema}"
+)
+_TABLES = "select table_schema, table_name, table_type from information_schema.tables"
+
+# What each engine's catalog is asked. `row_estimates` reads statistics only and
+# gives null where the engine has none.
 CATALOG_QUERIES = {
     "MYSQL": {
-        "tables": "select table_schema, table_name, table_type from information_schema.tables",
-        "columns": (
-            "select table_name, ordinal_position, column_name, data_type, is_nullable, column_default,"
-            " character_maximum_length, numeric_precision, numeric_scale, column_key, extra"
-            " from information_schema.columns where table_schema = database()"
-        ),
+        "tables": _TABLES,
+        "columns": _COLUMNS.format(schema="database()"),
+        "primary_keys": _KEYS.format(schema="database()"),
         "foreign_keys": (
             "select table_name, constraint_name, column_name, referenced_table_name, referenced_column_name"
             " from information_schema.key_column_usage"
             " where table_schema = database() and referenced_table_name is not null"
         ),
+        "indexes": (
+            "select table_name, index_name, column_name, seq_in_index, non_unique from information_schema.statistics"
+            " where table_schema = database()"
+        ),
+        "row_estimates": "select table_name, table_rows as estimated_rows from information_schema.tables where table_schema = database()",
     },
     "POSTGRESQL": {
-        "tables": "select table_schema, table_name, table_type from information_schema.tables",
+        "tables": _TABLES,
+        "columns": _COLUMNS.format(schema="'public'"),
+        "primary_keys": _KEYS.format(schema="'public'"),
+        "foreign_keys": _REFERENCES.format(schema="'public'"),
+        "indexes": "select tablename as table_name, indexname as index_name, indexdef from pg_indexes where schemaname = 'public'",
+        "row_estimates": (
+            "select relname as table_name, nullif(greatest(reltuples, 0), 0)::bigint as estimated_rows from pg_class"
+            " where relkind = 'r' and relnamespace = 'public'::regnamespace"
+        ),
+    },
+    "SQL_SERVER": {
+        "tables": _TABLES,
+        "columns": _COLUMNS.format(schema="schema_name()"),
+        "primary_keys": _KEYS.format(schema="schema_name()"),
+        "indexes": "select object_name(object_id) as table_name, name as index_name, is_unique from sys.indexes where name is not null",
+        "row_estimates": (
+            "select object_name(object_id) as table_name, sum(rows) as estimated_rows from sys.partitions"
+            " where index_id in (0, 1) group by object_id"
+        ),
+    },
+    "ORACLE": {
+        "tables": "select owner as table_schema, table_name, 'BASE TABLE' as table_type from all_tables",
         "columns": (
-            "select table_name, ordinal_position, column_name, data_type, is_nullable, column_default,"
-            " character_maximum_length, numeric_precision, numeric_scale"
-            " from information_schema.columns where table_schema = 'public'"
+            "select table_name, column_id as ordinal_position, column_name, data_type, nullable as is_nullable,"
+            " char_length as character_maximum_length, data_precision as numeric_precision, data_scale as numeric_scale"
+            " from user_tab_columns"
         ),
-        "foreign_keys": (
-            "select c.table_name, c.constraint_name, k.column_name, r.table_name as referenced_table_name,"
-            " r.column_name as referenced_column_name from information_schema.table_constraints c"
-            " join information_schema.key_column_usage k using (constraint_schema, constraint_name)"
-            " join information_schema.constraint_column_usage r using (constraint_schema, constraint_name)"
-            " where c.constraint_type = 'FOREIGN KEY'"
+        "primary_keys": (
+            "select c.table_name, c.constraint_name, k.column_name, k.position as ordinal_position from user_constraints c"
+            " join user_cons_columns k on k.constraint_name = c.constraint_name where c.constraint_type = 'P'"
         ),
+        "indexes": "select table_name, index_name, uniqueness from user_indexes",
+        "row_estimates": "select table_name, num_rows as estimated_rows from user_tables",
     },
 }
 

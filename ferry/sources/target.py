@@ -119,7 +119,8 @@ def upsert(
 
     ``order`` picks the row that wins when a batch repeats a key; without it the
     keys must be unique in the batch. ``guard`` names columns that must be
-    greater than the stored ones, else the stored row stays. Returns the version.
+    greater than the stored ones, else the stored row stays. ``batch`` names the
+    content: a name that is already committed is skipped. Returns the version.
     """
     keys = list(keys)
     state = _State(spark, root, batch=batch)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -144,7 +145,8 @@ def as_loaded(rows: DataFrame) -> DataFrame:
 
 def apply_changes(spark: SparkSession, root: str, events: DataFrame, row: T.StructType | str, key: str, batch: str, buckets: int | None = None) -> int:
     """Apply one batch of events. Replays and late events change nothing: a stored
-    row gives way only to a greater (log position, event)."""
+    row gives way only to a greater (log position, event). ``batch`` names this
+    content; the target skips a name it has already committed."""
     collapsed = collapse_changes(keyed_changes(events, row, key), key)
     return store.upsert(spark, root, collapsed, [key], batch, guard=("_lsn", "_event_id"), buckets=buckets)
 
@@ -165,8 +167,8 @@ def replicate(
     if mode in ("FULL_LOAD", "FULL_LOAD_AND_CDC"):
         store.upsert(spark, root, as_loaded(load), [key], "full-load", guard=("_lsn", "_event_id"), buckets=buckets)
     if mode in ("CDC_ONLY", "FULL_LOAD_AND_CDC"):
-        for i, events in enumerate(batches):
-            apply_changes(spark, root, events, row, key, f"changes-{i}", buckets)
+        for events in batches:
+            apply_changes(spark, root, events, row, key, f"changes-{uuid.uuid4().hex[:12]}", buckets)
     return store.read_target(spark, root)
 
 
@@ -176,15 +178,17 @@ def start_apply(
 ) -> StreamingQuery:
     """Keep a target in step with a stream of changes.
 
-    ``foreachBatch`` may deliver a batch again; its name is the batch id, so the
-    target skips it. A batch that keeps failing is tried ``max_errors`` times in a
-    row, then the query stops and a later start on the same checkpoint resumes.
+    ``foreachBatch`` may deliver a batch again; log positions make that harmless.
+    (Batch ids alone would not do as names: they start over with a new checkpoint.)
+    A batch that keeps failing is tried ``max_errors`` times in a row, then the
+    query stops and a later start on the same checkpoint resumes.
     """
+    run = uuid.uuid4().hex[:12]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         for attempt in range(1, max_errors + 1):
             try:
-                apply_changes(batch.sparkSession, root, batch, row, key, f"stream-{batch_id}")
+                apply_changes(batch.sparkSession, root, batch, row, key, f"stream-{run}-{batch_id}")
                 break
             except Exception:
                 if attempt == max_errors:

@@ -104,6 +104,17 @@ def test_stream_resumes_without_loss_or_repeat(spark, t):
     assert sum(seen) == t.change_events.count()
 
 
+def test_a_new_checkpoint_on_an_old_target_loses_nothing(spark, t):
+    root = fresh_dir(spark, "replica")
+    for low in (0, 500):
+        folder = fresh_dir(spark, "drop")
+        t.change_events.where(f"event_id >= {low} and event_id < {low + 500}").coalesce(1).write.parquet(folder)
+        changes.start_apply(changes.change_source(spark, folder), root, fresh_dir(spark, "stream"), ROW, "id").awaitTermination()
+    straight = fresh_dir(spark, "replica")
+    changes.apply_changes(spark, straight, t.change_events, ROW, "id", "all")
+    assert state(spark, root) == state(spark, straight)
+
+
 def test_stream_stops_after_failures_in_a_row(spark, t, monkeypatch):
     folder = fresh_dir(spark, "drop")
     t.change_events.coalesce(1).write.parquet(folder)

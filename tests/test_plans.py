@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ferry import session
 from ferry.functions import numbers
 from ferry.operators import ledger, ordered, quality
 from ferry.plans import chunks, copy
@@ -74,6 +75,24 @@ def test_jdbc_predicates_leave_no_row_out():
     assert jdbc.quote('a"b', "POSTGRESQL") == '"a""b"'
 
 
+def test_shared_folder_comes_from_the_session():
+    class Cluster:
+        def __init__(self, folder, master):
+            settings = {"spark.checkpoint.dir": folder}
+            self.conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: settings.get(k) or d)})
+            plain = type("Plain", (), {"get": staticmethod(lambda k, d=None: None)})
+            self.sparkContext = type("Context", (), {"master": master, "getConf": staticmethod(lambda: plain)})
+
+    assert session.fresh_dir(Cluster("s3a://b/tmp/", "yarn"), "x").startswith("s3a://b/tmp/x-")
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster(None, "yarn"))
+
+
+def test_every_engine_answers_the_same_questions():
+    for engine, asked in jdbc.CATALOG_QUERIES.items():
+        assert {"tables", "columns", "primary_keys", "indexes", "row_estimates"} <= set(asked), engine
+
+
 def test_scan_chunk_reaches_the_scan(t):
     from ferry.sources.tables import scan_chunk
 
@@ -124,6 +143,13 @@ def test_stopped_and_resumed_copy_equals_a_straight_one(spark, t):
     assert seen.groupBy("chunk_id").count().where("count > 1").count() == 0
 
 
+def test_the_same_batch_name_still_copies_new_chunks(spark, t):
+    root = fresh_dir(spark, "copy")
+    copy.copy_table(spark, t.orders.where("o_orderkey < 300"), root, orders_plan(), "2024-01-01 00:00:00")
+    copy.copy_table(spark, t.orders, root, orders_plan(), "2024-01-02 00:00:00")
+    assert target.read_target(spark, root).count() == t.orders.count()
+
+
 def test_copy_quarantines_and_counts_what_was_stored(spark, t):
     root = fresh_dir(spark, "copy")
     plan = copy.CopyPlan(1, "customer", "c_custkey", 50, order="copy_no", rules=(quality.not_null("c_name"),))
