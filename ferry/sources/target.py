@@ -1,11 +1,11 @@
 """An upsertable target on plain Parquet.
 
 Rows lie in ``data/_bucket=K/_batch=FOLDER``. A batch writes new folders for the
-buckets it touches and then appends one small file to ``commits`` that names, per
-bucket, the folder to read. Every try has a folder name of its own, so a failed
-one leaves folders no commit names; a batch that is already committed is skipped,
-so replays are harmless. Older commits stay readable, which is what rollback uses.
-One writer per target at a time.
+buckets it touches and then one small file under ``commits/VERSION~BATCH`` that
+names, for every bucket, the folder to read. Every try has a folder name of its
+own, so a failed one leaves folders no commit names; a batch that is already
+committed is skipped. Older commits stay readable, which is what rollback uses,
+until ``forget_versions``. One writer per target at a time.
 
 Where the session's catalog supports MERGE INTO, use ``merge_into`` instead.
 """
@@ -25,40 +25,45 @@ from ferry.operators.ordered import latest_per_key
 from ferry.session import fresh_dir, parallelism
 from ferry.sources import files
 
-_COMMIT = "_bucket int, _folder string, version bigint, batch string, buckets int"
+_COMMIT = "_bucket int, _folder string, buckets int"
+_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 CONTROL = ("_lsn", "_event_id", "_deleted")
 
 
-def commits(spark: SparkSession, root: str) -> DataFrame | None:
-    """The commit log, or None before the first commit."""
-    path = f"{root}/commits"
-    return spark.read.schema(_COMMIT).parquet(path) if files.exists(spark, path) else None
+def _commits(spark: SparkSession, root: str) -> dict[int, tuple[str, str]]:
+    """Finished commits: version → (batch, path). Only folder names are read."""
+    tried: dict[int, list[tuple[str, str]]] = {}
+    for path in files.folders(spark, f"{root}/commits/*~*"):
+        version, batch = path.rsplit("/", 1)[1].split("~", 1)
+        tried.setdefault(int(version), []).append((batch, path))
+    last, found = max(tried, default=0), {}
+    for version, commits in tried.items():
+        # A writer that died leaves its commit unfinished: the last one, or one
+        # whose version the next writer took.
+        if version == last or len(commits) > 1:
+            commits = [c for c in commits if files.exists(spark, f"{c[1]}/_SUCCESS")]
+        if commits:
+            found[version] = commits[0]
+    return found
 
 
 class _State:
-    """What is current: folder per bucket, last version, bucket count. One small
-    job; it fetches one row per bucket, however long the log is."""
+    """What is current, or was at a version: folder per bucket, bucket count. Reads
+    one file of at most one row per bucket, however many commits there are."""
 
     def __init__(self, spark: SparkSession, root: str, as_of: int | None = None, batch: str | None = None):
+        if batch is not None and not _NAME.fullmatch(batch):
+            raise ValueError(f"batch name may hold letters, digits, '_', '.' and '-': {batch!r}")
         self.folders: dict[int, str] = {}
-        self.version, self.buckets, self.committed = 0, 0, False
-        log = commits(spark, root)
-        if log is None:
-            return
-        version = F.col("version")
-        seen = version if as_of is None else F.when(version <= as_of, version)
-        rows = log.groupBy("_bucket").agg(
-            F.max_by("_folder", seen).alias("folder"),
-            F.max("version").alias("version"),
-            F.max("buckets").alias("buckets"),
-            F.max(F.col("batch") == F.lit(batch or "")).alias("committed"),
-        )
-        for r in rows.collect():
-            if r.folder:
-                self.folders[r._bucket] = r.folder
-            self.version = max(self.version, r.version)
-            self.buckets = r.buckets
-            self.committed |= r.committed
+        self.buckets = 0
+        found = _commits(spark, root)
+        self.committed = any(batch == b for b, _ in found.values())
+        self.version = max((v for v in found if as_of is None or v <= as_of), default=0)
+        if self.version:
+            for r in spark.read.schema(_COMMIT).parquet(found[self.version][1]).collect():
+                self.buckets = r.buckets
+                if r._folder:
+                    self.folders[r._bucket] = r._folder
 
 
 def _read_folders(spark: SparkSession, root: str, folders: dict[int, str]) -> DataFrame:
@@ -81,12 +86,13 @@ def read_target(spark: SparkSession, root: str, as_of: int | None = None, contro
     return rows.drop(*CONTROL)
 
 
-def _commit(spark: SparkSession, root: str, folders: dict[int, str | None], version: int, batch: str, buckets: int) -> None:
-    """Append one file, which appears whole or not at all. At most a row per bucket."""
-    named = sorted(folders.items()) or [(-1, None)]
-    rows = [{"_bucket": b, "_folder": f, "version": version, "batch": batch, "buckets": buckets} for b, f in named]
+def _commit(spark: SparkSession, root: str, folders: dict[int, str], version: int, batch: str, buckets: int) -> None:
+    """The whole map of a version as one small file; it counts once it is finished."""
+    rows = [{"_bucket": b, "_folder": f, "buckets": buckets} for b, f in sorted(folders.items())]
+    rows = rows or [{"_bucket": -1, "_folder": None, "buckets": buckets}]
     listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_COMMIT}>>")
-    spark.range(0, 1, 1, 1).select(F.inline(listed)).write.mode("append").parquet(f"{root}/commits")
+    path = f"{root}/commits/{version:012d}~{batch}"
+    spark.range(0, 1, 1, 1).select(F.inline(listed)).write.mode("overwrite").parquet(path)
 
 
 def _aligned(rows: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
@@ -139,7 +145,7 @@ def upsert(
         made = _write(rows, root, folder)
     else:
         made = _merge(spark, root, rows, keys, list(guard), state.folders, folder, count)
-    _commit(spark, root, {b: folder for b in made}, state.version + 1, batch, count)
+    _commit(spark, root, state.folders | {b: folder for b in made}, state.version + 1, batch, count)
     return state.version + 1
 
 
@@ -183,21 +189,34 @@ def _bucket_numbers(paths: list[str]) -> list[int]:
     return sorted(int(re.search(r"_bucket=(\d+)", p).group(1)) for p in paths)
 
 
-def versions(spark: SparkSession, root: str) -> DataFrame:
-    log = commits(spark, root)
-    return log.groupBy("version", "batch").agg(F.count_if(F.col("_bucket") >= 0).alias("buckets_written"))
+def versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """Committed versions with their batch names, oldest first."""
+    return sorted((v, batch) for v, (batch, _) in _commits(spark, root).items())
 
 
 def roll_back(spark: SparkSession, root: str, to_version: int, batch: str) -> int:
-    """Make an earlier version current again by committing its folder names."""
+    """Make an earlier version current again by committing its map."""
     now = _State(spark, root, batch=batch)
     if now.committed:
         return now.version
-    then = _State(spark, root, to_version).folders
-    _commit(spark, root, {b: then.get(b) for b in now.folders | then}, now.version + 1, batch, now.buckets)
+    _commit(spark, root, _State(spark, root, to_version).folders, now.version + 1, batch, now.buckets)
     return now.version + 1
 
 
+def forget_versions(spark: SparkSession, root: str, keep: int) -> None:
+    """Remove commits but the newest ``keep`` and the folders only they name.
+    What is left of failed tries goes too, so run it from the target's writer."""
+    found = _commits(spark, root)
+    kept = sorted(found)[-keep:]
+    named = {(b, f) for v in kept for b, f in _State(spark, root, v).folders.items()}
+    for version in sorted(set(found) - set(kept)):
+        files.discard(spark, found[version][1])
+    for path in files.folders(spark, f"{root}/data/_bucket=*/_batch=*"):
+        bucket, folder = re.search(r"_bucket=(\d+)/_batch=(.+)$", path).groups()
+        if (int(bucket), folder) not in named:
+            files.discard(spark, path)
+
+
 def purge_deleted(spark: SparkSession, root: str, before_lsn: str, keys: Sequence[str], batch: str, base: int = 16) -> int:
     """Drop rows marked deleted before a log position: no event that old can come
     again, so their marks are not needed any more."""
@@ -208,8 +227,7 @@ def purge_deleted(spark: SparkSession, root: str, before_lsn: str, keys: Sequenc
     kept = rows.where(~(F.col("_deleted") & (F.col("_lsn") < lsn_rank(F.lit(before_lsn), base))))
     folder = f"{batch}-{uuid.uuid4().hex[:8]}"
     made = _write(_aligned(kept, list(keys), state.buckets), root, folder)
-    now = {b: (folder if b in made else None) for b in state.folders}
-    _commit(spark, root, now, state.version + 1, batch, state.buckets)
+    _commit(spark, root, {b: folder for b in made}, state.version + 1, batch, state.buckets)
     return state.version + 1
 
 

@@ -46,7 +46,7 @@ def test_applying_twice_is_applying_once(spark, t):
     changes.apply_changes(spark, root, t.change_events, ROW, "id", "one")
     first = state(spark, root)
     changes.apply_changes(spark, root, t.change_events, ROW, "id", "one")
-    changes.apply_changes(spark, root, t.change_events, ROW, "id", "other name")
+    changes.apply_changes(spark, root, t.change_events, ROW, "id", "other-name")
     assert state(spark, root) == first
 
 

@@ -6,7 +6,7 @@ from ferry.functions import numbers
 from ferry.operators import ledger, ordered, quality
 from ferry.plans import chunks, copy
 from ferry.session import fresh_dir
-from ferry.sources import jdbc, target
+from ferry.sources import files, jdbc, target
 from tests.conftest import rows
 
 
@@ -204,7 +204,37 @@ def test_target_keeps_its_bucket_count_in_another_session_setting(spark):
     target.upsert(spark, root, spark.range(100).selectExpr("id", "1 as v"), ["id"], "b1", buckets=3)
     target.upsert(spark, root, spark.range(50, 150).selectExpr("id", "2 as v"), ["id"], "b2")
     assert rows(target.read_target(spark, root).groupBy("v").count()) == [(1, 50), (2, 100)]
-    assert target.commits(spark, root).selectExpr("max(buckets)").first()[0] == 3
+    assert target._State(spark, root).buckets == 3
+
+
+def test_an_unfinished_commit_does_not_count(spark):
+    root = fresh_dir(spark, "target")
+    target.upsert(spark, root, spark.range(5).selectExpr("id", "1 as v"), ["id"], "b1")
+    spark.createDataFrame([(0, "nowhere", 4)], "_bucket int, _folder string, buckets int").coalesce(1).write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).parquet(f"{root}/commits/{2:012d}~dead")
+    assert target.versions(spark, root) == [(1, "b1")]
+    assert target.upsert(spark, root, spark.range(3).selectExpr("id", "2 as v"), ["id"], "b2") == 2
+    assert rows(target.read_target(spark, root).groupBy("v").count()) == [(1, 2), (2, 3)]
+
+
+def test_forgetting_versions_keeps_the_current_rows(spark):
+    root = fresh_dir(spark, "target")
+    for i in range(4):
+        target.upsert(spark, root, spark.range(i, i + 30).selectExpr("id", f"{i} as v"), ["id"], f"b{i}")
+    spark.range(3).selectExpr("id", "9 as v", "0 as _bucket", "'dead' as _batch").write.mode("append").partitionBy("_bucket", "_batch").parquet(f"{root}/data")
+    before, earlier = rows(target.read_target(spark, root)), rows(target.read_target(spark, root, as_of=3))
+    target.forget_versions(spark, root, keep=2)
+    assert target.versions(spark, root) == [(3, "b2"), (4, "b3")]
+    assert rows(target.read_target(spark, root)) == before and rows(target.read_target(spark, root, as_of=3)) == earlier
+    with pytest.raises(ValueError):
+        target.read_target(spark, root, as_of=2)
+    assert not files.folders(spark, f"{root}/data/_bucket=*/_batch=dead")
+
+
+def test_batch_names_are_checked(spark):
+    with pytest.raises(ValueError):
+        target.upsert(spark, fresh_dir(spark, "target"), spark.range(3), ["id"], "a/b")
 
 
 def test_rollback_of_rows_by_chunk(spark):
