@@ -10,9 +10,19 @@ from ferry.functions.numbers import chunk_count, fixed_chunk_rows, planned_chunk
 from ferry.functions.text import offset_chunk_id, ordinal_chunk_id
 
 
-def _ordinals(count: Column) -> Column:
-    """0 … count-1, nothing when count is 0."""
-    return F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)))
+_STEP = 10_000
+
+
+def _with_ordinals(df: DataFrame, count: Column) -> DataFrame:
+    """A row per ``_i`` from 0 to count-1, none when count is 0. Counted out in two
+    steps, so a table of millions of chunks makes no array of that length."""
+    first = F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1, F.lit(_STEP).cast("bigint"))))
+    last = F.least(F.col("_first") + (_STEP - 1), F.col("_count") - 1)
+    return (
+        df.select("*", count.alias("_count"), first.alias("_first"))
+        .select("*", F.explode(F.sequence("_first", last)).alias("_i"))
+        .drop("_count", "_first")
+    )
 
 
 def plan_chunks(tables: DataFrame, migration: Column) -> DataFrame:
@@ -20,7 +30,7 @@ def plan_chunks(tables: DataFrame, migration: Column) -> DataFrame:
     table still gets one chunk, of no rows."""
     size = planned_chunk_rows(F.col("row_count"))
     sized = tables.withColumn("_size", size)
-    cut = sized.withColumn("_i", _ordinals(chunk_count(F.col("row_count"), F.col("_size"), when_empty=1)))
+    cut = _with_ordinals(sized, chunk_count(F.col("row_count"), F.col("_size"), when_empty=1))
     start = F.col("_i") * F.col("_size")
     empty = F.col("row_count") <= 0
     return cut.select(
@@ -35,7 +45,7 @@ def plan_chunks(tables: DataFrame, migration: Column) -> DataFrame:
 def plan_chunks_fixed(tables: DataFrame, migration: Column, size: int | None = None) -> DataFrame:
     """Offset/limit ranges of one size; the last is shorter, an empty table has none."""
     sized = tables.withColumn("_size", fixed_chunk_rows(F.lit(size).cast("bigint")))
-    cut = sized.withColumn("_i", _ordinals(chunk_count(F.col("row_count"), F.col("_size"))))
+    cut = _with_ordinals(sized, chunk_count(F.col("row_count"), F.col("_size")))
     start = F.col("_i") * F.col("_size")
     return cut.select(
         offset_chunk_id(migration, F.col("table_name"), start).alias("chunk_id"),

@@ -95,12 +95,10 @@ def _commit(spark: SparkSession, root: str, folders: dict[int, str], version: in
     spark.range(0, 1, 1, 1).select(F.inline(listed)).write.mode("overwrite").parquet(path)
 
 
-def _aligned(rows: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
-    """Shuffle so that each bucket lies in one task, which then writes one file
-    per bucket. The bucket number is Spark's own hash partitioning of the keys."""
-    if buckets == parallelism(rows.sparkSession):
-        return rows.repartition(*keys)
-    return rows.repartition(buckets, *keys)
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Bring a bucket's rows together for the write. Adaptive execution splits a
+    big bucket over tasks and puts small ones together."""
+    return rows.hint("rebalance", "_bucket")
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -135,11 +133,11 @@ def upsert(
     count = state.buckets or buckets or parallelism(spark)
     if order:
         rows = latest_per_key(rows, keys, list(order))
-    # The grouping above has already shuffled by key into as many partitions as
-    # the session uses; another shuffle is only needed for another bucket count.
-    if not order or count != parallelism(spark):
-        rows = _aligned(rows, keys, count)
     rows = rows.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(count)))
+    # The bucket number is Spark's own hash partitioning of the keys: picking the
+    # winners has already shuffled by it when the partition counts agree.
+    if not order or count != parallelism(spark):
+        rows = _by_bucket(rows)
     folder = f"{batch}-{uuid.uuid4().hex[:8]}"
     if not state.folders:
         made = _write(rows, root, folder)
@@ -173,7 +171,7 @@ def _merge(
             kept = stored.join(staged.select(*keys), same, "left_anti")
         staged = kept.unionByName(staged)
         if count != parallelism(spark):
-            staged = _aligned(staged, keys, count)
+            staged = _by_bucket(staged)
     made = _write(staged, root, folder)
     files.discard(spark, path)
     return made
@@ -217,16 +215,17 @@ def forget_versions(spark: SparkSession, root: str, keep: int) -> None:
             files.discard(spark, path)
 
 
-def purge_deleted(spark: SparkSession, root: str, before_lsn: str, keys: Sequence[str], batch: str, base: int = 16) -> int:
+def purge_deleted(spark: SparkSession, root: str, before_lsn: str, batch: str, base: int = 16) -> int:
     """Drop rows marked deleted before a log position: no event that old can come
-    again, so their marks are not needed any more."""
+    again, so their marks are not needed any more. Files are filtered in place of
+    their bucket, without a shuffle."""
     state = _State(spark, root, batch=batch)
     if state.committed or not state.folders:
         return state.version
     rows = _read_folders(spark, root, state.folders).drop("_batch")
     kept = rows.where(~(F.col("_deleted") & (F.col("_lsn") < lsn_rank(F.lit(before_lsn), base))))
     folder = f"{batch}-{uuid.uuid4().hex[:8]}"
-    made = _write(_aligned(kept, list(keys), state.buckets), root, folder)
+    made = _write(kept, root, folder)
     _commit(spark, root, {b: folder for b in made}, state.version + 1, batch, state.buckets)
     return state.version + 1
 

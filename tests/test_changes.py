@@ -80,7 +80,7 @@ def test_delete_takes_the_key_from_either_image(spark):
 def test_deleted_marks_can_be_purged(spark):
     root = fresh_dir(spark, "replica")
     changes.apply_changes(spark, root, events(spark, event(1, "INSERT", after='{"id":1,"value":1,"k":1}'), event(2, "DELETE", '{"id":2}'), event(9, "DELETE", '{"id":3}')), ROW, "id", "b1")
-    target.purge_deleted(spark, root, "0/5", ["id"], "purge")
+    target.purge_deleted(spark, root, "0/5", "purge")
     assert rows(target.read_target(spark, root, control=True), "id", "_deleted") == [(1, False), (3, True)]
     assert state(spark, root) == [(1, 1.0, 1)]
 

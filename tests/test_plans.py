@@ -25,6 +25,8 @@ def test_plan_chunks(spark):
 def test_plan_chunks_fixed(spark):
     found = rows(chunks.plan_chunks_fixed(tables(spark, a=2500, none=0), F.lit(1), 1000), "row_offset", "row_limit")
     assert found == [(0, 1000), (1000, 1000), (2000, 500)]
+    many = chunks.plan_chunks_fixed(tables(spark, a=25_001), F.lit(1), 1)
+    assert (many.count(), many.agg(F.sum("row_limit")).first()[0]) == (25_001, 25_001)
 
 
 @pytest.mark.parametrize("asked, size", [(None, 10000), (0, 10000), (99999, 50000), (-5, 1), (1234, 1234)])
