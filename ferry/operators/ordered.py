@@ -70,21 +70,28 @@ def row_positions(df: DataFrame, order: Sequence[str], blocks: int | None = None
     )
 
 
-def _inside(keys: Sequence[str]):
-    return Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+# Groups are compared as a struct of their columns: unlike a bare column, a struct
+# that holds a null equals another one, so a null group keeps its rows in the joins.
+def _keyed(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return tagged.withColumn("_key", F.struct(*keys))
 
 
-def _earlier(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+def _inside():
+    return Window.partitionBy("_key", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _earlier():
+    return Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_sum(tagged: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Inclusive running sum of a column per key over tagged blocks."""
-    totals = tagged.groupBy(*keys, "_block").agg(F.sum(value).alias("_total"))
-    carried = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(_earlier(keys)), F.lit(0)).alias("_carried"))
-    local = tagged.withColumn("_local", F.coalesce(F.sum(value).over(_inside(keys)), F.lit(0)))
-    summed = local.join(carried, [*keys, "_block"]).withColumn(name, F.col("_local") + F.col("_carried"))
-    return summed.drop("_local", "_carried")
+    tagged = _keyed(tagged, keys)
+    totals = tagged.groupBy("_key", "_block").agg(F.sum(value).alias("_total"))
+    carried = totals.select("_key", "_block", F.coalesce(F.sum("_total").over(_earlier()), F.lit(0)).alias("_carried"))
+    local = tagged.withColumn("_local", F.coalesce(F.sum(value).over(_inside()), F.lit(0)))
+    summed = local.join(carried, ["_key", "_block"]).withColumn(name, F.col("_local") + F.col("_carried"))
+    return summed.drop("_key", "_local", "_carried")
 
 
 def cumulative_progress(rows: DataFrame, key: str, order: Sequence[str], done: str, totals: DataFrame | None = None) -> DataFrame:
@@ -93,10 +100,11 @@ def cumulative_progress(rows: DataFrame, key: str, order: Sequence[str], done: s
     tagged = ordered_blocks(rows, [*order])
     if totals is None:
         totals = tagged.groupBy(key).agg(F.sum(done).alias("total_rows"))
-    counted = running_sum(tagged, [key], done, "rows_so_far").join(totals.select(key, "total_rows"), key, "left")
+    totals = totals.select(F.struct(key).alias("_key"), "total_rows")
+    counted = _keyed(running_sum(tagged, [key], done, "rows_so_far"), [key]).join(totals, "_key", "left")
     share = F.col("rows_so_far") * 100.0 / F.nullif(F.col("total_rows").cast("double"), F.lit(0.0))
     percent = F.when(F.col("total_rows") > 0, F.least(share, F.lit(100.0))).otherwise(F.lit(100.0))
-    return counted.withColumn("percent_so_far", percent).drop("_block", "_pos")
+    return counted.withColumn("percent_so_far", percent).drop("_key", "_block", "_pos")
 
 
 def consecutive_errors(polls: DataFrame, key: str, order: Sequence[str], outcome: str, limit: int) -> DataFrame:
@@ -108,19 +116,19 @@ def consecutive_errors(polls: DataFrame, key: str, order: Sequence[str], outcome
     failures of all earlier blocks minus their number at the last applied batch
     before it, which only takes two figures per (key, block).
     """
-    tagged = ordered_blocks(polls, [*order])
+    tagged = _keyed(ordered_blocks(polls, [*order]), [key])
     failed = (F.col(outcome) == "ERROR").cast("bigint")
-    local = tagged.withColumn("_failed", F.sum(failed).over(_inside([key])))
+    local = tagged.withColumn("_failed", F.sum(failed).over(_inside()))
     at_reset = F.when(F.col(outcome) == "APPLIED", F.col("_failed"))
-    local = local.withColumn("_reset", F.max(at_reset).over(_inside([key])))
-    blocks = local.groupBy(key, "_block").agg(F.max("_failed").alias("_sum"), F.max("_reset").alias("_last"))
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(_earlier([key])), F.lit(0)))
-    base = F.max(F.col("_before") + F.col("_last")).over(_earlier([key]))
-    blocks = blocks.select(key, "_block", (F.col("_before") - F.coalesce(base, F.lit(0))).alias("_inherited"))
+    local = local.withColumn("_reset", F.max(at_reset).over(_inside()))
+    blocks = local.groupBy("_key", "_block").agg(F.max("_failed").alias("_sum"), F.max("_reset").alias("_last"))
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(_earlier()), F.lit(0)))
+    base = F.max(F.col("_before") + F.col("_last")).over(_earlier())
+    blocks = blocks.select("_key", "_block", (F.col("_before") - F.coalesce(base, F.lit(0))).alias("_inherited"))
     run = F.when(F.col("_reset").isNotNull(), F.col("_failed") - F.col("_reset")).otherwise(F.col("_failed") + F.col("_inherited"))
     return (
-        local.join(blocks, [key, "_block"])
+        local.join(blocks, ["_key", "_block"])
         .withColumn("error_run", run)
         .withColumn("tripped", F.col("error_run") >= limit)
-        .drop("_block", "_pos", "_failed", "_reset", "_inherited")
+        .drop("_key", "_block", "_pos", "_failed", "_reset", "_inherited")
     )

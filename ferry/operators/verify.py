@@ -36,11 +36,12 @@ def approx_row_counts(spark, tables: dict[str, DataFrame | None]) -> DataFrame:
 
 def compare_row_counts(source: DataFrame, target: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows on both sides per group, with ``mismatch`` and ``verified``."""
-    left = source.groupBy(*by).agg(F.count(F.lit(1)).alias("source_rows"))
-    right = target.groupBy(*by).agg(F.count(F.lit(1)).alias("target_rows"))
-    both = left.join(right, list(by), "full_outer").na.fill(0, ["source_rows", "target_rows"])
+    group = F.struct(*by).alias("_group")  # a struct matches null groups too
+    left = source.groupBy(group).agg(F.count(F.lit(1)).alias("source_rows"))
+    right = target.groupBy(group).agg(F.count(F.lit(1)).alias("target_rows"))
+    both = left.join(right, "_group", "full_outer").na.fill(0, ["source_rows", "target_rows"])
     differs = F.col("source_rows") != F.col("target_rows")
-    return both.withColumn("mismatch", differs).withColumn("verified", ~differs)
+    return both.select("_group.*", "source_rows", "target_rows", differs.alias("mismatch"), (~differs).alias("verified"))
 
 
 def canonical_text(column: Column, data_type: T.DataType) -> Column:
@@ -105,16 +106,17 @@ def diff_tables(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Da
     MISSING_IN_TARGET or EXTRA_IN_TARGET.
 
     One shuffle of each side that carries the key and at most eight bytes per
-    column, whatever the width of the texts.
+    column, whatever the width of the texts. Keys are unique on each side; tables
+    without such a key go to ``diff_keyless``.
     """
     types = {f.name: f.dataType for f in source.schema.fields}
     values = [c for c in source.columns if c not in keys]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         prints = [_print_of(F.col(f"`{c}`"), types[c]).alias(f"{tag}_{i}") for i, c in enumerate(values)]
-        return df.select(*keys, *prints, F.lit(True).alias(f"{tag}_here"))
+        return df.select(F.struct(*keys).alias("_key"), *prints, F.lit(True).alias(f"{tag}_here"))
 
-    both = side(source, "s").join(side(target, "t"), list(keys), "full_outer")
+    both = side(source, "s").join(side(target, "t"), "_key", "full_outer")
     changed = F.array_compact(
         F.array(*[F.when(~F.col(f"s_{i}").eqNullSafe(F.col(f"t_{i}")), F.lit(c)) for i, c in enumerate(values)])
     )
@@ -125,7 +127,7 @@ def diff_tables(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Da
         .otherwise("MATCH")
     )
     names = F.when(status == "CHANGED", F.array_join(changed, ",")).otherwise(F.lit(""))
-    return both.select(*keys, status.alias("diff_status"), names.alias("changed_columns"))
+    return both.select("_key.*", status.alias("diff_status"), names.alias("changed_columns"))
 
 
 def diff_keyless(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -124,6 +124,14 @@ def test_running_errors_against_a_loop(spark):
         assert found[(m, b)] == (run[m], run[m] >= 4)
 
 
+def test_a_null_group_keeps_its_rows(spark):
+    df = spark.createDataFrame([(m, i, "ERROR", 2) for i in range(20) for m in (None, 1)], "m int, b int, outcome string, n int")
+    runs = ordered.consecutive_errors(df, "m", ["m", "b"], "outcome", 5)
+    assert rows(runs.groupBy("m").agg(F.max("error_run"))) == [(None, 20), (1, 20)]
+    summed = ordered.cumulative_progress(df, "m", ["m", "b"], "n")
+    assert rows(summed.groupBy("m").agg(F.max("rows_so_far"), F.max("percent_so_far"))) == [(None, 40, 100.0), (1, 40, 100.0)]
+
+
 def orders_plan(**more):
     return copy.CopyPlan(migration_id=1, table="orders", key="o_orderkey", stride=100, **more)
 

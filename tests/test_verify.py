@@ -45,6 +45,12 @@ def test_diff_sees_nulls_and_names_columns(spark):
     ]
 
 
+def test_null_keys_and_groups_are_matched(spark):
+    left = spark.createDataFrame([(None, 1), (1, 1)], "k int, v int")
+    assert rows(verify.diff_tables(left, left, ["k"])) == [(None, "MATCH", ""), (1, "MATCH", "")]
+    assert rows(verify.compare_row_counts(left, left, ["k"]), "k", "mismatch") == [(None, False), (1, False)]
+
+
 def test_sort_puts_nulls_last_both_ways(spark):
     df = spark.createDataFrame([(1, None), (2, "b"), (3, "a")], "id int, v string")
     assert [r.id for r in explore.sort_nulls_last(df, "v").collect()] == [3, 2, 1]
