@@ -27,6 +27,8 @@ from ferry.sources import files
 
 _COMMIT = "_bucket int, _folder string, buckets int"
 _NAME = re.compile(r"[A-Za-z0-9_.-]+")
+BUCKET_BYTES = 256 << 20
+MIN_BUCKETS = 8
 CONTROL = ("_lsn", "_event_id", "_deleted")
 
 
@@ -95,6 +97,13 @@ def _commit(spark: SparkSession, root: str, folders: dict[int, str], version: in
     spark.range(0, 1, 1, 1).select(F.inline(listed)).write.mode("overwrite").parquet(path)
 
 
+def _bucket_count(rows: DataFrame) -> int:
+    """Buckets for a new target: by the planner's size estimate of its first load,
+    at most as many as the session shuffles into."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(parallelism(rows.sparkSession), max(MIN_BUCKETS, -(-size // BUCKET_BYTES)))
+
+
 def _by_bucket(rows: DataFrame) -> DataFrame:
     """Bring a bucket's rows together for the write. Adaptive execution splits a
     big bucket over tasks and puts small ones together."""
@@ -122,7 +131,8 @@ def upsert(
     """Insert rows, or overwrite all columns where the key exists.
 
     ``order`` picks the row that wins when a batch repeats a key; without it the
-    keys must be unique in the batch. ``guard`` names columns that must be
+    keys must be unique in the batch. ``buckets`` is fixed by the first load, from
+    its size unless given. ``guard`` names columns that must be
     greater than the stored ones, else the stored row stays. ``batch`` names the
     content: a name that is already committed is skipped. Returns the version.
     """
@@ -130,7 +140,7 @@ def upsert(
     state = _State(spark, root, batch=batch)
     if state.committed:
         return state.version
-    count = state.buckets or buckets or parallelism(spark)
+    count = state.buckets or buckets or _bucket_count(rows)
     if order:
         rows = latest_per_key(rows, keys, list(order))
     rows = rows.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(count)))

@@ -116,7 +116,7 @@ def collapse_changes(keyed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def collapse_partial_changes(events: DataFrame, key: str, base: int = 16, keep: int = 1) -> DataFrame:
+def collapse_partial_changes(events: DataFrame, key: str, base: int = 16) -> DataFrame:
     """For sources whose after image holds only the changed fields: the newest
     value of every field per key, as rows (key, field, value).
 
