@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 from ferry.inputs import GIVEN
 from tests.conftest import SMALL
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name not in entry.CORPUS_RUNS}
+QUERIES = {name: run for name, run in entry.queries().items() if name not in entry.CORPUS_RUNS}
 
 
 @pytest.fixture(scope="module")
