@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferry.llm.arrays import Words, blocks, mixed
-from ferry.llm.graph import components
+from ferry.llm.graph import components, find, union
 from ferry.llm.shared import stored
 
 SHINGLE, SIMILAR = 5, 75
@@ -98,6 +98,76 @@ def _right_size(na: Column, nb: Column) -> Column:
     return 100 * F.least(na, nb) >= SIMILAR * F.greatest(na, nb)
 
 
+#: Documents and shingles of a block of an open family, at most about.
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_000_000
+
+
+def _compared(rows: pa.Table) -> pa.Table:
+    """Links between the documents of side 0 and side 1 that lie in different components:
+    one for each two components that meet. Every pair is compared on its full sets."""
+    side = rows.column("side").to_numpy()
+    lists = rows.column("shingles").combine_chunks()
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    _, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    ids, groups = rows.column("doc_id").to_numpy(), rows.column("component").to_numpy()
+    right = np.flatnonzero(side == 1)
+    links: list[tuple[int, int]] = []
+    if len(right):
+        flat = np.concatenate([codes[ends[j] : ends[j + 1]] for j in right])
+        starts = np.concatenate(([0], np.cumsum(sizes[right])))[:-1]
+        held = np.zeros(codes.max() + 1, dtype=np.int32)
+        parent: dict[int, int] = {}
+        for i in np.flatnonzero(side == 0):
+            mine = codes[ends[i] : ends[i + 1]]
+            held[mine] = 1
+            shared = np.add.reduceat(held[flat], starts)
+            held[mine] = 0
+            alike = (100 * shared >= SIMILAR * (sizes[right] + sizes[i] - shared)) & (groups[right] != groups[i])
+            for j in right[alike]:
+                if find(parent, int(groups[i])) != find(parent, int(groups[j])):
+                    union(parent, int(groups[i]), int(groups[j]))
+                    links.append((int(ids[i]), int(ids[j])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def open_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that are still missing between components which share a band value.
+
+    ``placed`` has (band, rep, component). Components that meet in a band form a family;
+    its documents outside the largest component are compared, block by block, with all
+    its documents. No pair leaves a task but the links.
+    """
+    meeting = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("band", "a")
+    still = stored(placed.join(meeting, "band").select("rep", "component", "a").distinct(), "open")
+    families = components(still.select("a", F.col("component").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    docs = still.select("rep", "component").distinct().join(families.union(families.select("family", "family")).distinct(), "component")
+    docs = docs.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").withColumn("n", F.size("shingles"))
+    docs = stored(docs, "open")
+    size = docs.groupBy("family", "component").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    blocks = lambda k, s: F.ceil(F.greatest(k / BLOCK_DOCS, s / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    top = F.max(F.struct("k", "component", "s"))
+    sized = size.groupBy("family").agg(top.alias("top"), F.sum("k").alias("k"), F.sum("s").alias("s")).select(
+        "family",
+        F.col("top.component").alias("largest"),
+        blocks(F.col("top.k"), F.col("top.s")).alias("inner"),
+        blocks(F.col("k") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("outer"),
+    )
+    known = docs.join(sized, "family").withColumn("outside", F.col("component") != F.col("largest"))
+    known = known.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    upto = lambda lo, n: F.when(n > lo, F.sequence(lo, n - 1)).otherwise(F.array().cast("array<int>"))
+    zero, own = F.lit(0), F.col("block")
+    partners = F.concat(
+        F.transform(upto(own, F.col("outer")), lambda j: F.struct(F.lit(True).alias("out"), j.alias("yb"))),
+        F.transform(upto(zero, F.col("inner")), lambda j: F.struct(F.lit(False).alias("out"), j.alias("yb"))),
+    )
+    what = [F.col("rep").alias("doc_id"), "component", "shingles"]
+    left = known.where("outside").select("family", own.alias("xb"), F.explode(partners).alias("y"), F.lit(0).alias("side"), *what).select("family", "xb", "y.out", "y.yb", "side", "doc_id", "component", "shingles")
+    wanted = F.when(F.col("outside"), F.sequence(zero, own)).otherwise(upto(zero, F.col("outer")))
+    right = known.select("family", F.explode(wanted).alias("xb"), F.col("outside").alias("out"), own.alias("yb"), F.lit(1).alias("side"), *what)
+    return left.unionByName(right).groupBy("family", "xb", "out", "yb").applyInArrow(_compared, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id that a document reaches over links.
 
@@ -105,9 +175,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        group costs a row per task); the smallest id stands for them.
     2. Each band value's documents are linked to the smallest of them, after a check of the
        full sets. Components of these links are found.
-    3. Where a band value still holds several components, documents outside its largest
-       one are checked against all its documents of other components. After that no two
-       documents that share a band value are left unchecked in different components.
+    3. Where a band value still holds several components, ``open_links`` compares what is
+       left. After that no two documents that share a band value are left unchecked in
+       different components.
 
     Texts without words, null ones included, are linked with nothing, and so are rows
     without an id. Repeated rows come back as often; rows with one id and different texts
@@ -126,27 +196,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = keyed.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("band", "centre")
     members = stored(keyed.join(buckets, "band"), "members")
     sizes = reps.select("rep", "n_shingles").distinct()
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        of = lambda c: sizes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").where(_right_size(F.col("na"), F.col("nb"))).select("a", "b")
-
+    of = lambda c: sizes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"))
+    pairs = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(_right_size(F.col("na"), F.col("nb"))).select("a", "b")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(shingle_sets(docs.join(involved, "doc_id", "left_semi")).distinct(), "sets")
-    first = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(confirmed(sized(first), sets), "links")
+    links = stored(confirmed(pairs, sets), "links")
     joined = stored(components(links), "joined")
-
     placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    open_bands = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("top.component").alias("largest"))
-    left = stored(placed.join(open_bands, "band"), "open")
-    outside = left.where("component <> largest").select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    other = left.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), "largest")
-    # Two documents that are both outside the largest component are checked once.
-    across = outside.join(other, "band").where("ca <> cb and (ca = largest or a < b)")
-    more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(confirmed(sized(more), sets), "links")
+    more = stored(open_links(placed, sets), "links")
     every = links.unionByName(more).unionByName(copies.select(F.col("rep").alias("a"), F.col("copy").alias("b")))
     labels = components(every)
     return found.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
