@@ -19,7 +19,9 @@ from ferry.llm.shared import stored
 #: Tokens of a sequence, and the id that ends a document.
 SEQUENCE, END = 2048, 1
 #: Pieces that one task ranks, about: hot lengths are split over more salts as data grows.
-RANKED = 200_000
+RANKED = 10_000
+#: Share of padding above which pieces are cut to fill gaps.
+PADDING = 0.01
 
 # How byte-level vocabularies cut text into pieces, and the bytes that
 # they spell as themselves (all others are spelled from code point 256 on).
@@ -143,12 +145,12 @@ def shortest_pack_first(histogram: dict[int, int]) -> Packs:
     return packs
 
 
-def fill_gaps(packs: Packs) -> None:
-    """Takes the emptiest packs apart, as many as the gaps add up to, and puts their pieces
-    into the gaps of the others: whole where one fits, else cut. Less than one sequence
-    of padding is left, and only pieces of the packs taken apart are cut."""
+def fill_gaps(packs: Packs, tokens: int) -> None:
+    """Takes the emptiest packs apart and puts their pieces into the gaps of the others:
+    whole where one fits, else cut. As many as it takes to bring the gaps down to
+    ``PADDING`` of all tokens; lengths that pack well by themselves are never cut."""
     loose: list[tuple[Part, int]] = []
-    apart = packs.gaps() // SEQUENCE
+    apart = max(0, packs.gaps() - int(PADDING * tokens)) // SEQUENCE
     while apart:
         parts, n = packs.take(packs.widest(1), apart)
         loose += [(part, n) for part in parts]
@@ -170,7 +172,7 @@ def plan(histogram: dict[int, int]) -> list[tuple[int, ...]]:
     """Slots (length, first, last, part_start, part_length, sequence, offset): piece ``first + i``
     of that length puts those of its ids into sequence ``sequence + i`` from ``offset`` on."""
     packs = shortest_pack_first(histogram)
-    fill_gaps(packs)
+    fill_gaps(packs, sum(length * n for length, n in histogram.items()))
     slots, sequence = [], 0
     for space in sorted(packs.by_space):
         for parts, n in packs.by_space[space]:
@@ -204,7 +206,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
 
     Texts are tokenized once and the pieces stored. Their lengths are counted, the plan is
     made from the counts (at most ``SEQUENCE`` rows), and pieces find their slot by rank.
-    Texts of cut pieces, and all if ids are asked for, are tokenized once more.
+    Texts of cut pieces, and all if ids are asked for, are tokenized once more; where the
+    plan cuts nothing, no text is read twice.
 
     Null and empty texts are one piece of one id; repeated rows are packed as often as they
     come; equal lengths are ranked by id; an empty table gives no rows; columns other
@@ -214,13 +217,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
     spark = docs.sparkSession
     pieces = stored(tokenize(docs, tokenizer), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = spark.createDataFrame(plan(histogram), SLOTS)
+    planned = plan(histogram)
+    slots = spark.createDataFrame(planned, SLOTS)
     p, s = ranked(pieces, sum(histogram.values())).alias("p"), F.broadcast(slots).alias("s")
     there = (F.col("p.length") == F.col("s.length")) & (F.col("p.rank") >= F.col("s.first")) & (F.col("p.rank") < F.col("s.last"))
     placed = p.join(s, there).select(*[F.col(f"p.{c}") for c in KEY], F.col("p.length").alias("whole"), "part_start", "part_length", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
-    placed = stored(placed, "placed")
     named = [F.col("doc_id"), (F.col("start") + F.col("part_start")).alias("start"), F.col("part_length").alias("length")]
     rest = [F.col("doc_tokens"), F.col("sequence_id"), F.col("offset")]
+    if not with_ids and all(length == taken for length, _, _, _, taken, _, _ in planned):
+        return placed.select(*named, "ids_crc32", *rest)
+    placed = stored(placed, "placed")
     cut = F.lit(True) if with_ids else F.col("part_length") < F.col("whole")
     again = placed.where(cut)
     wanted = again.select(F.col("doc_id").alias("_id")).distinct()
