@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferry.llm import contamination, dedup, language, licenses, packing, pii, quality, toxicity
+from ferry.llm import contamination, dedup, language, licenses, neighbours, packing, pii, quality, recurrent, toxicity
 from ferry.llm.shared import table
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,8 @@ RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": lambda spark, at: dedup.duplicates_report(table(spark, at, "documents")),
     "op5_personal_data": lambda spark, at: pii.personal_data_report(table(spark, at, "documents")),
     "op6_contamination": lambda spark, at: contamination.contamination_report(table(spark, at, "documents"), table(spark, at, "benchmark")),
+    "op7_recurrent": lambda spark, at: recurrent.score_texts(table(spark, at, "documents")),
+    "op8_neighbours": lambda spark, at: neighbours.neighbours_report(table(spark, at, "embeddings")),
     "op9_packing": lambda spark, at: packing.pack(table(spark, at, "documents")),
     "op10_language": lambda spark, at: language.language_report(table(spark, at, "documents")),
 }
