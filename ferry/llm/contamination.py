@@ -12,6 +12,8 @@ WINDOW = 13
 #: An index of at most so many windows is broadcast (under 400 bytes each), and at most
 #: so many anchor words are looked up inside the scan. Larger ones go through shuffles.
 BROADCAST_WINDOWS, ANCHORS_IN_SCAN = 50_000, 20_000
+#: A benchmark vocabulary of at most so many words is broadcast to count its words.
+BROADCAST_WORDS = 200_000
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -29,7 +31,9 @@ def window_index(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """
     distinct = windows.select("window").distinct().withColumn("window_id", F.xxhash64("window"))
     places = distinct.select("window_id", "window", F.posexplode("window").alias("offset", "anchor"))
-    vocabulary = places.select("anchor").distinct()
+    vocabulary = stored(places.select("anchor").distinct(), "vocabulary")
+    if vocabulary.count() <= BROADCAST_WORDS:
+        vocabulary = F.broadcast(vocabulary)
     held = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("anchor"))
     frequency = held.join(vocabulary, "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("n"))
     ranked = places.join(frequency, "anchor", "left").withColumn("rank", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor", "offset"))
