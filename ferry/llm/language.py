@@ -27,7 +27,9 @@ BITS = 14
 GRAMS = (1, 2, 3, 4)
 #: Labelled documents that the model is fitted on, at most, per language and in all, and
 #: the kernel's landmarks among them. The fit is a classifier's; scoring covers every text.
-TRAINING, MOST, LANDMARKS, RIDGE = 700, 4000, 256, 1e-2
+TRAINING, MOST, LANDMARKS, RIDGE = 704, 4000, 256, 1e-2
+#: A language's documents are ranked in so many parts, which share its number evenly.
+PARTS = 16
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -86,13 +88,14 @@ def fit(buckets: list[np.ndarray], languages: list[str]) -> Model:
 
 
 def training_sample(docs: DataFrame, per_language: int = TRAINING, most: int = MOST) -> DataFrame:
-    """The labelled documents of each language that come first by hash, ``per_language`` and
-    ``most`` in all at most, among those whose id's crc32 leaves a remainder by 5."""
+    """The labelled documents that come first by hash in each of ``PARTS`` parts of each
+    language, ``per_language`` and ``most`` in all at most, among those whose id's crc32
+    leaves a remainder by 5."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
-    order = Window.partitionBy("lang").orderBy("key")
+    order = Window.partitionBy("lang", F.pmod("key", F.lit(PARTS))).orderBy("key")
     # The rank limit runs on each partition before the shuffle as well.
     keys = labelled.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("key")).withColumn("rank", F.row_number().over(order))
-    first = keys.where(F.col("rank") <= per_language).orderBy("rank", "lang", "key").limit(most).select("doc_id", "lang").distinct()
+    first = keys.where(F.col("rank") <= max(1, per_language // PARTS)).orderBy("rank", "lang", "key").limit(most).select("doc_id", "lang").distinct()
     return labelled.join(F.broadcast(first), ["doc_id", "lang"])
 
 
