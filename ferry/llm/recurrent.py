@@ -26,8 +26,7 @@ HIDDEN, CLASSES, WIDTH, RARE = 16, 32, 64, 64
 VOCABULARY = CLASSES * WIDTH
 #: Most frequent words whose counts every task gets, at most. Others are joined.
 KNOWN = 200_000
-#: One training document in ``SHARE`` trains the network, in ``ROUNDS`` parts one after the
-#: other: each task trains on its own documents, and parameters are averaged by tokens.
+#: One training document in ``SHARE`` trains the network in each of ``ROUNDS`` rounds: each task trains on its own documents, and parameters are averaged by tokens.
 SHARE, ROUNDS, RATE = 16, 2, 0.01
 #: Documents side by side, steps of truncated back-propagation, steps of a scoring window.
 BATCH, STEPS, WINDOW, SIDE_BY_SIDE = 32, 16, 32, 512
@@ -74,8 +73,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Counts that every task needs. ``word`` is sorted; token 0 ends a document, 1 to RARE
-    are the rare ones, others are words."""
+    """Counts that every task needs. ``word`` is sorted as unsigned; token 0 ends a document,
+    1 to RARE are the rare ones, others are words."""
 
     word: np.ndarray
     count: np.ndarray
@@ -87,16 +86,28 @@ class Vocabulary:
     rare_distinct: np.ndarray
     unigram: np.ndarray
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in ``word`` of each hash, and whether it is there."""
-        if not len(self.word):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
-        return at, self.word[at] == hashes
-
-    def tokens(self, words: Words) -> np.ndarray:
-        at, there = self.look_up(words.hashes().view(np.int64))
-        found = np.where(there, self.token[at], 0) if len(self.word) else np.zeros(len(words.start), np.int64)
+    def __post_init__(self):
+        # Hashes are spread evenly, so their top bits lead to about one word.
+        self.top = 64 - max(4, int(len(self.word)).bit_length())
+        self.first = np.searchsorted(self.word, np.arange(1 << (64 - self.top), dtype=np.uint64) << np.uint64(self.top))
+        self.first = np.append(self.first, len(self.word))
+
+    def look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """Place in ``word`` of each hash, or -1."""
+        bucket = (hashes >> np.uint64(self.top)).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        found = np.full(len(hashes), -1)
+        open_rows = np.flatnonzero(at < end)
+        while len(open_rows):
+            here = at[open_rows]
+            same = self.word[here] == hashes[open_rows]
+            found[open_rows[same]] = here[same]
+            at[open_rows] += 1
+            open_rows = open_rows[~same & (here + 1 < end[open_rows])]
+        return found
+
+    def tokens(self, words: Words, place: np.ndarray) -> np.ndarray:
+        found = np.where(place >= 0, self.token[place], 0) if len(self.word) else np.zeros(len(place), np.int64)
         return np.where(found > 0, found, rare_token(words))
 
     def fields(self) -> tuple:
@@ -115,8 +126,10 @@ def make_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
         if taken + r.k > KNOWN:
             break
         taken, least = taken + r.k, r.least
-    known = words.where(F.col("n") >= least).toArrow().sort_by("word")
+    known = words.where(F.col("n") >= least).toArrow()
     word, count, rare = (known.column(c).to_numpy() for c in ("word", "n", "rare"))
+    order = np.argsort(word.view(np.uint64))
+    word, count, rare = word.view(np.uint64)[order], count[order], rare[order]
     top = np.lexsort((word, -count))[: VOCABULARY - RARE - 1]
     token = np.zeros(len(word), dtype=np.int64)
     token[top] = np.arange(len(top)) + RARE + 1
@@ -175,27 +188,38 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _picked(h: np.ndarray, w: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Log-softmax of ``h @ w + b`` at one place per row. States lie between -1 and 1, which
+    bounds the logits; where the bound is small no shift is needed before exp."""
+    x = h @ w + b
+    if np.abs(w).sum(axis=0).max() + np.abs(b).max() > 60:
+        return _log_softmax(x)[np.arange(len(x)), place]
+    chosen = x[np.arange(len(x)), place]
+    return chosen - np.log(np.exp(x, out=x).sum(axis=1))
+
+
 def token_scores(p: dict[str, np.ndarray], h: np.ndarray, seat: np.ndarray) -> np.ndarray:
     """Natural log probability of the token that sits there, for each state. States are
     taken class by class, so the products are dense."""
     group, place = seat // WIDTH, seat % WIDTH
-    out = _log_softmax(h @ p["c"] + p["cb"])[np.arange(len(h)), group]
-    order = np.argsort(group, kind="stable")
+    out = _picked(h, p["c"], p["cb"], group)
+    order = np.argsort(group.astype(np.int8), kind="stable")
     ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         rows = order[ends[c] : ends[c + 1]]
         if len(rows):
-            out[rows] += _log_softmax(h[rows] @ p["w"][c] + p["wb"][c])[np.arange(len(rows)), place[rows]]
+            out[rows] += _picked(h[rows], p["w"][c], p["wb"][c], place[rows])
     return out
 
 
-def slopes(p: dict[str, np.ndarray], saved: list[tuple], states: np.ndarray, seat: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the mean loss over a window, back to its first step."""
+def slopes(p: dict[str, np.ndarray], saved: list[tuple], states: np.ndarray, seat: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradient of the mean loss over a window, back to its first step. That of the input
+    table has the rows of the tokens that occur, which come second."""
     steps, batch = real.shape
     h, mask = states.reshape(-1, HIDDEN), real.reshape(-1).astype(np.float32)
     group, place = seat.reshape(-1) // WIDTH, seat.reshape(-1) % WIDTH
     n, rows = max(mask.sum(), 1), np.arange(len(h))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
     e = np.exp(_log_softmax(h @ p["c"] + p["cb"]))
     e[rows, group] -= 1
     e *= (mask / n)[:, None]
@@ -213,6 +237,7 @@ def slopes(p: dict[str, np.ndarray], saved: list[tuple], states: np.ndarray, sea
             dh[mine] += e @ p["w"][c].T
     dh = dh.reshape(steps, batch, HIDDEN)
     back = np.zeros((batch, HIDDEN), np.float32)
+    inputs = []
     for t in range(steps - 1, -1, -1):
         token, before, z, r, un, new = saved[t]
         d = dh[t] + back
@@ -220,11 +245,15 @@ def slopes(p: dict[str, np.ndarray], saved: list[tuple], states: np.ndarray, sea
         dz, dr = d * (before - new) * z * (1 - z), dn * un * r * (1 - r)
         da = np.concatenate((dz, dr, dn), axis=1)
         du = np.concatenate((dz, dr, dn * r), axis=1)
-        np.add.at(g["x"], token, da)
-        g["b"] += da.sum(axis=0)
+        inputs.append((token, da))
         g["u"] += before.T @ du
         back = d * z + du @ p["u"].T
-    return g
+    tokens, da = np.concatenate([t for t, _ in inputs]), np.concatenate([d for _, d in inputs])
+    g["b"] = da.sum(axis=0)
+    order = np.argsort(tokens, kind="stable")
+    seen, first = np.unique(tokens[order], return_index=True)
+    g["x"] = np.add.reduceat(da[order], first, axis=0)
+    return g, seen
 
 
 def train_task(p: dict[str, np.ndarray], texts: list[np.ndarray], seat: np.ndarray) -> int:
@@ -249,12 +278,15 @@ def train_task(p: dict[str, np.ndarray], texts: list[np.ndarray], seat: np.ndarr
                 h, keep = step(p, inputs[s], h)
                 states[-1] = h
                 saved.append(keep)
-            g = slopes(p, saved, np.stack(states), seat[target[t : t + STEPS]], real[t : t + STEPS])
+            g, seen = slopes(p, saved, np.stack(states), seat[target[t : t + STEPS]], real[t : t + STEPS])
             k += 1
             for name, x in p.items():
-                m[name] += 0.1 * (g[name] - m[name])
-                v[name] += 0.005 * (g[name] ** 2 - v[name])
-                x -= RATE * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.995**k)) + 1e-6)
+                # Only the input rows of tokens in the window move.
+                rows = seen if name == "x" else slice(None)
+                mean = m[name][rows] + 0.1 * (g[name] - m[name][rows])
+                square = v[name][rows] + 0.005 * (g[name] ** 2 - v[name][rows])
+                m[name][rows], v[name][rows] = mean, square
+                x[rows] -= RATE * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.995**k)) + 1e-6)
         done += int(real.sum())
     return done
 
@@ -285,7 +317,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> tuple[dict[str, np.ndarray
             for batch in batches:
                 for _, _, data, offsets in blocks(batch.column("text")):
                     words = Words(data, offsets)
-                    ids = known.tokens(words)
+                    ids = known.tokens(words, known.look_up(words.hashes()))
                     texts += [np.append(ids[lo:hi], 0) for lo, hi in zip(words.at[:-1], words.at[1:], strict=True)]
                     if sum(map(len, texts)) > COUNTED:
                         tokens += learned()
@@ -296,7 +328,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> tuple[dict[str, np.ndarray
                     part = flat[lo : lo + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array(part * tokens), pa.array(np.full(len(part), float(tokens)))], names=["place", "value", "weight"])
 
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == turn * SHARE // ROUNDS) if SHARE > ROUNDS else docs
+        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == turn)
         told = part.select("text").mapInArrow(run, "place long, value double, weight double")
         mean = told.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow().sort_by("place")
         if mean.num_rows:
@@ -365,10 +397,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
             texts, columns = [], {k: [] for k in ("n_known", "base", "model", "others")}
             for _, _, data, offsets in blocks(batch.column("text")):
                 words = Words(data, offsets)
-                hashes = words.hashes().view(np.int64)
-                at, there = known.look_up(hashes)
-                count = np.where(there, known.count[at], 0) if len(known.word) else np.zeros(len(hashes))
-                ids = known.tokens(words)
+                hashes = words.hashes()
+                place = known.look_up(hashes)
+                there = place >= 0
+                count = np.where(there, known.count[place], 0) if len(known.word) else np.zeros(len(hashes))
+                ids = known.tokens(words, place)
+                hashes = hashes.view(np.int64)
                 # A word that no task knows adds its count's part after the join.
                 own = np.where(there, np.log10(count + SMOOTH), 0.0)
                 model = np.where(ids <= RARE, own - within[np.minimum(ids, RARE)], 0.0)
