@@ -155,5 +155,7 @@ def language_report(docs: DataFrame) -> DataFrame:
 def with_known_language(docs: DataFrame) -> DataFrame:
     """Documents whose text has a language; those without a letter go."""
     columns = docs.columns
-    found = classify(docs, train(docs), carry=tuple(columns))
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*columns)
+    # Under names of their own, no column can clash with what is added.
+    numbered = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], F.col("text").alias("text"))
+    found = classify(numbered, train(docs), carry=tuple(f"_c{i}" for i in range(len(columns))))
+    return found.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])

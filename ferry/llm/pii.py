@@ -126,8 +126,10 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     and all other columns but n_chars (recounted), stay as they are.
     """
     columns = docs.columns
+    # Under names of their own, no column can clash with what is added.
+    numbered = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], F.col("text").alias("text"))
     marks = F.create_map(*[F.lit(v) for k in KINDS for v in (k.name, k.mask)])
-    found = find_personal_data(docs, carry=tuple(columns))
+    found = find_personal_data(numbered, carry=tuple(numbered.columns))
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
     body = F.col("text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -139,7 +141,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
 
     masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
     done = found.select("*", F.when(F.size("spans") > 0, masked).otherwise(body).alias("_masked"))
-    return done.select(*[F.col("_masked").alias(c) if c == "text" else F.length("_masked").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    return done.select(*[F.col("_masked").alias(c) if c == "text" else F.length("_masked").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def report_sql() -> str:
