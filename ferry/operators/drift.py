@@ -330,8 +330,9 @@ _QUOTE = {"MYSQL": "`", "POSTGRESQL": '"'}
 def create_table_ddl(columns: DataFrame, engine: str = "MYSQL") -> DataFrame:
     """CREATE TABLE text per table, columns in order. One key column is marked in
     line, several are listed at the end."""
-    q = F.lit(_QUOTE[engine])
-    name = F.concat(q, F.col("column_name"), q)
+    mark = _QUOTE[engine]
+    quoted = lambda c: F.concat(F.lit(mark), F.replace(F.col(c), F.lit(mark), F.lit(2 * mark)), F.lit(mark))
+    name = quoted("column_name")
     kind = F.col("column_type")
     precision, length = F.col("num_precision"), F.col("max_length")
     size = (
@@ -356,6 +357,6 @@ def create_table_ddl(columns: DataFrame, engine: str = "MYSQL") -> DataFrame:
     lines = F.transform("cs", lambda c: F.concat(c["d"], F.when(single & c["pk"], F.lit(" PRIMARY KEY")).otherwise("")))
     tail = F.when(F.size(keys) > 1, F.concat(F.lit(",\n    PRIMARY KEY ("), F.array_join(keys, ", "), F.lit(")"))).otherwise("")
     text = F.concat(
-        F.lit("CREATE TABLE "), q, F.col("table_name"), q, F.lit(" (\n"), F.array_join(lines, ",\n"), tail, F.lit("\n)")
+        F.lit("CREATE TABLE "), quoted("table_name"), F.lit(" (\n"), F.array_join(lines, ",\n"), tail, F.lit("\n)")
     )
     return listed.select(*TABLE, text.alias("ddl"))

@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ferry.functions.numbers import progress_percent
 from ferry.operators.metrics import change_counts
 from ferry.operators.ordered import latest_per_key
-from ferry.schemas import ERROR_TEXT_CHARS, STALL_SECONDS
+from ferry.schemas import JOB_STATUSES, STALL_SECONDS
 
 LEDGER = "migration_id bigint, chunk_id string, table_name string, status string, rows_done bigint, error string, noted_at timestamp_ntz"
 
 
-def current_ledger(ledger: DataFrame) -> DataFrame:
-    """Newest state row of each chunk; error texts are cut as when stored."""
+def current_ledger(ledger: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Newest state row of each chunk; error texts are whole unless a length is given."""
     now = latest_per_key(ledger, ["migration_id", "chunk_id"], ["noted_at", "status"])
-    return now.withColumn("error", F.substring("error", 1, ERROR_TEXT_CHARS))
+    return now if max_chars is None else now.withColumn("error", F.substring("error", 1, max_chars))
 
 
 def stalled_chunks(ledger_now: DataFrame, asof: str, limit_seconds: int = STALL_SECONDS) -> DataFrame:
@@ -47,7 +47,9 @@ def start_guard(jobs: DataFrame) -> DataFrame:
 
 def apply_status_updates(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     """Fold progress messages into the jobs: the newest value of each field that
-    was sent wins. COMPLETED forces 100 percent; COMPLETED and FAILED set the end time."""
+    was sent wins. COMPLETED forces 100 percent; COMPLETED and FAILED set the end time.
+    A status that no job can have is not taken over; the rest of its message is."""
+    updates = updates.withColumn("status", F.when(F.col("status").isin(*JOB_STATUSES), F.col("status")))
     when = F.struct("noted_at", "update_id")
 
     def newest(name: str) -> Column:

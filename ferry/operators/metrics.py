@@ -159,10 +159,11 @@ def migration_rate_eta(jobs: DataFrame, audit: DataFrame, checkpoints: DataFrame
     )
 
 
-def migration_metrics(jobs: DataFrame, audit: DataFrame, changes: DataFrame, runs: DataFrame, audit_cap: int = 100, recent: int = 10) -> DataFrame:
+def migration_metrics(jobs: DataFrame, audit: DataFrame, changes: DataFrame, runs: DataFrame, audit_cap: int | None = None, recent: int = 10) -> DataFrame:
     """Job fields with audit, change and run figures. ``recent_audits`` lists the
-    ids of the newest messages, newest first."""
-    logged = audit.groupBy("migration_id").agg(F.least(F.count(F.lit(1)), F.lit(audit_cap)).alias("audit_log_count"))
+    ids of the newest messages, newest first. ``audit_cap`` bounds the message count shown."""
+    messages = F.count(F.lit(1))
+    logged = audit.groupBy("migration_id").agg((messages if audit_cap is None else F.least(messages, F.lit(audit_cap))).alias("audit_log_count"))
     order = [F.col("occurred_at").desc(), F.col("audit_id").desc()]
     newest = (
         newest_n(audit.select("migration_id", "occurred_at", "audit_id"), ["migration_id"], order, recent)

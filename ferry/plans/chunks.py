@@ -56,16 +56,16 @@ def plan_chunks_fixed(tables: DataFrame, migration: Column, size: int | None = N
     )
 
 
-def plan_key_ranges(df: DataFrame, key: str, chunks: int, accuracy: int = 10_000) -> DataFrame:
+def plan_key_ranges(df: DataFrame, key: str, chunks: int, accuracy: int | None = None) -> DataFrame:
     """Disjoint key ranges ``[low, high)`` of about equal row counts.
 
     The inner bounds are approximate quantiles, so a dense stretch of keys gets
-    narrow ranges. The first range also takes nulls and all below, the last all
+    narrow ranges. Their accuracy grows with the number of chunks. The first range also takes nulls and all below, the last all
     above: together they cover every row.
     """
     none = F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")
     shares = [i / chunks for i in range(1, chunks)] or [0.5]
-    cuts = F.array_distinct(F.percentile_approx(key, shares, accuracy)) if chunks > 1 else F.first(none)
+    cuts = F.array_distinct(F.percentile_approx(key, shares, accuracy or max(10_000, 20 * chunks))) if chunks > 1 else F.first(none)
     bounds = df.agg(cuts.alias("_cuts")).select(F.coalesce("_cuts", none).alias("_cuts"))
     ranges = F.transform(
         F.sequence(F.lit(0), F.size("_cuts")),

@@ -212,7 +212,7 @@ def export_csv(t: Inputs):
 def export_json(t: Inputs):
     path = fresh_dir(t.spark, "export")
     rows = t.audit.select("audit_id", "event_type", "severity", "occurred_at")
-    sinks.export_json(rows, path, [F.col("occurred_at").desc(), F.col("audit_id").desc()])
+    sinks.export_json(rows, path, [F.col("occurred_at").desc(), F.col("audit_id").desc()], limit=1000)
     return t.spark.read.schema("audit_id bigint, event_type string, severity string, occurred_at string").json(path)
 
 

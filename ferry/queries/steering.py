@@ -600,7 +600,7 @@ _NEWEST_RUN = "(select * exclude (rn) from (select *, row_number() over (partiti
 
 @query(
     "migration_metrics",
-    f"""with l as (select migration_id, least(count(*), 100) as n from audit group by 1),
+    f"""with l as (select migration_id, count(*) as n from audit group by 1),
          r as (select migration_id, string_agg(cast(audit_id as varchar), ',' order by rn) as ids from (select *, row_number() over (partition by migration_id
            order by occurred_at desc, audit_id desc) as rn from audit) where rn <= 10 group by 1),
          e as (select migration_id, count(*) as total, count(*) filter (where status = 'PROCESSED') as p, count(*) filter (where status = 'FAILED') as f from change_events group by 1)

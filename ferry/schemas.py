@@ -31,7 +31,6 @@ KEEP_CHECKPOINTS = 5
 CHANGE_BATCH_ROWS = 1000
 AUDIT_RETENTION_DAYS = 90
 CHECKPOINT_RETENTION_DAYS = 30
-ERROR_TEXT_CHARS = 1000
 
 LSN = T.DecimalType(20, 0)
 

@@ -25,9 +25,10 @@ def export_csv(df: DataFrame, path: str, visible: Sequence[str], order: Sequence
     ).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
 
 
-def export_json(df: DataFrame, path: str, order: Sequence[Column], limit: int = 1000) -> None:
-    """The newest rows as JSON, up to the export's limit."""
-    df.orderBy(*order).limit(limit).write.mode("overwrite").option(
+def export_json(df: DataFrame, path: str, order: Sequence[Column], limit: int | None = None) -> None:
+    """The rows as JSON in the order given; with a limit, the first of them."""
+    rows = df.orderBy(*order)
+    (rows if limit is None else rows.limit(limit)).write.mode("overwrite").option(
         "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     ).json(path)
 

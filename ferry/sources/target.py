@@ -207,6 +207,8 @@ def roll_back(spark: SparkSession, root: str, to_version: int, batch: str) -> in
     now = _State(spark, root, batch=batch)
     if now.committed:
         return now.version
+    if to_version not in dict(versions(spark, root)):
+        raise ValueError(f"version {to_version} is not kept any more")
     _commit(spark, root, _State(spark, root, to_version).folders, now.version + 1, batch, now.buckets)
     return now.version + 1
 

@@ -258,3 +258,26 @@ def test_duplicate_key_keeps_the_first_row(spark):
     good, bad = quality.split_rows(quality.check_rows(df, [quality.not_null("k")], "k", "seq"))
     assert rows(good) == [(1, 0), (2, 0)]
     assert rows(bad, "k", "seq") == [(None, 0), (None, 1), (1, 1), (1, 2)]
+
+
+def test_rollback_to_a_forgotten_version_is_refused(spark):
+    root = fresh_dir(spark, "target")
+    one = target.upsert(spark, root, spark.createDataFrame([(1, "a")], "k int, v string"), ["k"], "b1")
+    target.upsert(spark, root, spark.createDataFrame([(2, "b")], "k int, v string"), ["k"], "b2")
+    target.forget_versions(spark, root, 1)
+    with pytest.raises(ValueError):
+        target.roll_back(spark, root, one, "undo")
+    assert target.read_target(spark, root).count() == 2
+
+
+def test_names_are_escaped_in_table_text(spark):
+    from ferry.operators import drift
+
+    schema = "migration_id int, database_name string, table_name string, column_name string, column_type string, ordinal int, nullable boolean, column_default string, auto_increment boolean, primary_key boolean, max_length int, num_precision int, num_scale int"
+    rows_ = [(1, "d", "we`ird", "c`1", "int", 1, True, None, False, False, None, None, None)]
+    names = {f: rows_[0][i] for i, f in enumerate(n.split()[0] for n in schema.split(", "))}
+    df = spark.createDataFrame(rows_, schema)
+    for key in drift.TABLE:
+        if key not in names:
+            df = df.selectExpr("*", f"'x' as {key}")
+    assert "`we``ird`" in drift.create_table_ddl(df).first().ddl and "`c``1`" in drift.create_table_ddl(df).first().ddl

@@ -100,3 +100,8 @@ def test_throughput_keeps_zero_days(spark):
     jobs = jobs.select("status", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "completed_at")])
     found = rows(metrics.daily_throughput(jobs, "2024-01-08 12:00:00"), "started", "completed", "failed", "day")
     assert len(found) == 7 and sum(r[0] for r in found) == 1 and sum(r[1] for r in found) == 1 and sum(r[2] for r in found) == 1
+
+
+def test_fast_checksum_tells_repeated_rows_apart(spark):
+    a, b = (spark.createDataFrame([(v,) for v in rows], "v string") for rows in ("AAB", "CCB"))
+    assert verify.fast_checksum(a).first() != verify.fast_checksum(b).first()
