@@ -73,19 +73,16 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 def table_checksum(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """Row count and an order-free sum of row digests, portable between engines.
 
-    The leading 32 bits of each MD5 are summed in two 16-bit halves, which fit a
-    long for any row count, and joined to one number at the end. Everything is
-    partially aggregated before the only shuffle.
+    All 128 bits of each MD5 count: four 32-bit parts are summed apart, each in two
+    16-bit halves, which fit a long for any row count. The four sums make the checksum.
+    Everything is partially aggregated before the only shuffle.
     """
-    digest = F.conv(F.substring(F.md5(row_text(df, columns)), 1, 8), 16, 10).cast("bigint")
-    halves = df.select(*by, digest.alias("_digest")).select(
-        *by, F.shiftright("_digest", 16).alias("_high"), F.col("_digest").bitwiseAND(F.lit(0xFFFF)).alias("_low")
-    )
-    sums = halves.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("row_count"), F.sum("_high").alias("_high"), F.sum("_low").alias("_low")
-    )
-    total = F.col("_high").cast("decimal(24,0)") * 65536 + F.col("_low")
-    return sums.select(*by, "row_count", F.coalesce(total, F.lit(0)).cast("decimal(38,0)").cast("string").alias("checksum"))
+    digest = df.select(*by, F.md5(row_text(df, columns)).alias("_digest"))
+    parts = digest.select(*by, *[F.conv(F.substring("_digest", 8 * k + 1, 8), 16, 10).cast("bigint").alias(f"_{k}") for k in range(4)])
+    halves = [F.sum(half).alias(f"_{k}_{name}") for k in range(4) for name, half in (("high", F.shiftright(f"_{k}", 16)), ("low", F.col(f"_{k}").bitwiseAND(F.lit(0xFFFF))))]
+    sums = parts.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), *halves)
+    total = [F.coalesce(F.col(f"_{k}_high").cast("decimal(24,0)") * 65536 + F.col(f"_{k}_low"), F.lit(0)).cast("decimal(38,0)").cast("string") for k in range(4)]
+    return sums.select(*by, "row_count", F.concat_ws("-", *total).alias("checksum"))
 
 
 def fast_checksum(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
