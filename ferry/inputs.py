@@ -221,7 +221,7 @@ RULES: dict[str, list[tuple[str, tuple[str, ...], str | None]]] = {
                 "c_nationkey",
                 "cast(cast(c_acctbal as decimal(12,2)) as string) as c_acctbal",
                 "c_mktsegment",
-                "1 as copy_no",
+                "case when c_custkey % 3 = 0 then 0 when c_custkey % 5 = 0 then cast(null as int) else 1 end as copy_no",
             ),
             "c_custkey % 17 = 0",
         ),
@@ -419,10 +419,12 @@ RULES.update(
         ],
         "key_columns": [
             ("orders", (*_CATALOG_KEY, f"{_FK} as constraint_name", "'user_id' as column_name", "1 as ordinal"), None),
+            ("orders", (*_CATALOG_KEY, f"{_FK} as constraint_name", "'tenant_id' as column_name", "2 as ordinal"), "o_orderkey % 5 = 0"),
             ("orders", (*_CATALOG_KEY, "concat('t_', cast(o_orderkey as string), '_pkey') as constraint_name", "'id' as column_name", "1 as ordinal"), None),
         ],
         "referenced_columns": [
-            ("orders", ("o_custkey as migration_id", f"{_FK} as constraint_name", "'users' as referenced_table", "'id' as referenced_column"), None),
+            ("orders", (*_CATALOG_KEY, f"{_FK} as constraint_name", "'users' as referenced_table", "'id' as referenced_column", "1 as ordinal"), None),
+            ("orders", (*_CATALOG_KEY, f"{_FK} as constraint_name", "'users' as referenced_table", "'tenant' as referenced_column", "2 as ordinal"), "o_orderkey % 5 = 0"),
         ],
         "catalog_tables": [
             (

@@ -299,13 +299,15 @@ def compare_schemas(
 
 
 def foreign_key_map(constraints: DataFrame, key_columns: DataFrame, referenced: DataFrame) -> DataFrame:
-    """Constraint → column → referenced table and column, matched by database and
-    constraint name."""
-    fks = constraints.where(F.col("constraint_type") == "FOREIGN KEY").select("migration_id", "table_name", "constraint_name")
+    """Constraint → column → referenced table and column. A constraint is told by
+    database, table and name (names repeat between tables), and the n-th column of
+    a key refers to the n-th referenced one: both sides carry ``ordinal``."""
+    names = ["migration_id", "table_name", "constraint_name"]
+    fks = constraints.where(F.col("constraint_type") == "FOREIGN KEY").select(*names)
     return (
-        fks.join(key_columns.select("migration_id", "constraint_name", "column_name"), ["migration_id", "constraint_name"])
-        .join(referenced, ["migration_id", "constraint_name"])
-        .select("migration_id", "table_name", "constraint_name", "column_name", "referenced_table", "referenced_column")
+        fks.join(key_columns.select(*names, "ordinal", "column_name"), names)
+        .join(referenced.select(*names, "ordinal", "referenced_table", "referenced_column"), [*names, "ordinal"])
+        .select(*names, "column_name", "referenced_table", "referenced_column")
     )
 
 

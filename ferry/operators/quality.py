@@ -29,22 +29,33 @@ def one_of(column: str, allowed: Sequence) -> tuple[str, Column]:
 def check_rows(df: DataFrame, rules: Sequence[tuple[str, Column]], key: str | None = None, order: str | None = None) -> DataFrame:
     """Add ``reasons``: the names of the rules a row breaks, in rule order.
 
-    With a key, every row but the first (by ``order``) of a repeated key breaks
-    ``duplicate key``. Only keys that do repeat take part in that join, and they
-    come from a partial aggregate, so a hot key is not gathered in one task.
+    With a key, only rows that keep every rule compete for it: the first of them by
+    ``order`` stays, the others break ``duplicate key``. Where two tie for the first
+    place, or no row of a repeated key has an order, all of these break ``ambiguous
+    copy``: nothing says which one to load. Rows are counted by (key, order) first and
+    only keys that do repeat take part in the join, so a hot key is not gathered in
+    one task.
     """
-    broken = [F.when(~ok, F.lit(name)) for name, ok in rules]
-    if key:
-        repeated = (
-            df.where(F.col(key).isNotNull())
-            .groupBy(key)
-            .agg(F.count(F.lit(1)).alias("_copies"), F.min(order).alias("_first"))
-            .where(F.col("_copies") > 1)
-            .drop("_copies")
-        )
-        df = df.join(repeated, key, "left")
-        broken.append(F.when(F.col("_first").isNotNull() & (F.col(order) > F.col("_first")), F.lit("duplicate key")))
-    return df.withColumn("reasons", F.array_compact(F.array(*broken))).drop("_first")
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]).cast("array<string>"))
+    checked = df.withColumn("reasons", broken)
+    if not key:
+        return checked
+    fit = (F.size("reasons") == 0) & F.col(key).isNotNull()
+    repeated = (
+        checked.where(fit)
+        .groupBy(key, F.col(order).alias("_order"))
+        .agg(F.count(F.lit(1)).alias("_ties"))
+        .groupBy(key)
+        .agg(F.sum("_ties").alias("_copies"), F.min("_order").alias("_first"), F.min_by("_ties", "_order").alias("_ties"))
+        .where(F.col("_copies") > 1)
+    )
+    competes = (F.size("reasons") == 0) & F.col("_copies").isNotNull()
+    later = F.col("_first").isNotNull() & (F.col(order).isNull() | (F.col(order) > F.col("_first")))
+    reason = F.when(later, F.array(F.lit("duplicate key"))).when(
+        F.col("_first").isNull() | (F.col("_ties") > 1), F.array(F.lit("ambiguous copy"))
+    )
+    told = F.when(competes & reason.isNotNull(), reason).otherwise(F.col("reasons"))
+    return checked.join(repeated, key, "left").withColumn("reasons", told).drop("_copies", "_first", "_ties")
 
 
 def split_rows(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

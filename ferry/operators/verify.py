@@ -148,23 +148,39 @@ def diff_keyless(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
+_FIXED_BYTES = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+
+
+def value_bytes(column: Column, data_type: T.DataType) -> Column:
+    """Bytes of one value: texts by their length, numbers by their width, arrays,
+    maps and structs by what they hold. A null counts its width, or nothing."""
+    zero = F.lit(0).cast("bigint")
+    if isinstance(data_type, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column).cast("bigint"), zero)
+    if isinstance(data_type, T.StructType):
+        return reduce(lambda a, b: a + b, [value_bytes(column[f.name], f.dataType) for f in data_type.fields], zero)
+    if isinstance(data_type, T.MapType):
+        keys, values = T.ArrayType(data_type.keyType), T.ArrayType(data_type.valueType)
+        return value_bytes(F.map_keys(column), keys) + value_bytes(F.map_values(column), values)
+    if isinstance(data_type, T.ArrayType):
+        if type(data_type.elementType) in _FIXED_BYTES or isinstance(data_type.elementType, (T.NumericType, T.DatetimeType)):
+            each = _FIXED_BYTES.get(type(data_type.elementType), 8)
+            return F.coalesce(F.array_size(column).cast("bigint"), zero) * each
+        held = F.aggregate(column, zero, lambda total, item: total + value_bytes(item, data_type.elementType))
+        return F.coalesce(held, zero)
+    return F.lit(_FIXED_BYTES.get(type(data_type), 8)).cast("bigint")
+
+
 def size_estimate(tables: dict[str, DataFrame], rows_per_second: float) -> DataFrame:
     """Rows, bytes of the values and copy seconds per table, one pass each."""
-    fixed = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
     parts = []
     for name, df in tables.items():
-        width, texts = 0, []
-        for f in df.schema.fields:
-            if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-                texts.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("bigint"))
-            else:
-                width += fixed.get(type(f.dataType), 8)
-        long_bytes = reduce(lambda a, b: a + b, texts) if texts else F.lit(0).cast("bigint")
+        width = reduce(lambda a, b: a + b, [value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
         parts.append(
-            df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(long_bytes), F.lit(0)).alias("_long")).select(
+            df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(width), F.lit(0)).cast("bigint").alias("estimated_bytes")).select(
                 F.lit(name).alias("table_name"),
                 "row_count",
-                (F.col("_long") + F.col("row_count") * width).cast("bigint").alias("estimated_bytes"),
+                "estimated_bytes",
                 F.ceil(F.col("row_count") / F.lit(float(rows_per_second))).cast("bigint").alias("estimated_seconds"),
             )
         )

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from ferry.functions import convert, numbers, text
-from ferry.inputs import Inputs
+from ferry.inputs import GIVEN, Inputs
 from ferry.operators import explore, mask, ordered, quality
 from ferry.plans import chunks, copy
 from ferry.queries.registry import query
 from ferry.session import fresh_dir
 from ferry.sources import sinks, tables, target
 
-COPIED = ("lineitem", "orders", "customer", "part", "supplier")
-_COUNTED = " union all ".join(f"select '{n}' as table_name, count(*) as row_count from {n}" for n in COPIED)
+_COUNTED = " union all ".join(f"select '{n}' as table_name, count(*) as row_count from {n}" for n in GIVEN)
 
 
 def _row_counts(t: Inputs):
     from ferry.operators.verify import table_row_counts
 
-    return table_row_counts({n: getattr(t, n) for n in COPIED})
+    return table_row_counts({n: getattr(t, n) for n in GIVEN})
 
 
 # ---- scans -----------------------------------------------------------------
@@ -122,15 +121,21 @@ def upsert_rows(t: Inputs):
     return target.read_target(t.spark, root)
 
 
-@query(
-    "load_with_quarantine",
-    """select c_custkey, copy_no, array_to_string(list_filter([
+# Rules first; of the rows that keep them, a key's first one is loaded unless two tie for it.
+_CHECKED = """, r as (select *, row_number() over () as rn, list_filter([
            case when c_name is null then 'c_name is null' end,
            case when c_nationkey = -1 then 'c_nationkey is not allowed' end,
-           case when c_acctbal = 'n/a' then 'c_acctbal is not double' end,
-           case when copy_no > 0 then 'duplicate key' end], lambda x: x is not null), '; ') as reasons,
-         not (c_name is null or c_nationkey = -1 or c_acctbal = 'n/a' or copy_no > 0) as loaded
-       from dirty""",
+           case when c_acctbal = 'n/a' then 'c_acctbal is not double' end], lambda x: x is not null) as broken from dirty),
+       f as (select rn, count(*) over k as copies, min(copy_no) over k as first_no,
+           count(*) over (partition by c_custkey, copy_no) as ties from r where len(broken) = 0 window k as (partition by c_custkey)),
+       checked as (select r.*, case when len(broken) > 0 then array_to_string(broken, '; ') when copies = 1 then ''
+           when first_no is null then 'ambiguous copy' when copy_no is null or copy_no > first_no then 'duplicate key'
+           when ties > 1 then 'ambiguous copy' else '' end as reasons from r left join f using (rn))"""
+
+
+@query(
+    "load_with_quarantine",
+    f"{_CHECKED} select c_custkey, copy_no, reasons, reasons = '' as loaded from checked",
     ("dirty",),
 )
 def load_with_quarantine(t: Inputs):
@@ -170,15 +175,17 @@ _DIRTY_CSV = T.StructType(
 
 @query(
     "scan_csv",
-    """select c_custkey, copy_no, c_acctbal <> 'n/a' as readable,
+    """select c_custkey, copy_no, c_name || chr(10) || '"' || c_mktsegment as c_name, c_acctbal <> 'n/a' as readable,
          case when c_acctbal <> 'n/a' then cast(c_acctbal as double) end as c_acctbal from dirty""",
     ("dirty",),
 )
 def scan_csv(t: Inputs):
+    """Texts with line breaks and quotes, numbers that are none."""
     path = fresh_dir(t.spark, "csv")
-    t.dirty.write.option("header", True).csv(path)
+    name = F.concat("c_name", F.lit('\n"'), "c_mktsegment")
+    sinks.export_csv(t.dirty.withColumn("c_name", name), path, t.dirty.columns)
     good, bad = tables.scan_csv(t.spark, path, _DIRTY_CSV)
-    names = ["c_custkey", "copy_no", "c_acctbal"]
+    names = ["c_custkey", "copy_no", "c_name", "c_acctbal"]
     return good.select(*names, F.lit(True).alias("readable")).unionByName(bad.select(*names, F.lit(False).alias("readable")))
 
 
@@ -344,10 +351,10 @@ def copy_pending_chunks(t: Inputs):
 
 @query(
     "copy_table",
-    """select cast(1 as bigint) as migration_id, 'customer' as table_name,
-         count(*) filter (where c_name is not null and c_nationkey <> -1 and c_acctbal <> 'n/a' and copy_no = 0) as rows_copied,
+    f"""{_CHECKED} select cast(1 as bigint) as migration_id, 'customer' as table_name,
+         count(*) filter (where reasons = '') as rows_copied,
          count(distinct c_custkey // 100) as chunks_total, count(distinct c_custkey // 100) as chunks_completed, 100.0e0 as progress_percent
-       from dirty""",
+       from checked""",
     ("dirty",),
 )
 def copy_table(t: Inputs):

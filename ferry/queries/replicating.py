@@ -161,7 +161,7 @@ def cdc_resume(t: Inputs):
     events = t.change_events
     half = events.agg(F.max("event_id")).first()[0] // 2
     for part in (events.where(F.col("event_id") <= half), events.where(F.col("event_id") > half)):
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.write.mode("append").parquet(folder)
         stream = changes.change_source(t.spark, folder)
         changes.start_apply(stream, root, checkpoint, ROW, "id").awaitTermination()
     return store.read_target(t.spark, root)

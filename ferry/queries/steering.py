@@ -363,7 +363,8 @@ def compare_schemas(t: Inputs):
 @query(
     "foreign_key_map",
     """select c.migration_id, c.table_name, c.constraint_name, k.column_name, r.referenced_table, r.referenced_column
-       from table_constraints c join key_columns k using (migration_id, constraint_name) join referenced_columns r using (migration_id, constraint_name)
+       from table_constraints c join key_columns k using (migration_id, table_name, constraint_name)
+         join referenced_columns r using (migration_id, table_name, constraint_name, ordinal)
        where c.constraint_type = 'FOREIGN KEY'""",
     ("table_constraints", "key_columns", "referenced_columns"),
 )

@@ -39,20 +39,39 @@ def scan_chunk(df: DataFrame, key: str, low, high) -> DataFrame:
     return df.where((F.col(key) >= F.lit(low)) & (F.col(key) < F.lit(high)))
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and rows that do not fit the schema with their raw text."""
-    with_raw = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+def scan_csv(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, quoted_newlines: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and rows that do not fit the schema with their raw text.
+
+    All columns are read as text and cast afterwards; whether a row fits looks at
+    every column, so the split is the same whichever columns are asked for.
+    Texts may hold line breaks; files known to hold none can be cut into many
+    tasks with ``quoted_newlines=False``.
+    """
+    names = [f.name for f in schema.fields]
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt_record"]])
     rows = (
-        spark.read.schema(with_raw)
+        spark.read.schema(texts)
         .option("header", header)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
+        .option("columnPruning", False)
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", quoted_newlines)
         .csv(path)
     )
-    good = rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return good, rows.where(F.col("_corrupt_record").isNotNull())
+    # The length keeps a column beside the raw text in every read, which Spark asks for.
+    fits = F.col("_corrupt_record").isNull() & (F.coalesce(F.length(f"`{names[0]}`"), F.lit(0)) >= 0)
+    typed = []
+    for f in schema.fields:
+        text = F.col(f"`{f.name}`")
+        value = text if isinstance(f.dataType, T.StringType) else text.try_cast(f.dataType)
+        typed.append(value.alias(f.name))
+        fits = fits & (text.isNull() | value.isNotNull())
+    marked = rows.withColumn("_fits", fits)
+    raw = F.coalesce("_corrupt_record", F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]))).alias("_corrupt_record")
+    return marked.where("_fits").select(*typed), marked.where("not _fits").select(*typed, raw)
 
 
 def catalog_type(data_type: T.DataType) -> str:

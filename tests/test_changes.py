@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ferry.functions import convert
 from ferry.operators import drift
@@ -185,3 +185,15 @@ def test_columns_come_in_catalog_order(t):
     assert tables.scan_columns(t.orders, ["o_orderdate", "o_orderkey"]).columns == ["o_orderkey", "o_orderdate"]
     with pytest.raises(ValueError):
         tables.scan_columns(t.orders, ["nope"])
+
+
+def test_csv_rows_split_alike_whatever_is_selected(spark):
+    folder = fresh_dir(spark, "csv")
+    lines = ['a,b,c', '1,x,2', 'one,y,3', '4,z', '5,"two\nlines ""q""",', '6,w,7,8']
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(folder)
+    good, bad = tables.scan_csv(spark, folder, T.StructType.fromDDL("a int, b string, c int"))
+    assert rows(good) == [(1, "x", 2), (5, 'two\nlines "q"', None)]
+    assert good.count() == 2 and bad.count() == 3
+    assert rows(good, "b") == [('two\nlines "q"',), ("x",)] and good.select("a").count() == 2
+    assert bad.select("b").count() == 3
+    assert rows(bad, "_corrupt_record") == [("4,z",), ("6,w,7,8",), ("one,y,3",)]

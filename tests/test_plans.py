@@ -260,6 +260,26 @@ def test_duplicate_key_keeps_the_first_row(spark):
     assert rows(bad, "k", "seq") == [(None, 0), (None, 1), (1, 1), (1, 2)]
 
 
+def test_rules_come_before_copies_and_ties_are_held(spark):
+    schema = "k int, v string, seq int"
+    data = [
+        (1, None, 0), (1, "good", 1),  # the first copy is bad, the second is loaded
+        (2, "a", 0), (2, "b", 0), (2, "c", 1),  # two tie for the first place
+        (3, "a", None), (3, "b", None),  # nothing orders them
+        (4, "a", None), (4, "b", 5),  # one has an order
+        (5, "only", None),
+    ]
+    checked = quality.check_rows(spark.createDataFrame(data, schema), [quality.not_null("v")], "k", "seq")
+    good, bad = quality.split_rows(checked)
+    assert rows(good, "k", "v") == [(1, "good"), (4, "b"), (5, "only")]
+    held = rows(bad.select("k", "v", F.array_join("reasons", ",")))
+    assert held == [
+        (1, None, "v is null"), (2, "a", "ambiguous copy"), (2, "b", "ambiguous copy"), (2, "c", "duplicate key"),
+        (3, "a", "ambiguous copy"), (3, "b", "ambiguous copy"), (4, "a", "duplicate key"),
+    ]
+    assert checked.columns == ["k", "v", "seq", "reasons"]
+
+
 def test_rollback_to_a_forgotten_version_is_refused(spark):
     root = fresh_dir(spark, "target")
     one = target.upsert(spark, root, spark.createDataFrame([(1, "a")], "k int, v string"), ["k"], "b1")

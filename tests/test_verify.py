@@ -106,3 +106,8 @@ def test_throughput_keeps_zero_days(spark):
 def test_fast_checksum_tells_repeated_rows_apart(spark):
     a, b = (spark.createDataFrame([(v,) for v in rows], "v string") for rows in ("AAB", "CCB"))
     assert verify.fast_checksum(a).first() != verify.fast_checksum(b).first()
+
+
+def test_nested_values_count_with_what_they_hold(spark):
+    df = spark.sql("select array(1.0d, 2.0d) as a, named_struct('x', 'abc', 'y', 1) as s, map('k', array(1, 2)) as m, array('ab', null) as t, cast(null as array<int>) as n")
+    assert verify.size_estimate({"t": df}, 10).first().estimated_bytes == 16 + 7 + 9 + 2
