@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-# Above this a double has no room for hundredths.
-MAX_HUNDREDTHS = 2.0**53 / 100
+# Bits of a double's mantissa; from here on every double is a whole number.
+_MANTISSA = 2.0**53
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -44,30 +44,65 @@ def compare_row_counts(source: DataFrame, target: DataFrame, by: Sequence[str])
     return both.select("_group.*", "source_rows", "target_rows", differs.alias("mismatch"), (~differs).alias("verified"))
 
 
+def _double_text(value: Column) -> Column:
+    """The exact value, by arithmetic that loses no bit: the whole part, then the
+    fraction in steps of 53 bits until nothing is left. So other engines can spell
+    it too; only what lies beyond (2^53 and more, bits below 2^-106, not finite) is
+    spelled by the engine itself, just as exactly."""
+    size = F.abs(value)
+    whole = F.floor(size)
+    first = (size - whole) * _MANTISSA
+    rest = (first - F.floor(first)) * _MANTISSA
+    beyond = rest - F.floor(rest)
+    tail = F.when(rest == 0, "").when(beyond == 0, F.concat(F.lit("."), F.floor(rest).cast("string"))).otherwise(
+        F.concat(F.lit("."), F.floor(rest).cast("string"), F.lit("."), beyond.cast("string"))
+    )
+    sign = F.when(value < 0, "-").otherwise("")
+    exact = F.concat(sign, whole.cast("string"), F.lit("."), F.floor(first).cast("string"), tail)
+    return F.when(size < _MANTISSA, exact).otherwise(value.cast("string"))
+
+
 def canonical_text(column: Column, data_type: T.DataType) -> Column:
-    """One spelling per value, the same in other engines: floating point as whole
-    hundredths, times as microseconds since 1970. Both are integer arithmetic,
-    which is far cheaper here than decimal or date formatting."""
+    """One exact spelling per value, which other engines can give too: floating point
+    by its bits, times as microseconds since 1970, texts led by their length, and
+    nested values as the count of their parts and the parts, each spelled this way.
+    Maps are spelled in the order of their entries' texts. Null stays null."""
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        hundredths = F.floor(column * 100.0 + 0.5)
-        return F.when(F.abs(column) < MAX_HUNDREDTHS, hundredths.cast("string")).otherwise(column.cast("string"))
+        return _double_text(column.cast("double"))
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         epoch = F.lit("1970-01-01 00:00:00").cast(data_type)
         return F.timestamp_diff("MICROSECOND", epoch, column).cast("string")
-    return column.cast("string")
+    if isinstance(data_type, (T.NumericType, T.DateType, T.BooleanType)):
+        return column.cast("string")
+    if isinstance(data_type, T.StructType):
+        return F.when(column.isNotNull(), _parts_text([_part(column[f.name], f.dataType) for f in data_type.fields]))
+    if isinstance(data_type, T.ArrayType):
+        return _list_text(F.transform(column, lambda item: _part(item, data_type.elementType)))
+    if isinstance(data_type, T.MapType):
+        entry = lambda e: F.concat(_part(e["key"], data_type.keyType), F.lit("|"), _part(e["value"], data_type.valueType))
+        return _list_text(F.array_sort(F.transform(F.map_entries(column), entry)))
+    text = F.hex(column) if isinstance(data_type, T.BinaryType) else column.cast("string")
+    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
+
+
+def _part(column: Column, data_type: T.DataType) -> Column:
+    return F.coalesce(canonical_text(column, data_type), F.lit("-"))
+
+
+def _parts_text(parts: Sequence[Column]) -> Column:
+    return F.concat(F.lit("["), F.concat_ws("|", *parts), F.lit("]"))
+
+
+def _list_text(parts: Column) -> Column:
+    return F.concat(F.array_size(parts).cast("string"), F.lit("["), F.array_join(parts, "|"), F.lit("]"))
 
 
 def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """All fields in one text that no other row content can spell: fields end at a
-    bar, texts (which may hold bars) are led by their length, null is a lone dash."""
+    bar, texts (which may hold bars) are led by their length, lists by their count,
+    null is a lone dash."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
-    for name in columns or df.columns:
-        text = canonical_text(F.col(f"`{name}`"), types[name])
-        if not isinstance(types[name], (T.NumericType, T.DatetimeType, T.BooleanType)):
-            text = F.concat(F.length(text).cast("string"), F.lit(":"), text)
-        parts.append(F.coalesce(text, F.lit("-")))
-    return F.concat_ws("|", *parts)
+    return F.concat_ws("|", *[_part(F.col(f"`{name}`"), types[name]) for name in columns or df.columns])
 
 
 def table_checksum(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -94,9 +129,11 @@ def fast_checksum(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _print_of(column: Column, data_type: T.DataType) -> Column:
     """Fixed-width values as they are, long ones as a 64-bit hash (null stays null)."""
-    if isinstance(data_type, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
-        return F.when(column.isNotNull(), F.xxhash64(column))
-    return column
+    if isinstance(data_type, (T.NumericType, T.DatetimeType, T.BooleanType)):
+        return column
+    if not isinstance(data_type, (T.StringType, T.BinaryType)):
+        column = canonical_text(column, data_type)  # maps have no hash of their own
+    return F.when(column.isNotNull(), F.xxhash64(column))
 
 
 def diff_tables(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ferry.functions import images, masking, numbers, text
@@ -37,43 +39,75 @@ def compare_row_counts(t: Inputs):
     return verify.compare_row_counts(side(t.source_orders), side(t.target_orders), ["chunk_no"])
 
 
+def _exact_sql(x: str) -> str:
+    """A double's value by its bits: whole part, then 53 bits of the fraction at a time."""
+    whole, bits = f"floor(abs({x}))", "9007199254740992.0e0"
+    first = f"((abs({x}) - {whole}) * {bits})"
+    rest = f"(({first} - floor({first})) * {bits})"
+    number = lambda v: f"cast(cast(floor({v}) as bigint) as varchar)"
+    return (
+        f"(case when {x} < 0 then '-' else '' end || {number(f'abs({x})')} || '.' || {number(first)}"
+        f" || case when {rest} = 0 then '' else '.' || {number(rest)} end)"
+    )
+
+
 def _text_sql(columns: dict[str, str]) -> str:
     parts = []
     for name, kind in columns.items():
         spelled = {
-            "double": f"cast(cast(floor({name} * 100.0e0 + 0.5e0) as bigint) as varchar)",
+            "double": _exact_sql(name),
             "time": f"cast(epoch_us({name}) as varchar)",
+            "text": f"length({name}) || ':' || {name}",
+            "floats": f"len({name}) || '[' || array_to_string(list_transform({name}, lambda x: coalesce({_exact_sql('cast(x as double)')}, '-')), '|') || ']'",
         }.get(kind, f"cast({name} as varchar)")
-        if kind == "text":
-            spelled = f"length({name}) || ':' || {name}"
         parts.append(f"coalesce({spelled}, '-')")
     return " || '|' || ".join(parts)
 
 
-_ORDERS = {
-    "o_orderkey": "", "o_custkey": "", "o_orderstatus": "text", "o_totalprice": "double", "o_orderdate": "time", "o_orderpriority": "text",
-}
-_LINES = {
-    "l_orderkey": "", "l_partkey": "", "l_suppkey": "", "l_linenumber": "", "l_quantity": "double", "l_extendedprice": "double",
-    "l_discount": "double", "l_tax": "double", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time",
+# Columns of the given tables with what their text needs; the others are whole numbers.
+_KINDS = {
+    "region": "r_regionkey r_name:text",
+    "nation": "n_nationkey n_name:text n_regionkey",
+    "customer": "c_custkey c_name:text c_nationkey c_acctbal:double c_mktsegment:text",
+    "supplier": "s_suppkey s_name:text s_nationkey s_acctbal:double",
+    "part": "p_partkey p_name:text p_brand:text p_type:text p_size p_retailprice:double",
+    "orders": "o_orderkey o_custkey o_orderstatus:text o_totalprice:double o_orderdate:time o_orderpriority:text",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:double l_extendedprice:double l_discount:double l_tax:double"
+    " l_returnflag:text l_linestatus:text l_shipdate:time",
+    "events": "event_id ts:time user_id event_type:text value:double props:text",
+    "documents": "doc_id text:text lang:text source:text n_chars",
+    "embeddings": "vec_id embedding:floats label",
+    "pages": "page_id url:text html:text",
+    "benchmark": "item_id text:text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role:text text:text",
 }
+_COLUMNS = {table: dict((c.split(":") + [""])[:2] for c in text.split()) for table, text in _KINDS.items()}
+_ORDERS, _LINES = _COLUMNS["orders"], _COLUMNS["lineitem"]
 _SUM = " || '-' || ".join(f"cast(cast(sum(cast('0x' || substr(md5({{0}}), {k}, 8) as bigint)) as hugeint) as varchar)" for k in (1, 9, 17, 25))
 
 
+_WHOLE = " union all ".join(
+    f"select '{n}' as table_name, 'all' as part, count(*) as row_count, {_SUM.format(_text_sql(columns))} as checksum from {n}"
+    for n, columns in _COLUMNS.items()
+)
+
+
 @query(
     "table_checksum",
-    f"""select 'lineitem' as table_name, 'all' as part, count(*) as row_count, {_SUM.format(_text_sql(_LINES))} as checksum from lineitem
+    f"""{_WHOLE}
         union all select 'source', cast(o_orderkey // 1000 as varchar), count(*), {_SUM.format(_text_sql(_ORDERS))} from source_orders group by o_orderkey // 1000
         union all select 'target', cast(o_orderkey // 1000 as varchar), count(*), {_SUM.format(_text_sql(_ORDERS))} from target_orders group by o_orderkey // 1000""",
     ("source_orders", "target_orders"),
 )
 def table_checksum(t: Inputs):
-    whole = verify.table_checksum(t.lineitem).select(F.lit("lineitem").alias("table_name"), F.lit("all").alias("part"), "row_count", "checksum")
+    """All given tables as a whole, and two tables chunk by chunk."""
+    parts = [(n, verify.table_checksum(getattr(t, n)).withColumn("part", F.lit("all"))) for n in GIVEN]
     for name, df in (("source", t.source_orders), ("target", t.target_orders)):
         part = F.floor(F.col("o_orderkey") / 1000).cast("bigint").cast("string").alias("part")
-        summed = verify.table_checksum(df.select("*", part), ["part"], df.columns)
-        whole = whole.unionByName(summed.select(F.lit(name).alias("table_name"), "part", "row_count", "checksum"))
-    return whole
+        parts.append((name, verify.table_checksum(df.select("*", part), ["part"], df.columns)))
+    rows = [df.select(F.lit(n).alias("table_name"), "part", "row_count", "checksum") for n, df in parts]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 @query(

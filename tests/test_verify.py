@@ -111,3 +111,22 @@ def test_fast_checksum_tells_repeated_rows_apart(spark):
 def test_nested_values_count_with_what_they_hold(spark):
     df = spark.sql("select array(1.0d, 2.0d) as a, named_struct('x', 'abc', 'y', 1) as s, map('k', array(1, 2)) as m, array('ab', null) as t, cast(null as array<int>) as n")
     assert verify.size_estimate({"t": df}, 10).first().estimated_bytes == 16 + 7 + 9 + 2
+
+
+def test_checksum_sees_every_bit_of_a_double(spark):
+    values = [1.001, 1.004, 0.1, 0.1 + 2**-56, 1e-30, 2e-30, -1e-30, 5e-324, 1e300, 2.0**53, 2.0**53 + 2, float("nan"), float("inf"), None, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.select(verify.row_text(df).alias("r")).distinct().count() == len(values)
+    one, other = df.where("v = 1.001"), df.where("v = 1.004")
+    assert verify.diff_keyless(one, other).count() == 2 and verify.table_checksum(one).first() != verify.table_checksum(other).first()
+
+
+def test_nested_values_are_told_apart(spark):
+    lists = spark.createDataFrame([(v,) for v in (["a, b"], ["a", "b"], [None], ["null"], [], None, ["-"], ["a|1:b"])], "v array<string>")
+    assert lists.select(verify.row_text(lists).alias("r")).distinct().count() == 8
+    left = spark.sql("select 1 as k, map('a', 1, 'b', 2) as m, named_struct('x', 1.5d) as s")
+    same = spark.sql("select 1 as k, map('b', 2, 'a', 1) as m, named_struct('x', 1.5d) as s")
+    other = spark.sql("select 1 as k, map('b', 3, 'a', 1) as m, named_struct('x', 1.5d) as s")
+    assert verify.table_checksum(left).first() == verify.table_checksum(same).first()
+    assert rows(verify.diff_tables(left, same, ["k"])) == [(1, "MATCH", "")]
+    assert rows(verify.diff_tables(left, other, ["k"])) == [(1, "CHANGED", "m")]
