@@ -5,21 +5,25 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ferry.functions.convert import convert_columns
+from ferry.functions.numbers import progress_percent
 from ferry.functions.text import offset_chunk_id
 from ferry.operators import ledger as states, quality
-from ferry.operators.joins import BROADCAST_ROWS, broadcast_if_small
 from ferry.plans.chunks import pending_chunks, stride_chunk
+from ferry.session import fresh_dir
 from ferry.sources import files, target as store
 from ferry.sources.tables import scan_chunk
 
 
 @dataclass(frozen=True)
 class CopyPlan:
-    """What to copy and how. ``stride`` is the key width of a chunk."""
+    """What to copy and how. ``stride`` is the key width of a chunk, ``waves`` the number
+    of parts that are stored and noted one after the other (each rewrites the buckets it
+    touches), ``max_failures`` how many failed tries are followed by smaller ones."""
 
     migration_id: int
     table: str
@@ -30,93 +34,160 @@ class CopyPlan:
     target_engine: str = "POSTGRESQL"
     rules: Sequence[tuple[str, Column]] = ()
     order: str | None = None
+    waves: int = 1
+    max_failures: int = 100
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(states.LEDGER).parquet(path) if files.exists(spark, path) else None
 
 
+def _chunk_start(plan: CopyPlan) -> Column:
+    return stride_chunk(F.col(plan.key), plan.stride) * plan.stride
+
+
+def _chunk_id(plan: CopyPlan, start: Column) -> Column:
+    """Rows without a key make a chunk of their own."""
+    migration, table = F.lit(plan.migration_id), F.lit(plan.table)
+    return F.coalesce(offset_chunk_id(migration, table, start), F.concat_ws("#", migration, table, F.lit("keyless")))
+
+
 def with_chunk(rows: DataFrame, plan: CopyPlan) -> DataFrame:
-    start = stride_chunk(F.col(plan.key), plan.stride) * plan.stride
-    return rows.withColumn("_chunk_id", offset_chunk_id(F.lit(plan.migration_id), F.lit(plan.table), start))
+    return rows.withColumn("_chunk_id", _chunk_id(plan, _chunk_start(plan)))
 
 
 def chunks_of(rows: DataFrame, plan: CopyPlan) -> DataFrame:
     """The table's chunks with their first key and the rows found in each."""
-    start = stride_chunk(F.col(plan.key), plan.stride) * plan.stride
-    counted = rows.select(start.alias("chunk_start")).groupBy("chunk_start").agg(F.count(F.lit(1)).alias("row_count"))
-    return counted.withColumn("chunk_id", offset_chunk_id(F.lit(plan.migration_id), F.lit(plan.table), F.col("chunk_start")))
-
-
-def _rows_of(source: DataFrame, plan: CopyPlan, todo: DataFrame, done: DataFrame) -> DataFrame:
-    """Source rows of the open chunks. The span of their keys goes to the scan as a
-    plain filter; inside it the shorter list of chunks decides, broadcast when a
-    count shows it is short."""
-    span = todo.agg(F.min("chunk_start").alias("low"), F.max("chunk_start").alias("high")).first()
-    if span.low is None:
-        return with_chunk(source, plan).where(F.lit(False))
-    keyed = with_chunk(scan_chunk(source, plan.key, span.low, span.high + plan.stride), plan)
-    finished = done.select(F.col("chunk_id").alias("_chunk_id"))
-    if finished.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return keyed.join(F.broadcast(finished), "_chunk_id", "left_anti")
-    return keyed.join(broadcast_if_small(todo.select(F.col("chunk_id").alias("_chunk_id"))), "_chunk_id", "left_semi")
+    counted = rows.select(_chunk_start(plan).alias("chunk_start")).groupBy("chunk_start").agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.withColumn("chunk_id", _chunk_id(plan, F.col("chunk_start")))
+
+
+class _Journal:
+    """Appends chunk states; each entry is later than all before it."""
+
+    def __init__(self, spark: SparkSession, root: str, plan: CopyPlan, asof: str):
+        self.spark, self.path, self.plan = spark, f"{root}/ledger", plan
+        known = read_ledger(spark, self.path)
+        next_one = F.max("noted_at") + F.expr("interval 1 microsecond")
+        start = F.lit(asof).cast("timestamp_ntz")
+        row = (spark.range(1).select(start.alias("at")) if known is None else known.agg(F.greatest(start, next_one).alias("at"))).first()
+        self.at, self.entries = row.at, 0
+
+    def note(self, chunks: DataFrame, status: str, rows_done: Column | None = None, error: str | None = None) -> None:
+        chunks.select(
+            F.lit(self.plan.migration_id).cast("bigint").alias("migration_id"),
+            "chunk_id",
+            F.lit(self.plan.table).alias("table_name"),
+            F.lit(status).alias("status"),
+            (F.lit(0) if rows_done is None else rows_done).cast("bigint").alias("rows_done"),
+            F.lit(error).cast("string").alias("error"),
+            F.lit(self.at + timedelta(microseconds=self.entries)).cast("timestamp_ntz").alias("noted_at"),
+        ).write.mode("append").parquet(self.path)
+        self.entries += 1
+
+
+def _rows_of(source: DataFrame, plan: CopyPlan, wave: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """Source rows of a wave's chunks. The span of their keys goes to the scan as a
+    plain filter; inside it a semi join on the chunk decides."""
+    if low is None:
+        return with_chunk(source.where(F.col(plan.key).isNull()), plan)
+    keyed = with_chunk(scan_chunk(source, plan.key, low, high + plan.stride), plan)
+    return keyed.join(wave.select(F.col("chunk_id").alias("_chunk_id")), "_chunk_id", "left_semi")
+
+
+def _copy_wave(spark: SparkSession, source: DataFrame, root: str, plan: CopyPlan, wave: DataFrame, low: int | None, high: int | None, batch: str) -> DataFrame:
+    """Load one wave and return the rows stored per chunk. With rules the rows are
+    landed first, so that the source is read once and all steps see the same rows."""
+    rows = convert_columns(_rows_of(source, plan, wave, low, high), plan.kinds, plan.source_engine, plan.target_engine)
+    rules = list(plan.rules) if low is not None else [quality.not_null(plan.key), *plan.rules]
+    good, landed = rows, None
+    if rules:
+        landed = fresh_dir(spark, "landed")
+        rows.write.parquet(landed)
+        checked = quality.check_rows(spark.read.schema(rows.schema).parquet(landed), rules, plan.key if plan.order else None, plan.order)
+        good, bad = quality.split_rows(checked)
+    if low is not None:
+        # Copying a chunk twice is harmless: its rows take the place of their like.
+        store.upsert(spark, root, good, [plan.key], batch, order=(plan.order,) if plan.order else ())
+    if landed:
+        bad.write.parquet(f"{root}/quarantine/batch={batch}")
+        files.discard(spark, landed)
+    if low is None:
+        return wave.select("chunk_id", F.lit(0).alias("stored"))
+    stored = scan_chunk(store.read_target(spark, root), plan.key, low, high + plan.stride)
+    counted = stored.groupBy(F.col("_chunk_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("stored"))
+    return wave.select("chunk_id").join(counted, "chunk_id", "left").na.fill(0, ["stored"])
 
 
 def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan: CopyPlan, batch: str, asof: str) -> DataFrame:
-    """Copy the chunks the ledger does not show as completed and record them.
-
-    One job reads all pending chunks, splits off bad rows, upserts the good ones
-    and writes the quarantine; rows without a key are quarantined by a filter that
-    reaches the scan. The rows counted per chunk are the stored ones: a scan of
-    the target's chunk column alone.
+    """Copy the chunks the ledger does not show as completed; returns the ledger.
+
+    The open chunks are counted and noted as PENDING, copied in ``plan.waves`` spans of
+    keys, and noted as RUNNING and then COMPLETED, wave by wave: what one wave stored
+    stays whatever happens to the next. A wave that fails is cut in two and tried
+    again, until the chunk that cannot be copied stands alone and is noted as FAILED
+    with the error; after ``plan.max_failures`` failed tries a failing wave is not cut
+    any more. Failed chunks are open again in the next run. Each try has a quarantine
+    folder of its own; a chunk copied again after a crash may be quarantined again.
     """
-    unkeyed = with_chunk(source.where(F.col(plan.key).isNull()), plan)
-    source = source.where(F.col(plan.key).isNotNull())
-    ledger_path, quarantine = f"{root}/ledger", f"{root}/quarantine"
-    ledger = read_ledger(spark, ledger_path)
+    journal = _Journal(spark, root, plan, asof)
+    ledger = read_ledger(spark, journal.path)
     chunks = chunks_of(source, plan)
-    rows = with_chunk(source, plan)
     if ledger is not None:
-        now = states.current_ledger(ledger)
-        chunks = pending_chunks(chunks, now)
-        if chunks.isEmpty():
-            return ledger
-        rows = _rows_of(source, plan, chunks, now.where(F.col("status") == "COMPLETED"))
-    rows = convert_columns(rows, plan.kinds, plan.source_engine, plan.target_engine)
-    good = rows
-    held = convert_columns(unkeyed, plan.kinds, plan.source_engine, plan.target_engine).withColumn(
-        "reasons", F.array(F.lit(f"{plan.key} is null"))
-    )
-    if plan.rules:
-        good, bad = quality.split_rows(quality.check_rows(rows, plan.rules, plan.key if plan.order else None, plan.order))
-        held = held.unionByName(bad)
-    held.write.mode("overwrite").parquet(f"{quarantine}/batch={batch}")
-    # A name of its own per try: what is still open depends on the ledger, so a
-    # repeated batch may hold other chunks. Copying a chunk twice is harmless.
-    store.upsert(spark, root, good, [plan.key], f"{batch}-{uuid.uuid4().hex[:12]}", order=(plan.order,) if plan.order else ())
-    stored = store.read_target(spark, root).groupBy(F.col("_chunk_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("stored"))
-    done = chunks.join(stored, "chunk_id", "left").select(
-        F.lit(plan.migration_id).cast("bigint").alias("migration_id"),
-        "chunk_id",
-        F.lit(plan.table).alias("table_name"),
-        F.lit("COMPLETED").alias("status"),
-        F.coalesce("stored", F.lit(0).cast("bigint")).alias("rows_done"),
-        F.lit(None).cast("string").alias("error"),
-        F.lit(asof).cast("timestamp_ntz").alias("noted_at"),
-    )
-    done.write.mode("append").parquet(ledger_path)
-    return read_ledger(spark, ledger_path)
+        chunks = pending_chunks(chunks, states.current_ledger(ledger))
+    planned = f"{root}/plan/batch={batch}-{uuid.uuid4().hex[:12]}"
+    chunks.withColumn("planned_at", F.lit(journal.at).cast("timestamp_ntz")).write.parquet(planned)
+    chunks = spark.read.parquet(planned)
+    ends = F.min("chunk_start").alias("low"), F.max("chunk_start").alias("high"), F.count(F.lit(1)).alias("n"), F.count("chunk_start").alias("keyed")
+    span = chunks.agg(*ends).first()
+    if not span.n:
+        return ledger if ledger is not None else spark.createDataFrame([], states.LEDGER)
+    journal.note(chunks, "PENDING")
+    waves = [(None, None)] if span.n > span.keyed else []
+    if span.keyed:
+        width = -(-((span.high - span.low) // plan.stride + 1) // plan.waves) * plan.stride
+        waves += [(low, min(low + width - plan.stride, span.high)) for low in range(span.low, span.high + 1, width)]
+    waves, failures = waves[::-1], 0
+    while waves:
+        low, high = waves.pop()
+        start = F.col("chunk_start")
+        wave = chunks.where(start.isNull() if low is None else start.between(low, high))
+        journal.note(wave, "RUNNING")
+        try:
+            stored = _copy_wave(spark, source, root, plan, wave, low, high, f"{batch}-{uuid.uuid4().hex[:12]}")
+            journal.note(stored, "COMPLETED", F.col("stored"))
+        except Exception as error:
+            failures += 1
+            if low is None or low == high or failures > plan.max_failures:
+                journal.note(wave, "FAILED", error=str(error))
+                continue
+            middle = low + (high - low) // plan.stride // 2 * plan.stride
+            waves += [(middle + plan.stride, high), (low, middle)]
+    return read_ledger(spark, journal.path)
+
+
+def planned_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Rows per chunk as counted by the last plan that held the chunk."""
+    plans = spark.read.parquet(f"{root}/plan")
+    return plans.groupBy("chunk_id").agg(F.max_by("row_count", "planned_at").alias("planned"))
 
 
 def copy_table(spark: SparkSession, source: DataFrame, root: str, plan: CopyPlan, asof: str, batch: str = "copy-1") -> DataFrame:
-    """Plan, copy, record, checkpoint; returns the table's progress row."""
+    """Plan, copy, record, checkpoint; returns the table's progress row. The percentage
+    is that of the rows planned: held rows and failed chunks keep it below 100."""
     ledger = states.current_ledger(copy_pending_chunks(spark, source, root, plan, batch, asof))
-    counted = ledger.groupBy("migration_id", "table_name").agg(
-        F.sum(F.when(F.col("status") == "COMPLETED", F.col("rows_done"))).alias("rows_copied"),
-        F.count(F.lit(1)).alias("chunks_total"),
-        F.count_if(F.col("status") == "COMPLETED").alias("chunks_completed"),
+    done = F.col("status") == "COMPLETED"
+    counted = (
+        ledger.join(planned_rows(spark, root), "chunk_id", "left")
+        .groupBy("migration_id", "table_name")
+        .agg(
+            F.coalesce(F.sum(F.when(done, F.col("rows_done"))), F.lit(0)).alias("rows_copied"),
+            F.sum(F.coalesce("planned", "rows_done")).alias("total_rows"),
+            F.count(F.lit(1)).alias("chunks_total"),
+            F.count_if(done).alias("chunks_completed"),
+            F.count_if(F.col("status") == "FAILED").alias("chunks_failed"),
+        )
     )
-    progress = counted.withColumn("rows_so_far", F.col("rows_copied")).withColumn("total_rows", F.col("rows_copied"))
+    progress = counted.withColumn("rows_so_far", F.col("rows_copied"))
     states.checkpoints_of(progress, F.lit(asof).cast("timestamp_ntz")).write.mode("append").parquet(f"{root}/checkpoints")
-    percent = F.col("chunks_completed") * 100.0 / F.col("chunks_total").cast("double")
-    return counted.withColumn("progress_percent", percent)
+    return counted.withColumn("progress_percent", progress_percent(F.col("rows_copied"), F.col("total_rows")))

@@ -351,18 +351,21 @@ def copy_pending_chunks(t: Inputs):
 
 @query(
     "copy_table",
-    f"""{_CHECKED} select cast(1 as bigint) as migration_id, 'customer' as table_name,
-         count(*) filter (where reasons = '') as rows_copied,
-         count(distinct c_custkey // 100) as chunks_total, count(distinct c_custkey // 100) as chunks_completed, 100.0e0 as progress_percent
-       from checked""",
+    f"""{_CHECKED}, n as (select count(*) filter (where reasons = '' and c_custkey // 100 <> 1) as rows_copied, count(*) as total_rows,
+         count(distinct c_custkey // 100) as chunks_total, count(distinct c_custkey // 100) filter (where c_custkey // 100 <> 1) as chunks_completed,
+         count(distinct c_custkey // 100) filter (where c_custkey // 100 = 1) as chunks_failed from checked)
+       select cast(1 as bigint) as migration_id, 'customer' as table_name, *, rows_copied * 100.0e0 / total_rows as progress_percent from n""",
     ("dirty",),
 )
 def copy_table(t: Inputs):
+    """A source that cannot be read between keys 100 and 199, with rows to hold elsewhere."""
     plan = copy.CopyPlan(
         migration_id=1, table="customer", key="c_custkey", stride=100, order="copy_no",
         rules=(quality.not_null("c_name"), quality.one_of("c_nationkey", range(25)), quality.castable("c_acctbal", "double")),
     )
-    return copy.copy_table(t.spark, t.dirty, fresh_dir(t.spark, "copy"), plan, "2024-01-02 00:00:00")
+    broken = F.when(F.col("c_custkey").between(100, 199), F.raise_error(F.lit("unreadable page")).cast("string"))
+    source = t.dirty.withColumn("c_mktsegment", broken.otherwise(F.col("c_mktsegment")))
+    return copy.copy_table(t.spark, source, fresh_dir(t.spark, "copy"), plan, "2024-01-02 00:00:00")
 
 
 # ---- conversion ------------------------------------------------------------
