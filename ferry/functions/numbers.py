@@ -36,20 +36,29 @@ def progress_percent(done: Column, total: Column, when_empty: float = 100.0) ->
 
 
 def _halves(lsn: Column, base: int) -> list[Column]:
-    return [F.conv(F.split_part(lsn, F.lit("/"), F.lit(i)), base, 10).cast("bigint") for i in (1, 2)]
+    return [F.conv(F.split_part(lsn, F.lit("/"), F.lit(i)), base, 10).try_cast("bigint") for i in (1, 2)]
 
 
 def lsn_number(lsn: Column, base: int = 16) -> Column:
-    """``hi/lo`` log position as a number that sorts in log order."""
-    hi, lo = (half.cast("decimal(11,0)") for half in _halves(lsn, base))
+    """``hi/lo`` log position as a number that sorts in log order, however long the
+    halves are; null where a half has more than 63 bits."""
+    hi, lo = (half.cast("decimal(19,0)") for half in _halves(lsn, base))
     return (hi * F.lit(2**32).cast("decimal(11,0)") + lo).cast(LSN)
 
 
 def lsn_rank(lsn: Column, base: int = 16) -> Column:
     """The same order as a plain long, for sorting and comparing: the number less
-    2^63, which is what keeps all 64 bits of it in range."""
+    2^63, which is what keeps all 64 bits of it in range. Null where a half has
+    more than 32 bits."""
     hi, lo = _halves(lsn, base)
-    return (hi - F.lit(2**31)) * F.lit(2**32) + lo
+    fits = hi.between(0, 2**32 - 1) & lo.between(0, 2**32 - 1)
+    return F.when(fits, (hi - F.lit(2**31)) * F.lit(2**32) + lo)
+
+
+def is_lsn(lsn: Column, base: int = 16) -> Column:
+    """Two halves of digits of the base that fit 32 bits each."""
+    digits = {10: "[0-9]+", 16: "[0-9A-Fa-f]+"}[base]
+    return F.coalesce(lsn.rlike(rf"\A{digits}/{digits}\z") & lsn_rank(lsn, base).isNotNull(), F.lit(False))
 
 
 LSN_BEFORE_ALL = -(2**63)

@@ -281,12 +281,22 @@ def check_identifier(t: Inputs):
 
 @query(
     "lsn_order",
-    """select event_id, lsn, cast('0x' || split_part(lsn, '/', 1) as bigint) * 4294967296 + cast('0x' || split_part(lsn, '/', 2) as bigint) as lsn_number
-       from change_events""",
+    """select event_id, lsn, cast('0x' || split_part(lsn, '/', 1) as bigint) * 4294967296 + cast('0x' || split_part(lsn, '/', 2) as bigint) as lsn_number,
+         cast((1764594785 + event_id)::hugeint * 4294967296 + event_id as varchar) as decimal_number,
+         cast(cast('0x1764594785' as bigint)::hugeint * 4294967296 + event_id as varchar) as long_number from change_events""",
     ("change_events",),
 )
 def lsn_order(t: Inputs):
-    return t.change_events.select("event_id", "lsn", numbers.lsn_number(F.col("lsn")).cast("bigint").alias("lsn_number"))
+    """Positions in base 16, in base 10, and with a half of more than 32 bits."""
+    number = F.col("event_id")
+    in_decimal = F.concat((number + 1764594785).cast("string"), F.lit("/"), number.cast("string"))
+    return t.change_events.select(
+        "event_id",
+        "lsn",
+        numbers.lsn_number(F.col("lsn")).cast("bigint").alias("lsn_number"),
+        numbers.lsn_number(in_decimal, 10).cast("string").alias("decimal_number"),
+        numbers.lsn_number(F.concat(F.lit("1764594785/"), F.hex(number))).cast("string").alias("long_number"),
+    )
 
 
 @query(

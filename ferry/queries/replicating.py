@@ -114,15 +114,17 @@ def cdc_late_events(t: Inputs):
 
 @query(
     "cdc_partial_images",
-    """, v as (select cast(json_extract_string(after_data, '$.id') as varchar) as id, event_id, after_data from change_events where after_data is not null),
+    """, e as (select *, coalesce(cast(json_extract_string(before_data, '$.id') as varchar), cast(json_extract_string(after_data, '$.id') as varchar)) as id from change_events),
+       d as (select id, max(event_id) as gone from e where operation = 'DELETE' group by 1),
+       v as (select cast(json_extract_string(after_data, '$.id') as varchar) as id, event_id, after_data from change_events where operation <> 'DELETE'),
        f as (select id, event_id, 'id' as field, id as value from v
          union all select id, event_id, 'value', json_extract_string(after_data, '$.value') from v where event_id % 2 = 0
          union all select id, event_id, 'k', json_extract_string(after_data, '$.k') from v where event_id % 2 = 1)
-       select id, field, arg_max(value, event_id) as value from f group by 1, 2""",
+       select id, field, arg_max(value, event_id) as value from f left join d using (id) where gone is null or event_id > gone group by 1, 2""",
     _CHANGES,
 )
 def cdc_partial_images(t: Inputs):
-    """After images that hold only some of the fields."""
+    """After images that hold only some of the fields; deletes end a row's history."""
     image = changes.decode_image(F.col("after_data"), "id string, value string, k string")
     cut = F.to_json(
         F.struct(
@@ -131,10 +133,58 @@ def cdc_partial_images(t: Inputs):
             F.when(F.col("event_id") % 2 == 1, image["k"]).alias("k"),
         )
     )
-    events = t.change_events.where("after_data is not null").withColumn("after_data", cut)
+    events = t.change_events.withColumn("after_data", F.when(F.col("after_data").isNotNull(), cut))
     return changes.collapse_partial_changes(events, "id")
 
 
+# Three tables whose keys collide, positions in decimal, events no target can take.
+_SHOPS = ("users", "orders", "products")
+_MIXED = """, m as (select * replace (['users', 'orders', 'products', 'invoices'][event_id % 4 + 1] as table_name,
+         case when event_id % 31 = 0 then null when event_id % 37 = 0 then '{"id":"x"}' when event_id % 41 = 0 then '{"id":' else after_data end as after_data,
+         case when event_id % 31 = 0 then null else before_data end as before_data) from change_events),
+       reasoned as (select *, case when table_name = 'invoices' then 'unknown table' when event_id % 31 = 0 then 'no key'
+         when event_id % 41 = 0 and event_id % 37 <> 0 then 'bad after image' when event_id % 37 = 0 then
+           'after image does not fit' || case when operation <> 'DELETE' or before_data is null then '; no key' else '' end else '' end as reasons from m)"""
+
+
+def _mixed(t: Inputs):
+    number = F.col("event_id")
+    after = F.when(number % 31 == 0, None).when(number % 37 == 0, '{"id":"x"}').when(number % 41 == 0, '{"id":').otherwise(F.col("after_data"))
+    return (
+        t.change_events.withColumn("table_name", F.element_at(F.array(*map(F.lit, (*_SHOPS, "invoices"))), (number % 4 + 1).cast("int")))
+        .withColumn("after_data", after)
+        .withColumn("before_data", F.when(number % 31 != 0, F.col("before_data")))
+        .withColumn("lsn", F.concat(F.lit("1764594785/"), number.cast("string")))
+    )
+
+
+@query(
+    "cdc_apply_tables",
+    f"""{_MIXED}, x as (select *, coalesce(try_cast(json_extract_string(before_data, '$.id') as bigint), try_cast(json_extract_string(after_data, '$.id') as bigint)) as id
+         from reasoned where reasons = ''),
+       last as (select * from x qualify row_number() over (partition by table_name, id order by event_id desc) = 1)
+       select table_name, id, cast(json_extract_string(after_data, '$.value') as double) as value, cast(json_extract_string(after_data, '$.k') as int) as k, '' as reasons
+       from last where operation <> 'DELETE'
+       union all select table_name, event_id, null, null, reasons from reasoned where reasons <> ''""",
+    _CHANGES,
+)
+def cdc_apply_tables(t: Inputs):
+    """A stream of three tables: their rows, and the events held back with the reasons."""
+    root, folder = fresh_dir(t.spark, "replica"), fresh_dir(t.spark, "drop")
+    _mixed(t).write.parquet(folder)
+    stream = changes.change_source(t.spark, folder)
+    wanted = {name: (ROW, "id") for name in _SHOPS}
+    changes.start_apply(stream, root, fresh_dir(t.spark, "stream"), base=10, tables=wanted).awaitTermination()
+    held = t.spark.read.parquet(f"{root}/quarantine").select(
+        "table_name", F.col("event_id").alias("id"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("int").alias("k"),
+        F.array_join("reasons", "; ").alias("reasons"),
+    )
+    for name in _SHOPS:
+        rows = store.read_target(t.spark, changes.table_root(root, name))
+        held = held.unionByName(rows.select(F.lit(name).alias("table_name"), "id", "value", "k", F.lit("").alias("reasons")))
+    return held
+
+
 @query("cdc_source", "select * from change_events", _CHANGES)
 def cdc_source(t: Inputs):
     """Poll a folder in micro-batches and append what comes in."""

@@ -32,7 +32,7 @@ CHANGE_BATCH_ROWS = 1000
 AUDIT_RETENTION_DAYS = 90
 CHECKPOINT_RETENTION_DAYS = 30
 
-LSN = T.DecimalType(20, 0)
+LSN = T.DecimalType(31, 0)
 
 CHANGE_EVENT = T.StructType(
     [

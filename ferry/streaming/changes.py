@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import time
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ferry.functions.images import decode_image
-from ferry.functions.numbers import LSN_BEFORE_ALL, lsn_number, lsn_rank
+from ferry.functions.numbers import LSN_BEFORE_ALL, is_lsn, lsn_number, lsn_rank
 from ferry.functions.text import in_enum, normalise_enum
 from ferry.operators.metrics import change_counts
 from ferry.operators.ordered import latest_per_key, newest_n
 from ferry.schemas import CHANGE_BATCH_ROWS, CHANGE_EVENT, CHANGE_OPERATIONS, MAX_CONSECUTIVE_ERRORS, MAX_LAG_SECONDS
 from ferry.sources import target as store
 
-_LSN_SHAPE = r"\A[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}\z"
-
 
 # ---- reading and recording -------------------------------------------------
 
@@ -31,14 +30,15 @@ def change_source(spark: SparkSession, folder: str, fmt: str = "parquet", files_
     return reader.load(folder)
 
 
-def record_changes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events fit to append, and rejected ones with the reasons."""
+def record_changes(events: DataFrame, base: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Events fit to append, and rejected ones with the reasons. ``base`` is that of
+    the digits of log positions: 16, or 10 for sources that count in decimal."""
     def image_ok(column: str) -> Column:
         return F.col(column).isNull() | F.try_parse_json(column).isNotNull()
 
     rules = (
         ("unknown operation", in_enum(F.col("operation"), CHANGE_OPERATIONS)),
-        ("bad log position", F.coalesce(F.col("lsn").rlike(_LSN_SHAPE), F.lit(False))),
+        ("bad log position", is_lsn(F.col("lsn"), base)),
         ("bad before image", image_ok("before_data")),
         ("bad after image", image_ok("after_data")),
     )
@@ -102,10 +102,36 @@ def keyed_changes(events: DataFrame, row: T.StructType | str, key: str, base: in
 
 def keyless_changes(events: DataFrame, row: T.StructType | str, key: str) -> DataFrame:
     """Events neither image of which names the key they need."""
-    before = decode_image(F.col("before_data"), row)[key]
-    after = decode_image(F.col("after_data"), row)[key]
-    needed = F.when(F.col("operation") == "DELETE", F.coalesce(before, after)).otherwise(after)
-    return events.where(needed.isNull())
+    return events.where(_needed_key(row, key).isNull())
+
+
+def _needed_key(row: T.StructType | str, key: str) -> Column:
+    before, after = (decode_image(F.col(c), row)[key] for c in ("before_data", "after_data"))
+    return F.when(F.upper(F.trim("operation")) == "DELETE", F.coalesce(before, after)).otherwise(after)
+
+
+def _image_fits(column: str, row: T.StructType | str) -> Column:
+    """Whether every field of the image has its column's type: else a field would be
+    read as null and take the place of a good value."""
+    fields = (T.StructType.fromDDL(row) if isinstance(row, str) else row).fields
+    checked = T.StructType([*fields, T.StructField("_unfit", T.StringType())])
+    image = F.from_json(column, checked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unfit"})
+    return F.col(column).isNull() | image["_unfit"].isNull()
+
+
+def split_changes(events: DataFrame, row: T.StructType | str, key: str, base: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Events that can be applied to a target of these rows, and all others with the
+    reasons: what ``record_changes`` rejects, images whose fields do not fit, and
+    events without the key they need. Together they are all events."""
+    fit, rejected = record_changes(events, base)
+    rules = (
+        ("before image does not fit", _image_fits("before_data", row)),
+        ("after image does not fit", _image_fits("after_data", row)),
+        ("no key", _needed_key(row, key).isNotNull()),
+    )
+    checked = fit.withColumn("reasons", F.array_compact(F.array(*[F.when(~ok, F.lit(n)) for n, ok in rules])))
+    bad = checked.where(F.size("reasons") > 0).select(*rejected.columns)
+    return checked.where(F.size("reasons") == 0).drop("reasons"), rejected.unionByName(bad)
 
 
 def collapse_changes(keyed: DataFrame, key: str) -> DataFrame:
@@ -118,87 +144,136 @@ def collapse_changes(keyed: DataFrame, key: str) -> DataFrame:
 
 def collapse_partial_changes(events: DataFrame, key: str, base: int = 16) -> DataFrame:
     """For sources whose after image holds only the changed fields: the newest
-    value of every field per key, as rows (key, field, value).
+    value of every field per key, as rows (key, field, value). Nothing from before
+    the last DELETE of a key counts.
 
     Each field is a row of its own, so one key's history is reduced by partial
     aggregation and never gathered as a list.
     """
-    numbered = events.withColumn("_lsn", lsn_rank(F.col("lsn"), base))
-    fields = numbered.select(
-        F.get_json_object("after_data", f"$.{key}").alias(key),
-        "_lsn",
-        "event_id",
-        F.explode(F.from_json("after_data", "map<string,string>")).alias("field", "value"),
+    name = lambda column: F.get_json_object(column, f"$.{key}")
+    numbered = events.withColumn("_at", F.struct(lsn_rank(F.col("lsn"), base), F.col("event_id")))
+    is_delete = F.col("operation") == "DELETE"
+    deleted = (
+        numbered.where(is_delete)
+        .select(F.coalesce(name("before_data"), name("after_data")).alias(key), "_at")
+        .groupBy(key)
+        .agg(F.max("_at").alias("_gone"))
+    )
+    fields = numbered.where(~is_delete).select(
+        name("after_data").alias(key), "_at", F.explode(F.from_json("after_data", "map<string,string>")).alias("field", "value")
     )
-    return fields.groupBy(key, "field").agg(F.max_by("value", F.struct("_lsn", "event_id")).alias("value"))
+    alive = fields.join(deleted, key, "left").where(F.col("_gone").isNull() | (F.col("_at") > F.col("_gone")))
+    return alive.groupBy(key, "field").agg(F.max_by("value", "_at").alias("value"))
 
 
-def as_loaded(rows: DataFrame) -> DataFrame:
-    """Full-load rows with the control columns of a replicated target, placed
-    before any log position."""
+def as_loaded(rows: DataFrame, lsn: str | None = None, base: int = 16) -> DataFrame:
+    """Full-load rows with the control columns of a replicated target. ``lsn`` is the
+    log position noted before the load began: older events do not touch the rows.
+    Without it they lie before any position."""
     return (
-        rows.withColumn("_lsn", F.lit(LSN_BEFORE_ALL))
+        rows.withColumn("_lsn", F.lit(LSN_BEFORE_ALL) if lsn is None else lsn_rank(F.lit(lsn), base))
         .withColumn("_event_id", F.lit(-1).cast("bigint"))
         .withColumn("_deleted", F.lit(False))
     )
 
 
-def apply_changes(spark: SparkSession, root: str, events: DataFrame, row: T.StructType | str, key: str, batch: str, buckets: int | None = None) -> int:
-    """Apply one batch of events. Replays and late events change nothing: a stored
-    row gives way only to a greater (log position, event). ``batch`` names this
+def apply_changes(
+    spark: SparkSession, root: str, events: DataFrame, row: T.StructType | str, key: str, batch: str, buckets: int | None = None, base: int = 16
+) -> int:
+    """Apply one batch of events of one table. Replays and late events change nothing:
+    a stored row gives way only to a greater (log position, event). ``batch`` names this
     content; the target skips a name it has already committed."""
-    collapsed = collapse_changes(keyed_changes(events, row, key), key)
+    collapsed = collapse_changes(keyed_changes(events, row, key, base), key)
     return store.upsert(spark, root, collapsed, [key], batch, guard=("_lsn", "_event_id"), buckets=buckets)
 
 
-def late_changes(events: DataFrame, held: DataFrame, row: T.StructType | str, key: str) -> DataFrame:
+def table_root(root: str, table: str) -> str:
+    return f"{root}/table={table}"
+
+
+def apply_table_changes(
+    spark: SparkSession, root: str, events: DataFrame, tables: dict[str, tuple[T.StructType | str, str]], batch: str, base: int = 16
+) -> None:
+    """Apply events of several tables, given as name → (row, key): each table has a
+    target of its own, so equal keys of two tables never meet. Events that cannot be
+    applied, and those of tables not named, go to the quarantine of this batch; a
+    repeated batch writes the same again."""
+    known = F.coalesce(F.col("table_name").isin(*tables), F.lit(False))
+    held = events.where(~known).withColumn("reasons", F.array(F.lit("unknown table")))
+    for name, (row, key) in tables.items():
+        good, bad = split_changes(events.where(F.col("table_name") == name), row, key, base)
+        held = held.unionByName(bad)
+        apply_changes(spark, table_root(root, name), good, row, key, batch, base=base)
+    held.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch}")
+
+
+def late_changes(events: DataFrame, held: DataFrame, row: T.StructType | str, key: str, base: int = 16) -> DataFrame:
     """Events at or before what the target already holds for their key: SKIPPED."""
-    keyed = keyed_changes(events, row, key).select("event_id", key, "_lsn")
+    keyed = keyed_changes(events, row, key, base).select("event_id", key, "_lsn")
     stored = held.select(key, F.struct("_lsn", "_event_id").alias("_held"))
     late = F.struct(F.col("_lsn"), F.col("event_id")) <= F.col("_held")
     return keyed.join(stored, key).where(late).select("event_id").distinct().withColumn("status", F.lit("SKIPPED"))
 
 
 def replicate(
-    spark: SparkSession, root: str, mode: str, load: DataFrame, batches: list[DataFrame], row: T.StructType | str, key: str, buckets: int | None = None
+    spark: SparkSession, root: str, mode: str, load: DataFrame, batches: list[DataFrame], row: T.StructType | str, key: str,
+    buckets: int | None = None, base: int = 16, load_lsn: str | None = None,
 ) -> DataFrame:
     """FULL_LOAD, CDC_ONLY or FULL_LOAD_AND_CDC over given batches. The load may
     overlap the changes: log positions decide."""
     if mode in ("FULL_LOAD", "FULL_LOAD_AND_CDC"):
-        store.upsert(spark, root, as_loaded(load), [key], "full-load", guard=("_lsn", "_event_id"), buckets=buckets)
+        store.upsert(spark, root, as_loaded(load, load_lsn, base), [key], "full-load", guard=("_lsn", "_event_id"), buckets=buckets)
     if mode in ("CDC_ONLY", "FULL_LOAD_AND_CDC"):
         for events in batches:
-            apply_changes(spark, root, events, row, key, f"changes-{uuid.uuid4().hex[:12]}", buckets)
+            apply_changes(spark, root, events, row, key, f"changes-{uuid.uuid4().hex[:12]}", buckets, base)
     return store.read_target(spark, root)
 
 
 def start_apply(
-    stream: DataFrame, root: str, checkpoint: str, row: T.StructType | str, key: str,
+    stream: DataFrame, root: str, checkpoint: str, row: T.StructType | str = "", key: str = "",
     on_batch: Callable[[DataFrame, int], None] | None = None, max_errors: int = MAX_CONSECUTIVE_ERRORS, back_off: float = 2.0, once: bool = True,
+    base: int = 16, every: str = "1 minute", tables: dict[str, tuple[T.StructType | str, str]] | None = None,
 ) -> StreamingQuery:
-    """Keep a target in step with a stream of changes.
+    """Keep a target in step with a stream of changes, or with ``tables`` one target
+    for each of them.
 
     ``foreachBatch`` may deliver a batch again; log positions make that harmless.
     (Batch ids alone would not do as names: they start over with a new checkpoint.)
+    Events that cannot be applied go to ``{root}/quarantine``, in one folder per batch
+    of this checkpoint, so a batch delivered again does not repeat them.
     A batch that keeps failing is tried ``max_errors`` times in a row, then the
-    query stops and a later start on the same checkpoint resumes.
+    query stops and a later start on the same checkpoint resumes. Each batch rewrites
+    the buckets it touches, so ``every`` should leave time for a worthwhile batch.
     """
-    run = uuid.uuid4().hex[:12]
+    run, source = uuid.uuid4().hex[:12], f"{zlib.crc32(checkpoint.encode()):08x}"
+
+    def apply_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if tables:
+            apply_table_changes(spark, root, batch, tables, f"stream-{source}-{batch_id}", base)
+            return
+        good, bad = split_changes(batch, row, key, base)
+        apply_changes(spark, root, good, row, key, f"stream-{run}-{batch_id}", base=base)
+        bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch={source}-{batch_id}")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        for attempt in range(1, max_errors + 1):
-            try:
-                apply_changes(batch.sparkSession, root, batch, row, key, f"stream-{run}-{batch_id}")
-                break
-            except Exception:
-                if attempt == max_errors:
-                    raise
-                time.sleep(back_off)
-        if on_batch:
-            on_batch(batch, batch_id)
+        batch.persist()
+        try:
+            for attempt in range(1, max_errors + 1):
+                try:
+                    apply_batch(batch, batch_id)
+                    break
+                except Exception:
+                    if attempt == max_errors:
+                        raise
+                    time.sleep(back_off)
+            if on_batch:
+                on_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 # ---- following along -------------------------------------------------------
@@ -251,21 +326,15 @@ def event_rate_windows(changes: DataFrame, width: str = "1 minute", late: str =
     )
 
 
-def start_progress_feed(stream: DataFrame, feed: str, checkpoint: str) -> StreamingQuery:
+def start_progress_feed(stream: DataFrame, feed: str, checkpoint: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
     """Running counts per migration: each micro-batch appends the rows that
     changed, ``read_feed`` gives the newest."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("feed_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{feed}/part={batch_id}")
 
-    return (
-        change_counts(stream)
-        .writeStream.outputMode("update")
-        .foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = change_counts(stream).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def read_feed(spark: SparkSession, feed: str) -> DataFrame:

@@ -77,6 +77,47 @@ def test_delete_takes_the_key_from_either_image(spark):
     assert rows(changes.keyless_changes(gone, ROW, "id"), "event_id") == [(12,)]
 
 
+def test_tables_have_targets_of_their_own_and_nothing_is_lost(spark):
+    root = fresh_dir(spark, "replicas")
+    image = '{"id":5,"value":1,"k":1}'
+    found = [
+        (1, 1, "INSERT", "users", "1764594785/1", None, None, image, "PENDING", 0, None, None),
+        (2, 1, "INSERT", "orders", "1764594785/2", None, None, image, "PENDING", 0, None, None),
+        (3, 1, "DELETE", "products", "1764594785/3", None, '{"id":5}', None, "PENDING", 0, None, None),
+        (4, 1, "UPDATE", "users", "1764594785/4", None, None, '{"value":2}', "PENDING", 0, None, None),
+        (5, 1, "UPDATE", "users", "1764594785/5", None, None, '{"id":5,"value":"much"}', "PENDING", 0, None, None),
+        (6, 1, "UPDATE", "users", "1764594785/99999999999", None, None, image, "PENDING", 0, None, None),
+        (7, 1, "UPDATE", "users", None, None, None, image, "PENDING", 0, None, None),
+        (8, 1, "INSERT", None, "1/1", None, None, image, "PENDING", 0, None, None),
+        (9, 1, None, "users", "1/1", None, None, '{"id":', "PENDING", 0, None, None),
+    ]
+    wanted = {name: (ROW, "id") for name in ("users", "orders", "products")}
+    for _ in range(2):
+        changes.apply_table_changes(spark, root, events(spark, *found), wanted, "b1", base=10)
+    for name, expect in (("users", [(5, 1.0, 1)]), ("orders", [(5, 1.0, 1)]), ("products", [])):
+        assert state(spark, changes.table_root(root, name)) == expect
+    held = spark.read.parquet(f"{root}/quarantine").select("event_id", F.array_join("reasons", "; "))
+    assert rows(held) == [
+        (4, "no key"), (5, "after image does not fit"), (6, "bad log position"), (7, "bad log position"),
+        (8, "unknown table"), (9, "unknown operation; bad after image"),
+    ]
+
+
+def test_a_load_with_its_position_is_not_touched_by_older_events(spark):
+    load = spark.createDataFrame([(1, 9.0, 9)], ROW)
+    old = events(spark, event(3, "UPDATE", after='{"id":1,"value":3,"k":3}'), event(4, "INSERT", after='{"id":2,"value":4,"k":4}'))
+    root = fresh_dir(spark, "replica")
+    assert rows(changes.replicate(spark, root, "FULL_LOAD_AND_CDC", load, [old], ROW, "id", load_lsn="0/8")) == [(1, 9.0, 9), (2, 4.0, 4)]
+
+
+def test_fields_from_before_a_delete_do_not_return(spark):
+    found = events(
+        spark, event(1, "INSERT", after='{"id":1,"value":1,"k":1}'), event(2, "DELETE", '{"id":1}'),
+        event(3, "INSERT", after='{"id":1,"k":3}'), event(4, "INSERT", after='{"id":2,"value":4}'), event(5, "DELETE", None, '{"id":2}'),
+    )
+    assert rows(changes.collapse_partial_changes(found, "id")) == [("1", "id", "1"), ("1", "k", "3")]
+
+
 def test_deleted_marks_can_be_purged(spark):
     root = fresh_dir(spark, "replica")
     changes.apply_changes(spark, root, events(spark, event(1, "INSERT", after='{"id":1,"value":1,"k":1}'), event(2, "DELETE", '{"id":2}'), event(9, "DELETE", '{"id":3}')), ROW, "id", "b1")
