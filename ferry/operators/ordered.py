@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ferry.session import fresh_dir, parallelism
 
 _LOW_BITS = (1 << 33) - 1
+# Spark's own bound for rank filters below a shuffle, and the parts used above it.
+_PUSHED_RANKS, _PARTS = 1000, 32
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -24,10 +26,14 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def newest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each key in the given order. The rank filter is
-    pushed below the shuffle as a per-task limit."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("row_rank", rank).where(F.col("row_rank") <= n)
+    """The first ``n`` rows of each key in the given order. Spark pushes a small rank
+    filter below the shuffle as a per-task limit; beyond that limit a hot key is
+    ranked in parts first, so that one task sorts at most ``n`` rows of each part."""
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    if n > _PUSHED_RANKS:
+        parted = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(_PARTS)))
+        df = parted.withColumn("row_rank", rank(*keys, "_part")).where(F.col("row_rank") <= n).drop("_part", "row_rank")
+    return df.withColumn("row_rank", rank(*keys)).where(F.col("row_rank") <= n)
 
 
 def older_than_newest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, id_column: str) -> DataFrame:

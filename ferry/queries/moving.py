@@ -63,30 +63,44 @@ def preview_rows(t: Inputs):
     return mask.preview_rows(t.people.withColumn("photo", F.col("department").cast("binary")), "c_custkey", 5)
 
 
+_STORED = {
+    "region": "r_regionkey:integer r_name:varchar",
+    "nation": "n_nationkey:integer n_name:varchar n_regionkey:integer",
+    "customer": "c_custkey:bigint c_name:varchar c_nationkey:integer c_acctbal:double c_mktsegment:varchar",
+    "supplier": "s_suppkey:bigint s_name:varchar s_nationkey:integer s_acctbal:double",
+    "part": "p_partkey:bigint p_name:varchar p_brand:varchar p_type:varchar p_size:integer p_retailprice:double",
+    "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:varchar o_totalprice:double o_orderdate:timestamp o_orderpriority:varchar",
+    "lineitem": "l_orderkey:bigint l_partkey:bigint l_suppkey:bigint l_linenumber:integer l_quantity:double l_extendedprice:double"
+    " l_discount:double l_tax:double l_returnflag:varchar l_linestatus:varchar l_shipdate:timestamp",
+    "events": "event_id:bigint ts:timestamp user_id:bigint event_type:varchar value:double props:varchar",
+    "documents": "doc_id:bigint text:varchar lang:varchar source:varchar n_chars:bigint",
+    "embeddings": "vec_id:bigint embedding:array<float> label:integer",
+    "pages": "page_id:bigint url:varchar html:varchar",
+    "benchmark": "item_id:bigint text:varchar",
+    "labels": "doc_id:bigint quality:integer toxic:integer",
+    "conversations": "conv_id:bigint turn:bigint role:varchar text:varchar",
+    "dirty": "c_custkey:bigint c_name:varchar c_nationkey:integer c_acctbal:varchar c_mktsegment:varchar copy_no:integer",
+}
+
+
+def _catalog_sql(table: str, columns: list[list[str]]) -> str:
+    listed = ", ".join(f"{{'i': {i}, 'n': '{n}', 't': '{kind}', 'nulls': count(*) - count({n})}}" for i, (n, kind) in enumerate(columns, 1))
+    return (
+        f"select '{table}' as table_name, c.n as column_name, c.i as ordinal, c.t as column_type, true as nullable, cast(null as int) as num_precision,"
+        f" cast(null as int) as num_scale, row_count, c.nulls as null_count from (select count(*) as row_count, unnest([{listed}]) as c from {table})"
+    )
+
+
 @query(
     "scan_catalog",
-    """select table_name, column_name, ordinal, column_type, true as nullable,
-         cast(null as int) as num_precision, cast(null as int) as num_scale, row_count, null_count
-       from (values ('customer', 1, 'c_custkey', 'bigint'), ('customer', 2, 'c_name', 'varchar'), ('customer', 3, 'c_nationkey', 'integer'),
-         ('customer', 4, 'c_acctbal', 'double'), ('customer', 5, 'c_mktsegment', 'varchar'),
-         ('dirty', 1, 'c_custkey', 'bigint'), ('dirty', 2, 'c_name', 'varchar'), ('dirty', 3, 'c_nationkey', 'integer'),
-         ('dirty', 4, 'c_acctbal', 'varchar'), ('dirty', 5, 'c_mktsegment', 'varchar'), ('dirty', 6, 'copy_no', 'integer'))
-         as c(table_name, ordinal, column_name, column_type)
-       join (
-         select 'customer' as table_name, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) as column_name,
-           unnest([count(*) - count(c_custkey), count(*) - count(c_name), count(*) - count(c_nationkey), count(*) - count(c_acctbal), count(*) - count(c_mktsegment)]) as null_count,
-           count(*) as row_count from customer
-         union all
-         select 'dirty', unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment', 'copy_no']),
-           unnest([count(*) - count(c_custkey), count(*) - count(c_name), count(*) - count(c_nationkey), count(*) - count(c_acctbal), count(*) - count(c_mktsegment), count(*) - count(copy_no)]),
-           count(*) from dirty) s using (table_name, column_name)""",
+    " union all ".join(_catalog_sql(n, [c.split(":") for c in columns.split()]) for n, columns in _STORED.items()),
     ("dirty",),
 )
 def scan_catalog(t: Inputs):
     # `dirty` adds a literal column; a stored table reports its columns as nullable.
     stored = fresh_dir(t.spark, "stored")
     t.dirty.write.parquet(stored)
-    return tables.scan_catalog(t.spark, {"customer": t.customer, "dirty": t.spark.read.parquet(stored)})
+    return tables.scan_catalog(t.spark, {n: getattr(t, n) for n in GIVEN} | {"dirty": t.spark.read.parquet(stored)})
 
 
 # ---- sinks -----------------------------------------------------------------

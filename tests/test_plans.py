@@ -333,3 +333,14 @@ def test_names_are_escaped_in_table_text(spark):
         if key not in names:
             df = df.selectExpr("*", f"'x' as {key}")
     assert "`we``ird`" in drift.create_table_ddl(df).first().ddl and "`c``1`" in drift.create_table_ddl(df).first().ddl
+
+
+def test_many_newest_rows_are_those_of_a_sort(spark):
+    df = spark.range(0, 9000, 1, 9).select((F.col("id") % 2).alias("k"), F.hash("id").alias("v"), "id")
+    found = ordered.newest_n(df, ["k"], [F.col("v").desc(), F.col("id").asc()], 1500)
+    assert found.columns == ["k", "v", "id", "row_rank"]
+    expect = []
+    for k in (0, 1):
+        mine = sorted((r for r in df.collect() if r.k == k), key=lambda r: (-r.v, r.id))[:1500]
+        expect += [(k, r.v, r.id, i) for i, r in enumerate(mine, 1)]
+    assert rows(found) == sorted(expect, key=lambda r: tuple((v is not None, str(v)) for v in r))
