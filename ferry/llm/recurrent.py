@@ -26,8 +26,8 @@ HIDDEN, CLASSES, WIDTH, RARE = 16, 32, 64, 64
 VOCABULARY = CLASSES * WIDTH
 #: Most frequent words whose counts every task gets, at most. Others are joined.
 KNOWN = 200_000
-#: One training document in ``SHARE`` trains the network in each of ``ROUNDS`` rounds: each task trains on its own documents, and parameters are averaged by tokens.
-SHARE, ROUNDS, RATE = 16, 2, 0.01
+#: Every training document trains the network in one of ``ROUNDS`` rounds: each task trains on its own documents, and parameters are averaged by tokens.
+ROUNDS, RATE = 2, 0.01
 #: Documents side by side, steps of truncated back-propagation, steps of a scoring window.
 BATCH, STEPS, WINDOW, SIDE_BY_SIDE = 32, 16, 32, 512
 SMOOTH = 0.1
@@ -188,6 +188,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
 def _picked(h: np.ndarray, w: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Log-softmax of ``h @ w + b`` at one place per row. States lie between -1 and 1, which
     bounds the logits; where the bound is small no shift is needed before exp."""
@@ -216,44 +222,71 @@ def slopes(p: dict[str, np.ndarray], saved: list[tuple], states: np.ndarray, sea
     """Gradient of the mean loss over a window, back to its first step. That of the input
     table has the rows of the tokens that occur, which come second."""
     steps, batch = real.shape
-    h, mask = states.reshape(-1, HIDDEN), real.reshape(-1).astype(np.float32)
-    group, place = seat.reshape(-1) // WIDTH, seat.reshape(-1) % WIDTH
-    n, rows = max(mask.sum(), 1), np.arange(len(h))
+    wanted = np.flatnonzero(real.reshape(-1))
+    group = seat.reshape(-1)[wanted] // WIDTH
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    wanted, group = wanted[order], group[order]
+    # Tokens in the order of their classes, so that a class is a slice.
+    h, place = states.reshape(-1, HIDDEN)[wanted], seat.reshape(-1)[wanted] % WIDTH
+    n, rows = max(len(wanted), 1), np.arange(len(wanted))
     g = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
-    e = np.exp(_log_softmax(h @ p["c"] + p["cb"]))
+    e = _softmax(h @ p["c"] + p["cb"])
     e[rows, group] -= 1
-    e *= (mask / n)[:, None]
+    e /= n
     g["c"], g["cb"] = h.T @ e, e.sum(axis=0)
     dh = e @ p["c"].T
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        mine = order[ends[c] : ends[c + 1]]
-        if len(mine):
-            e = np.exp(_log_softmax(h[mine] @ p["w"][c] + p["wb"][c]))
-            e[np.arange(len(mine)), place[mine]] -= 1
-            e *= (mask[mine] / n)[:, None]
-            g["w"][c], g["wb"][c] = h[mine].T @ e, e.sum(axis=0)
-            dh[mine] += e @ p["w"][c].T
-    dh = dh.reshape(steps, batch, HIDDEN)
-    back = np.zeros((batch, HIDDEN), np.float32)
-    inputs = []
+    e = np.empty((len(wanted), WIDTH), h.dtype)
+    ends = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    there = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if lo < hi]
+    for c, mine in there:
+        np.matmul(h[mine], p["w"][c], out=e[mine])
+    e += p["wb"][group]
+    e = _softmax(e)
+    e[rows, place] -= 1
+    e /= n
+    for c, mine in there:
+        np.matmul(h[mine].T, e[mine], out=g["w"][c])
+        dh[mine] += e[mine] @ p["w"][c].T
+    if there:
+        g["wb"][[c for c, _ in there]] = np.add.reduceat(e, [mine.start for _, mine in there], axis=0)
+    down = np.zeros((steps * batch, HIDDEN), h.dtype)
+    down[wanted] = dh
+    down = down.reshape(steps, batch, HIDDEN)
+    tokens, before, z, r, un, new = (np.stack(x) for x in zip(*saved, strict=True))
+    to_n, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), un * r * (1 - r)
+    da, du = (np.empty((steps, batch, 3 * HIDDEN), h.dtype) for _ in range(2))
+    back, turned = np.zeros((batch, HIDDEN), h.dtype), p["u"].T
     for t in range(steps - 1, -1, -1):
-        token, before, z, r, un, new = saved[t]
-        d = dh[t] + back
-        dn = d * (1 - z) * (1 - new * new)
-        dz, dr = d * (before - new) * z * (1 - z), dn * un * r * (1 - r)
-        da = np.concatenate((dz, dr, dn), axis=1)
-        du = np.concatenate((dz, dr, dn * r), axis=1)
-        inputs.append((token, da))
-        g["u"] += before.T @ du
-        back = d * z + du @ p["u"].T
-    tokens, da = np.concatenate([t for t, _ in inputs]), np.concatenate([d for _, d in inputs])
-    g["b"] = da.sum(axis=0)
-    order = np.argsort(tokens, kind="stable")
-    seen, first = np.unique(tokens[order], return_index=True)
+        d = down[t] + back
+        dn = da[t, :, 2 * HIDDEN :] = d * to_n[t]
+        np.multiply(d, to_z[t], out=du[t, :, :HIDDEN])
+        np.multiply(dn, to_r[t], out=du[t, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[t], out=du[t, :, 2 * HIDDEN :])
+        back = d * z[t] + du[t] @ turned
+    da[:, :, : 2 * HIDDEN] = du[:, :, : 2 * HIDDEN]
+    da = da.reshape(-1, 3 * HIDDEN)
+    g["u"], g["b"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN), da.sum(axis=0)
+    tokens = tokens.reshape(-1)
+    order = np.argsort(tokens.astype(np.int16), kind="stable")
+    tokens = tokens[order]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
     g["x"] = np.add.reduceat(da[order], first, axis=0)
-    return g, seen
+    return g, tokens[first]
+
+
+def _adam(x: np.ndarray, mean: np.ndarray, square: np.ndarray, slope: np.ndarray, k: int) -> None:
+    """Moves ``x``, ``mean`` and ``square`` in place."""
+    mean += 0.1 * (slope - mean)
+    change = slope * slope
+    change -= square
+    change *= 0.005
+    square += change
+    np.multiply(square, 1 / (1 - 0.995**k), out=change)
+    np.sqrt(change, out=change)
+    change += 1e-6
+    np.divide(mean, change, out=change)
+    change *= RATE / (1 - 0.9**k)
+    x -= change
 
 
 def train_task(p: dict[str, np.ndarray], texts: list[np.ndarray], seat: np.ndarray) -> int:
@@ -271,22 +304,27 @@ def train_task(p: dict[str, np.ndarray], texts: list[np.ndarray], seat: np.ndarr
             target[: len(ids), i], real[: len(ids), i] = ids, True
         inputs = np.concatenate((np.zeros((1, len(group)), np.int64), target[:-1]))
         h = np.zeros((len(group), HIDDEN), np.float32)
+        lengths = np.array([len(ids) for ids in group])
         for t in range(0, longest, STEPS):
-            saved, states = [], []
+            # Lengths rise: documents that have ended are the first ones.
+            live = int(np.searchsorted(lengths, t, side="right"))
+            first = live - (len(group) - len(h))
+            h, saved, states = h[first:], [], []
             for s in range(t, min(t + STEPS, longest)):
+                h, keep = step(p, inputs[s, live:], h)
                 states.append(h)
-                h, keep = step(p, inputs[s], h)
-                states[-1] = h
                 saved.append(keep)
-            g, seen = slopes(p, saved, np.stack(states), seat[target[t : t + STEPS]], real[t : t + STEPS])
+            g, seen = slopes(p, saved, np.stack(states), seat[target[t : t + STEPS, live:]], real[t : t + STEPS, live:])
             k += 1
             for name, x in p.items():
-                # Only the input rows of tokens in the window move.
-                rows = seen if name == "x" else slice(None)
-                mean = m[name][rows] + 0.1 * (g[name] - m[name][rows])
-                square = v[name][rows] + 0.005 * (g[name] ** 2 - v[name][rows])
-                m[name][rows], v[name][rows] = mean, square
-                x[rows] -= RATE * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.995**k)) + 1e-6)
+                if name == "x":
+                    # Only the input rows of tokens in the window move.
+                    part = [y["x"][seen] for y in (p, m, v)]
+                    _adam(*part, g["x"], k)
+                    for y, rows in zip((p, m, v), part, strict=True):
+                        y["x"][seen] = rows
+                else:
+                    _adam(x, m[name], v[name], g[name], k)
         done += int(real.sum())
     return done
 
@@ -328,7 +366,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> tuple[dict[str, np.ndarray
                     part = flat[lo : lo + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array(part * tokens), pa.array(np.full(len(part), float(tokens)))], names=["place", "value", "weight"])
 
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == turn)
+        part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
         told = part.select("text").mapInArrow(run, "place long, value double, weight double")
         mean = told.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow().sort_by("place")
         if mean.num_rows:
