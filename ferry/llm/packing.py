@@ -29,6 +29,8 @@ CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+#: tiktoken's pattern engine runs out of stack in a white-space run of about a million.
+_LONG_BLANK = re.compile(r"(?<!\s)\s{100000}")
 
 
 def default_tokenizer() -> str:
@@ -40,7 +42,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Token ids of a vocabulary file. Its ids are read by the tokenizers library; texts of
     Latin script go through tiktoken with the same vocabulary, which gives the same ids
-    about five times as fast. A probe checks that, else all texts take the first way."""
+    about five times as fast but cannot take very long runs of white space. A probe checks that, else all texts take the first way."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -57,7 +59,7 @@ class Encoder:
         self.same = self.fast.encode_ordinary(probe) == self.exact.encode(probe, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.same and not _BEYOND_LATIN.search(text):
+        if self.same and not _BEYOND_LATIN.search(text) and not (len(text) >= 100_000 and _LONG_BLANK.search(text)):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.exact.encode(text, add_special_tokens=False).ids
