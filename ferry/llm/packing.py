@@ -42,24 +42,26 @@ def default_tokenizer() -> str:
 class Encoder:
     """Token ids of a vocabulary file. Its ids are read by the tokenizers library; texts of
     Latin script go through tiktoken with the same vocabulary, which gives the same ids
-    about five times as fast but cannot take very long runs of white space. A probe checks that, else all texts take the first way."""
+    about five times as fast but cannot take very long runs of white space or added tokens. A probe checks that, else all texts take the first way."""
 
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         spelled = {chr(b): b for b in PLAIN_BYTES} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in PLAIN_BYTES)}
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            given = json.load(file)
+        model, added = given["model"], [t["content"] for t in given.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         ranks = {bytes(spelled[c] for c in word): i for word, i in model["vocab"].items() if all(c in spelled for c in word) and not re.fullmatch(r"<\|.*\|>", word)}
         self.fast = tiktoken.Encoding("given", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
-        probe = "Don't  pack 1234 naïve cafés,\n\n  <|endoftext|> x_y!!  \tüber-große ñandú's \x00 ÀÉ"
+        probe = "Don't  pack 1234 naïve cafés,\n\n  <|endof text|> x_y!!  \tüber-große ñandú's \x00 ÀÉ"
         self.same = self.fast.encode_ordinary(probe) == self.exact.encode(probe, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.same and not _BEYOND_LATIN.search(text) and not (len(text) >= 100_000 and _LONG_BLANK.search(text)):
+        long = len(text) >= 100_000 and _LONG_BLANK.search(text)
+        if self.same and not long and not _BEYOND_LATIN.search(text) and not (self.added and self.added.search(text)):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.exact.encode(text, add_special_tokens=False).ids
