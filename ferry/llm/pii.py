@@ -46,13 +46,21 @@ def mod97(code: str) -> str:
 
 # ``{m}`` is the match, ``{p}`` the text between it and the one before.
 _CARD, _CODE = "regexp_replace({m}, '[ -]', '')", "replace({m}, ' ', '')"
+# Characters of an IBAN by country: what follows one (a word, a number, another IBAN) is not part of it.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items()) + ")"
 _OCTET = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = (
     Kind("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "true", "mail|contact|write|e-mail", 0.85, "[EMAIL]"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", rf"{{m}} rlike '^{_OCTET}(\\.{_OCTET}){{{{3}}}}$'", "address|server|host|ip", 0.8, "[IP]"),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", "[0-9](?:[ -]?[0-9]){12}", f"if(length({_CARD}) between 13 and 19, {luhn(_CARD)}, false)", "card|visa|credit|payment", 0.85, "[CARD]"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "[+][0-9]", "length(regexp_replace({m}, '[^0-9]', '')) between 9 and 15", "call|phone|tel|mobile", 0.8, "[PHONE]"),
-    Kind("iban", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", "[A-Z]{2}[0-9]{2}", "{p} not rlike '[A-Za-z0-9]$' and " + mod97(_CODE), "iban|account|bank", 0.85, "[IBAN]", False),
+    Kind("iban", _IBAN, "[A-Z]{2}[0-9]{2}", "{p} not rlike '[A-Za-z0-9]$' and " + mod97(_CODE), "iban|account|bank", 0.85, "[IBAN]", False),
     Kind("secret", "AKIA[0-9A-Z]{16}", "AKIA", "{p} not rlike '[A-Za-z0-9]$'", "key|secret|token|aws", 0.85, "[SECRET]", False),
 )
 
