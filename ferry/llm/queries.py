@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferry.llm import contamination, dedup, language, licenses, neighbours, packing, pii, quality, recurrent, toxicity
+from ferry.llm import contamination, dedup, language, licenses, neighbours, packing, pii, quality, recurrent, toxicity, urls
 from ferry.llm.shared import table
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,10 +20,12 @@ RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": lambda spark, at: neighbours.neighbours_report(table(spark, at, "embeddings")),
     "op9_packing": lambda spark, at: packing.pack(table(spark, at, "documents")),
     "op10_language": lambda spark, at: language.language_report(table(spark, at, "documents")),
+    "op11_url_filter": lambda spark, at: urls.verdict_report(table(spark, at, "pages")),
 }
 
 SQL: dict[str, str] = {
     "op1_licenses": licenses.report_sql(),
     "op5_personal_data": pii.report_sql(),
     "op6_contamination": contamination.report_sql(),
+    "op11_url_filter": urls.report_sql(),
 }
