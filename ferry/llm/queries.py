@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferry.llm import contamination, dedup, language, licenses, neighbours, packing, pii, quality, recurrent, toxicity, urls
+from ferry.llm import contamination, conversations, dedup, language, licenses, neighbours, packing, pii, quality, recurrent, toxicity, urls
 from ferry.llm.shared import table
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": lambda spark, at: packing.pack(table(spark, at, "documents")),
     "op10_language": lambda spark, at: language.language_report(table(spark, at, "documents")),
     "op11_url_filter": lambda spark, at: urls.verdict_report(table(spark, at, "pages")),
+    "op12_conversation_repair": lambda spark, at: conversations.repair_report(table(spark, at, "conversations")),
 }
 
 SQL: dict[str, str] = {
