@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferry.llm import contamination, conversations, dedup, language, licenses, neighbours, packing, pii, quality, recurrent, toxicity, urls
+from ferry.llm import contamination, conversations, dedup, language, licenses, neighbours, packing, phrases, pii, quality, recurrent, toxicity, urls
 from ferry.llm.shared import table
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": lambda spark, at: language.language_report(table(spark, at, "documents")),
     "op11_url_filter": lambda spark, at: urls.verdict_report(table(spark, at, "pages")),
     "op12_conversation_repair": lambda spark, at: conversations.repair_report(table(spark, at, "conversations")),
+    "op13_collocations": lambda spark, at: phrases.collocations(table(spark, at, "documents")),
 }
 
 SQL: dict[str, str] = {
@@ -29,4 +30,5 @@ SQL: dict[str, str] = {
     "op5_personal_data": pii.report_sql(),
     "op6_contamination": contamination.report_sql(),
     "op11_url_filter": urls.report_sql(),
+    "op13_collocations": phrases.report_sql(),
 }
