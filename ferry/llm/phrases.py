@@ -32,7 +32,7 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 PIECE_BREAKS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 #: Bytes of text hashed at once. A longer text is hashed alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Bits of a fingerprint; tests lower it to make fingerprints collide.
 FINGERPRINT_BITS = 64
 
@@ -65,8 +65,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1); kept for the next chunk unless it is a rare long one."""
     found = _POWERS.get(base)
     if found is None or len(found) < n:
-        found = np.full(max(n, 2 * CHUNK), base, dtype=np.uint64)
-        found[0] = 1
+        found = np.full(n + n // 8, base, dtype=np.uint64)
+        found[:1] = 1
         np.multiply.accumulate(found, dtype=np.uint64, out=found)
         if n <= 2 * CHUNK:
             _POWERS[base] = found
@@ -136,10 +136,10 @@ def tokens(parts: list[Slice]) -> Tokens:
 class Grams:
     """Fingerprints of the word runs of one language's texts."""
 
-    def __init__(self, found: Tokens, lang: str):
+    def __init__(self, found: Tokens, lang: str, seconds: bool = False):
         self.tokens, self.words = found, []
         name = np.frombuffer(lang.encode(), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-        for over_bytes, over_words in _BASES:
+        for over_bytes, over_words in _BASES[: 1 + seconds]:
             letters = _Polynomial(found.buffer.astype(np.uint64) + np.uint64(1), over_bytes)
             inverses = _powers(letters.inverse, len(found.buffer) + 1)
             hashes = _mixed(letters.ranges(found.lo, found.hi, inverses) + (found.hi - found.lo).astype(np.uint64))
@@ -196,42 +196,63 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(lang.alias("lang"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text")).where(F.coalesce(text, F.lit("")) != "")
 
 
-_COUNTS = "lang string, fp long, n long, low long, high long, key long, at long"
+def _sorted(grams: Grams, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints in order, their starts, and where each distinct one begins."""
+    fps = grams.fingerprints(at, length)
+    order = np.argsort(fps, kind="stable")
+    fps = fps[order]
+    return fps.view(np.int64), at[order], np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]]))
+
+
+def _records(lang: str, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    rows = len(next(iter(columns.values())))
+    for lo in range(0, rows, 100_000):
+        parts = [pa.array(c[lo : lo + 100_000]) for c in columns.values()]
+        langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(parts[0]), np.int32)), [lang]).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([langs, *parts], names=["lang", *columns])
 
 
 def _counted(docs: DataFrame, length: int, parts: np.ndarray | None) -> DataFrame:
-    """(lang, fp, n, low, high, first_key, first_at, last_key, last_at): every fingerprint of
-    ``length`` words that may be frequent, with its occurrences, the least and the greatest
-    second fingerprint among them, and pointers (text, byte) to two occurrences."""
+    """(lang, fp, n): occurrences of every fingerprint of ``length`` words whose parts may be
+    frequent."""
     sent = None if parts is None else docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, parts_here in _chunks(batches):
-            grams = Grams(tokens(parts_here), lang)
+        for lang, chunk in _chunks(batches):
+            grams = Grams(tokens(chunk), lang)
             at = grams.candidates(length, None if sent is None else sent.value)
-            if not len(at):
-                continue
-            fps = grams.fingerprints(at, length)
-            order = np.argsort(fps, kind="stable")
-            fps, at = fps[order], at[order]
-            heads = np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]]))
-            second = grams.fingerprints(at, length, 1).view(np.int64)
-            text_keys = np.array([p.key for p in parts_here], dtype=np.int64)
-            columns = [
-                fps[heads].view(np.int64),
-                np.diff(np.append(heads, len(fps))),
-                np.minimum.reduceat(second, heads),
-                np.maximum.reduceat(second, heads),
-                text_keys[grams.tokens.text[at[heads]]],
-                grams.tokens.at[at[heads]],
-            ]
-            for lo in range(0, len(heads), 100_000):
-                part = [pa.array(c[lo : lo + 100_000]) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0])), *part], names=["lang", "fp", "n", "low", "high", "key", "at"])
-
-    partial = _texts(docs).mapInArrow(run, _COUNTS)
-    return partial.groupBy("lang", "fp").agg(
-        F.sum("n").alias("n"),
+            if len(at):
+                fps, _, heads = _sorted(grams, at, length)
+                yield from _records(lang, {"fp": fps[heads], "n": np.diff(np.append(heads, len(fps)))})
+
+    return _texts(docs).mapInArrow(run, "lang string, fp long, n long").groupBy("lang", "fp").agg(F.sum("n").alias("n"))
+
+
+def _pointed(docs: DataFrame, frequent: list[np.ndarray]) -> DataFrame:
+    """(lang, length, fp, low, high, first_key, first_at, last_key, last_at): of the
+    fingerprints that may be frequent, the least and the greatest second fingerprint, and
+    pointers (text, byte) to two occurrences."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, chunk in _chunks(batches):
+            grams = Grams(tokens(chunk), lang, seconds=True)
+            keys = np.array([p.key for p in chunk], dtype=np.int64)
+            for length, parts in enumerate(sent.value, 1):
+                at = grams.starts(length)
+                at = at[blooms.may_hold(parts, grams.fingerprints(at, length))]
+                if not len(at):
+                    continue
+                fps, at, heads = _sorted(grams, at, length)
+                second, first = grams.fingerprints(at, length, 1).view(np.int64), at[heads]
+                yield from _records(lang, {
+                    "length": np.full(len(heads), length, np.int32), "fp": fps[heads],
+                    "low": np.minimum.reduceat(second, heads), "high": np.maximum.reduceat(second, heads),
+                    "key": keys[grams.tokens.text[first]], "at": grams.tokens.at[first],
+                })
+
+    partial = _texts(docs).mapInArrow(run, "lang string, length int, fp long, low long, high long, key long, at long")
+    return partial.groupBy("lang", "length", "fp").agg(
         F.min("low").alias("low"),
         F.max("high").alias("high"),
         F.min("key").alias("first_key"),
@@ -306,20 +327,20 @@ def _recounted(docs: DataFrame, collided: DataFrame) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """(lang, length, phrase, n) of all phrases of one to four words with ``least``
     occurrences or more in a language, and (lang, words) with the words of each language."""
-    levels, parts, sizes = [], None, None
+    levels, filters, sizes = [], [], None
     for length in range(1, LONGEST + 1):
-        counted = _counted(docs, length, parts)
+        counted = _counted(docs, length, filters[-1] if filters else None)
         if length == 1:
             # All words once: their number per language comes from the same counts.
             counted = stored(counted, "words")
             sizes = counted.groupBy("lang").agg(F.sum("n").alias("words"))
         level = stored(counted.where(F.col("n") >= least).withColumn("length", F.lit(length)), "level")
         levels.append(level)
-        if length < LONGEST:
-            parts = _filter_of(level)
+        filters.append(_filter_of(level))
     frequent = levels[0]
     for level in levels[1:]:
         frequent = frequent.unionByName(level)
+    frequent = stored(frequent.join(_pointed(docs, filters), ["lang", "length", "fp"]), "frequent")
     spelled = stored(_spelled(docs, frequent), "spelled")
     one = (F.col("low") == F.col("high")) & (F.col("phrase") == F.col("other"))
     whole = spelled.where(one).select("lang", "length", "phrase", "n")
