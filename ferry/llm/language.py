@@ -9,7 +9,6 @@ are multiplied once, which leaves one weight per bucket and language.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,8 @@ TRAINING, MOST, LANDMARKS, RIDGE = 704, 4000, 256, 1e-2
 #: A language's documents are ranked in so many parts, which share its number evenly.
 PARTS = 16
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Rows of the fit that are dense at once.
+DENSE = 128
 
 
 def presence(data: np.ndarray) -> np.ndarray:
@@ -67,36 +67,43 @@ class Model:
         return best, 1 / odds.sum(axis=1)
 
 
+def _rows(buckets: list[np.ndarray]) -> np.ndarray:
+    """One row of unit length for each text."""
+    rows = np.zeros((len(buckets), 1 << BITS), dtype=np.float32)
+    for row, b in zip(rows, buckets, strict=True):
+        row[b] = 1 / np.sqrt(max(len(b), 1))
+    return rows
+
+
 def fit(buckets: list[np.ndarray], languages: list[str]) -> Model:
     """One-versus-rest kernel ridge regression on Nyström features."""
     names = sorted(set(languages))
-    x = np.zeros((len(buckets), 1 << BITS), dtype=np.float32)
-    for row, b in zip(x, buckets, strict=True):
-        row[b] = 1 / np.sqrt(max(len(b), 1))
     target = np.array([[1.0 if name == mine else -1.0 for name in names] for mine in languages])
     chosen = np.linspace(0, len(buckets) - 1, min(LANDMARKS, len(buckets))).astype(int)
-    marks = x[chosen]
-    among, kernel = (marks @ marks.T).astype(float), (x @ marks.T).astype(float)
+    marks = _rows([buckets[i] for i in chosen])
+    among = (marks @ marks.T).astype(float)
+    # Only a few rows are dense at a time; what stays are the kernel values.
+    kernel = np.concatenate([_rows(buckets[lo : lo + DENSE]) @ marks.T for lo in range(0, len(buckets), DENSE)]).astype(float)
     values, vectors = np.linalg.eigh(among)
     kept = values > 1e-8 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
     features = kernel @ root
     mean, bias = features.mean(axis=0), target.mean(axis=0)
     centred = features - mean
-    solved = np.linalg.solve(centred.T @ centred + RIDGE * len(x) * np.eye(centred.shape[1]), centred.T @ (target - bias))
+    solved = np.linalg.solve(centred.T @ centred + RIDGE * len(buckets) * np.eye(centred.shape[1]), centred.T @ (target - bias))
     return Model(names, marks.T.astype(float) @ (root @ solved), bias - mean @ solved)
 
 
 def training_sample(docs: DataFrame, per_language: int = TRAINING, most: int = MOST) -> DataFrame:
     """The labelled documents that come first by hash in each of ``PARTS`` parts of each
     language, ``per_language`` and ``most`` in all at most, among those whose id's crc32
-    leaves a remainder by 5."""
-    labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
+    leaves a remainder by 5. A row that repeats counts once."""
+    labelled = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("key")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
     order = Window.partitionBy("lang", F.pmod("key", F.lit(PARTS))).orderBy("key")
     # The rank limit runs on each partition before the shuffle as well.
-    keys = labelled.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("key")).withColumn("rank", F.row_number().over(order))
-    first = keys.where(F.col("rank") <= max(1, per_language // PARTS)).orderBy("rank", "lang", "key").limit(most).select("doc_id", "lang").distinct()
-    return labelled.join(F.broadcast(first), ["doc_id", "lang"])
+    keys = labelled.select("lang", "doc_id", "key").withColumn("rank", F.row_number().over(order))
+    first = keys.where(F.col("rank") <= max(1, per_language // PARTS)).orderBy("rank", "lang", "key").limit(most).select("doc_id", "lang", "key").distinct()
+    return labelled.join(F.broadcast(first), ["doc_id", "lang", "key"]).dropDuplicates(["doc_id", "lang", "key"]).drop("key")
 
 
 def train(docs: DataFrame) -> Model:
@@ -115,7 +122,7 @@ def train(docs: DataFrame) -> Model:
     known = [r for r in known if len(r.buckets)]
     if not known:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0))
-    return fit([np.frombuffer(r.buckets, np.int16).astype(np.int64) for r in known], [r.lang for r in known])
+    return fit([np.frombuffer(r.buckets, np.int16) for r in known], [r.lang for r in known])
 
 
 def classify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -136,7 +143,7 @@ def classify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
                 best, score = ["und"] * (hi - lo), np.zeros(hi - lo)
                 if learned.languages:
                     place, sure = learned.predict([presence(data[ends[i] : ends[i + 1]]) for i in range(hi - lo)])
-                    lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts.slice(lo, hi - lo).to_pylist()])
+                    lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.slice(lo, hi - lo).to_pylist()])
                     best = [learned.languages[p] if ok else UNDETERMINED for p, ok in zip(place, lettered, strict=True)]
                     score = np.where(lettered, sure, 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in columns] + [pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
