@@ -28,8 +28,11 @@ VOCABULARY = CLASSES * WIDTH
 KNOWN = 200_000
 #: Every training document trains the network in one of ``ROUNDS`` rounds: each task trains on its own documents, and parameters are averaged by tokens.
 ROUNDS, RATE = 2, 0.01
+#: Tokens of a document that one state runs over in training; longer documents are cut
+#: there, so that their parts train side by side. Scoring never cuts.
+SPAN = 1024
 #: Documents side by side, steps of truncated back-propagation, steps of a scoring window.
-BATCH, STEPS, WINDOW, SIDE_BY_SIDE = 32, 16, 32, 512
+BATCH, STEPS, WINDOW, SIDE_BY_SIDE = 256, 16, 32, 512
 SMOOTH = 0.1
 #: Counted distinct words are told after so many tokens; bounds a task's memory.
 COUNTED = 4_000_000
@@ -126,7 +129,9 @@ def make_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
         if taken + r.k > KNOWN:
             break
         taken, least = taken + r.k, r.least
-    known = words.where(F.col("n") >= least).toArrow()
+    # The network's own words by rank, also where the first level alone is too many.
+    network = words.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE - 1)
+    known = words.where(F.col("n") >= least).unionByName(network).distinct().toArrow()
     word, count, rare = (known.column(c).to_numpy() for c in ("word", "n", "rare"))
     order = np.argsort(word.view(np.uint64))
     word, count, rare = word.view(np.uint64)[order], count[order], rare[order]
@@ -291,30 +296,34 @@ def _adam(x: np.ndarray, mean: np.ndarray, square: np.ndarray, slope: np.ndarray
 
 def train_task(p: dict[str, np.ndarray], texts: list[np.ndarray], seat: np.ndarray) -> int:
     """Trains ``p`` in place on token lists (Adam); state is carried over the windows of a
-    document. Returns the number of tokens."""
+    span. Returns the number of tokens."""
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    texts = sorted(texts, key=len)
+    # Each span with the token before it.
+    spans = [(ids[lo - 1] if lo else 0, ids[lo : lo + SPAN]) for ids in texts for lo in range(0, len(ids), SPAN)]
+    spans.sort(key=lambda span: len(span[1]))
     done, k = 0, 0
-    for lo in np.random.default_rng(0).permutation(np.arange(0, len(texts), BATCH)):
-        group = texts[lo : lo + BATCH]
-        longest = max(map(len, group))
-        target = np.zeros((longest, len(group)), np.int64)
-        real = np.zeros((longest, len(group)), bool)
-        for i, ids in enumerate(group):
-            target[: len(ids), i], real[: len(ids), i] = ids, True
-        inputs = np.concatenate((np.zeros((1, len(group)), np.int64), target[:-1]))
-        h = np.zeros((len(group), HIDDEN), np.float32)
+    for lo in np.random.default_rng(0).permutation(np.arange(0, len(spans), BATCH)):
+        group = [ids for _, ids in spans[lo : lo + BATCH]]
         lengths = np.array([len(ids) for ids in group])
+        flat, starts = np.concatenate(group), np.cumsum(lengths) - lengths
+        longest = int(lengths.max())
+        h = np.zeros((len(group), HIDDEN), np.float32)
+        last = np.array([before for before, _ in spans[lo : lo + BATCH]])
         for t in range(0, longest, STEPS):
             # Lengths rise: documents that have ended are the first ones.
             live = int(np.searchsorted(lengths, t, side="right"))
             first = live - (len(group) - len(h))
-            h, saved, states = h[first:], [], []
-            for s in range(t, min(t + STEPS, longest)):
-                h, keep = step(p, inputs[s, live:], h)
+            h, last, saved, states = h[first:], last[first:], [], []
+            # A window of the tokens; the longest document is never padded as a whole.
+            place = t + np.arange(min(STEPS, longest - t))[:, None]
+            real = place < lengths[None, live:]
+            target = np.where(real, flat[np.minimum(starts[None, live:] + place, len(flat) - 1)], 0)
+            for ids in target:
+                h, keep = step(p, last, h)
                 states.append(h)
                 saved.append(keep)
-            g, seen = slopes(p, saved, np.stack(states), seat[target[t : t + STEPS, live:]], real[t : t + STEPS, live:])
+                last = ids
+            g, seen = slopes(p, saved, np.stack(states), seat[target], real)
             k += 1
             for name, x in p.items():
                 if name == "x":
@@ -325,7 +334,7 @@ def train_task(p: dict[str, np.ndarray], texts: list[np.ndarray], seat: np.ndarr
                         y["x"][seen] = rows
                 else:
                     _adam(x, m[name], v[name], g[name], k)
-        done += int(real.sum())
+        done += len(flat)
     return done
 
 
@@ -415,7 +424,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     frequent words. Other words go by hash to a join with the counts; they are rare, so
     no key is hot. Null and empty texts are one token, the end. Without training documents
     counts are 0 and the network is uniform. Repeated rows stay; an empty table
-    gives no rows; other columns are not read.
+    gives no rows; other columns are not read. Very long texts are read whole, window by
+    window. A task trains on its own documents and parameters are averaged by tokens, so
+    ``score`` depends on how the table is cut into tasks; all other columns do not.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(remainder(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out"))
     training = docs.where(~F.col("held_out"))
