@@ -97,12 +97,39 @@ def _list_text(parts: Column) -> Column:
     return F.concat(F.array_size(parts).cast("string"), F.lit("["), F.array_join(parts, "|"), F.lit("]"))
 
 
-def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """All fields in one text that no other row content can spell: fields end at a
-    bar, texts (which may hold bars) are led by their length, lists by their count,
-    null is a lone dash."""
+def _with_double_parts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The parts of ``_double_text`` for whole columns, each made once in a projection of
+    its own: inside one expression every branch would work them out again."""
+    size, whole, first, first_part, rest, rest_part = (lambda c, part=part: f"_{part}_{c}" for part in ("size", "whole", "first", "ones", "rest", "twos"))
+    col = lambda name: F.col(f"`{name}`")
+    df = df.withColumns({size(c): F.abs(col(c).cast("double")) for c in names})
+    df = df.withColumns({whole(c): F.floor(col(size(c))) for c in names})
+    df = df.withColumns({first(c): (col(size(c)) - col(whole(c))) * _MANTISSA for c in names})
+    df = df.withColumns({first_part(c): F.floor(col(first(c))) for c in names})
+    df = df.withColumns({rest(c): (col(first(c)) - col(first_part(c))) * _MANTISSA for c in names})
+    return df.withColumns({rest_part(c): F.floor(col(rest(c))) for c in names})
+
+
+def _double_text_of_parts(name: str) -> Column:
+    """``_double_text`` from the columns that ``_with_double_parts`` made."""
+    size, whole, ones, rest, twos = (F.col(f"`_{part}_{name}`") for part in ("size", "whole", "ones", "rest", "twos"))
+    value = F.col(f"`{name}`").cast("double")
+    beyond = rest - twos
+    dot = F.lit(".")
+    tail = F.when(rest == 0, "").otherwise(F.concat(dot, twos.cast("string"), F.when(beyond == 0, "").otherwise(F.concat(dot, beyond.cast("string")))))
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(size < _MANTISSA, F.concat(sign, whole.cast("string"), dot, ones.cast("string"), tail)).otherwise(value.cast("string"))
+
+
+def with_row_text(df: DataFrame, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Adds all fields in one text that no other row content can spell: fields end at a
+    bar, texts (which may hold bars) are led by their length, lists by their count, null
+    is a lone dash."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    return F.concat_ws("|", *[_part(F.col(f"`{name}`"), types[name]) for name in columns or df.columns])
+    wanted = list(columns or df.columns)
+    doubles = [c for c in dict.fromkeys(wanted) if isinstance(types[c], (T.DoubleType, T.FloatType))]
+    parts = [F.coalesce(_double_text_of_parts(c), F.lit("-")) if c in doubles else _part(F.col(f"`{c}`"), types[c]) for c in wanted]
+    return (_with_double_parts(df, doubles) if doubles else df).withColumn(name, F.concat_ws("|", *parts))
 
 
 def table_checksum(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -112,7 +139,7 @@ def table_checksum(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
     16-bit halves, which fit a long for any row count. The four sums make the checksum.
     Everything is partially aggregated before the only shuffle.
     """
-    digest = df.select(*by, F.md5(row_text(df, columns)).alias("_digest"))
+    digest = with_row_text(df, "_text", columns).select(*by, F.md5("_text").alias("_digest"))
     parts = digest.select(*by, *[F.conv(F.substring("_digest", 8 * k + 1, 8), 16, 10).cast("bigint").alias(f"_{k}") for k in range(4)])
     halves = [F.sum(half).alias(f"_{k}_{name}") for k in range(4) for name, half in (("high", F.shiftright(f"_{k}", 16)), ("low", F.col(f"_{k}").bitwiseAND(F.lit(0xFFFF))))]
     sums = parts.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), *halves)
@@ -173,7 +200,7 @@ def diff_keyless(source: DataFrame, target: DataFrame) -> DataFrame:
     """
     sides = _union(
         [
-            df.select(F.md5(row_text(df, source.columns)).alias("row_hash"), F.lit(weight).alias("weight"))
+            with_row_text(df, "_text", source.columns).select(F.md5("_text").alias("row_hash"), F.lit(weight).alias("weight"))
             for df, weight in ((source, 1), (target, -1))
         ]
     )

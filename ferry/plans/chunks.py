@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ferry.functions.numbers import chunk_count, fixed_chunk_rows, planned_chunk_rows
 from ferry.functions.text import offset_chunk_id, ordinal_chunk_id
@@ -96,6 +97,72 @@ def scan_ranges(df: DataFrame, key: str, bounds: list[tuple]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+#: Sampled keys for each planned range.
+SAMPLED = 200
+
+
+def plan_row_ranges(df: DataFrame, keys: Sequence[str], chunks: int, sampled: int = SAMPLED) -> DataFrame:
+    """(chunk_no, low): the lower bounds of ranges of about equal row counts, for keys of
+    any type that has an order, one column or several, compared one after the other.
+
+    Bounds come from about ``chunks * sampled`` keys, taken by hash so that all copies of a
+    key are in or out and weigh by their number: a hot key gets a range of its own. The
+    first range has no bound and no row here; rows with a null key are in no range.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    present = df.where(whole).select(F.struct(*keys).alias("low"))
+    distinct = present.agg(F.approx_count_distinct(F.xxhash64("low"))).first()[0]
+    share = max(1, distinct // max(1, chunks * sampled))
+    counted = present.where(F.pmod(F.xxhash64("low"), F.lit(share)) == 0).groupBy("low").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.select("low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    numbered = placed.withColumn("chunk_no", F.floor(F.col("before") * chunks / F.col("total")))
+    first = numbered.groupBy("chunk_no").agg(F.min("low").alias("low")).where("chunk_no > 0")
+    return first.select((F.row_number().over(Window.orderBy("low"))).alias("chunk_no"), "low")
+
+
+def row_bounds(ranges: DataFrame) -> list[tuple]:
+    """The lower bounds in order, at most one per planned range."""
+    return [tuple(r.low) for r in ranges.orderBy("chunk_no").collect()]
+
+
+def _bound(bound: tuple, types: Sequence) -> Column:
+    return F.struct(*[F.lit(v).cast(t) for v, t in zip(bound, types, strict=True)])
+
+
+def range_chunk(df: DataFrame, keys: Sequence[str], bounds: list[tuple]) -> Column:
+    """Number of the range that a row's key lies in, found by binary search: the steps are
+    the powers of two of the number of bounds. Null where a key is null."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    if not bounds:
+        return F.when(whole, F.lit(0).cast("bigint"))
+    types = [df.schema[k].dataType for k in keys]
+    key = F.struct(*[F.col(k).alias(f"col{i + 1}") for i, k in enumerate(keys)])
+    listed = F.array(*[_bound(b, types) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def step(at: Column, width: Column) -> Column:
+        here = at + width
+        return F.when((here <= len(bounds)) & F.coalesce(F.get(listed, here - 1) <= key, F.lit(False)), here).otherwise(at)
+
+    return F.when(whole, F.aggregate(steps, F.lit(0), step).cast("bigint"))
+
+
+def in_row_ranges(df: DataFrame, keys: Sequence[str], bounds: list[tuple], first: int, last: int) -> DataFrame:
+    """Rows of the ranges ``first`` to ``last``. The first key column's span is a plain
+    filter, which reaches the scan; the whole key decides."""
+    types = [df.schema[k].dataType for k in keys]
+    key = F.struct(*[F.col(k).alias(f"col{i + 1}") for i, k in enumerate(keys)])
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    if first > 0:
+        low = bounds[first - 1]
+        rows = rows.where((F.col(keys[0]) >= F.lit(low[0]).cast(types[0])) & (key >= _bound(low, types)))
+    if last < len(bounds):
+        high = bounds[last]
+        rows = rows.where((F.col(keys[0]) <= F.lit(high[0]).cast(types[0])) & (key < _bound(high, types)))
+    return rows
+
+
 def stride_chunk(key: Column, stride: int) -> Column:
     """Chunk number of a dense numeric key."""
     return F.floor(key / F.lit(stride)).cast("bigint")

@@ -1,29 +1,42 @@
-"""Copying a table from end to end."""
+"""Copying a table from end to end.
+
+Rows lie in ``rows/_held=B/_chunk_id=ID``: a chunk is a partition of its own, and a try
+writes the partitions of its chunks anew (dynamic partition overwrite), so copying a chunk
+again replaces it and touches no other. Held rows (those that break a rule) are written by
+the same job. The ledger says which chunks count: readers see completed ones only.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import timedelta
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ferry.functions.convert import convert_columns
 from ferry.functions.numbers import progress_percent
 from ferry.functions.text import offset_chunk_id
 from ferry.operators import ledger as states, quality
-from ferry.plans.chunks import pending_chunks, stride_chunk
-from ferry.session import fresh_dir
-from ferry.sources import files, target as store
+from ferry.operators.ordered import latest_per_key
+from ferry.plans.chunks import in_row_ranges, pending_chunks, plan_row_ranges, range_chunk, row_bounds, stride_chunk
+from ferry.sources import files
 from ferry.sources.tables import scan_chunk
 
 
 @dataclass(frozen=True)
 class CopyPlan:
     """What to copy and how. ``stride`` is the key width of a chunk, ``waves`` the number
-    of parts that are stored and noted one after the other (each rewrites the buckets it
-    touches), ``max_failures`` how many failed tries are followed by smaller ones."""
+    of parts that are stored and noted one after the other. With ``rules``, ``order`` says
+    which row of a repeated key is loaded; without, the last one by ``order`` is.
+
+    A dense numeric key is cut by its stride. Any other key, of one column or several in
+    ``keys``, is cut at ``bounds`` (see ``ranged_plan``): a chunk is then named by the
+    number of its range, and the stride is 1."""
 
     migration_id: int
     table: str
@@ -35,14 +48,30 @@ class CopyPlan:
     rules: Sequence[tuple[str, Column]] = ()
     order: str | None = None
     waves: int = 1
-    max_failures: int = 100
+    keys: tuple[str, ...] = ()
+    bounds: tuple[tuple, ...] | None = None
+
+    @property
+    def key_columns(self) -> list[str]:
+        return list(self.keys or (self.key,))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(states.LEDGER).parquet(path) if files.exists(spark, path) else None
 
 
-def _chunk_start(plan: CopyPlan) -> Column:
+def ranged_plan(spark: SparkSession, source: DataFrame, root: str, plan: CopyPlan, chunks: int) -> CopyPlan:
+    """The plan with bounds for ``chunks`` ranges of its keys. They are made once and kept
+    under ``root``: a later run must name its chunks alike."""
+    keys, path = plan.key_columns, f"{root}/ranges"
+    if not files.exists(spark, f"{path}/_SUCCESS"):
+        plan_row_ranges(source, keys, chunks).coalesce(1).write.mode("overwrite").parquet(path)
+    return replace(plan, keys=tuple(keys), stride=1, bounds=tuple(row_bounds(spark.read.parquet(path))))
+
+
+def _chunk_start(rows: DataFrame, plan: CopyPlan) -> Column:
+    if plan.bounds is not None:
+        return range_chunk(rows, plan.key_columns, list(plan.bounds))
     return stride_chunk(F.col(plan.key), plan.stride) * plan.stride
 
 
@@ -53,12 +82,12 @@ def _chunk_id(plan: CopyPlan, start: Column) -> Column:
 
 
 def with_chunk(rows: DataFrame, plan: CopyPlan) -> DataFrame:
-    return rows.withColumn("_chunk_id", _chunk_id(plan, _chunk_start(plan)))
+    return rows.withColumn("_chunk_id", _chunk_id(plan, _chunk_start(rows, plan)))
 
 
 def chunks_of(rows: DataFrame, plan: CopyPlan) -> DataFrame:
     """The table's chunks with their first key and the rows found in each."""
-    counted = rows.select(_chunk_start(plan).alias("chunk_start")).groupBy("chunk_start").agg(F.count(F.lit(1)).alias("row_count"))
+    counted = rows.select(_chunk_start(rows, plan).alias("chunk_start")).groupBy("chunk_start").agg(F.count(F.lit(1)).alias("row_count"))
     return counted.withColumn("chunk_id", _chunk_id(plan, F.col("chunk_start")))
 
 
@@ -90,33 +119,116 @@ def _rows_of(source: DataFrame, plan: CopyPlan, wave: DataFrame, low: int | None
     """Source rows of a wave's chunks. The span of their keys goes to the scan as a
     plain filter; inside it a semi join on the chunk decides."""
     if low is None:
-        return with_chunk(source.where(F.col(plan.key).isNull()), plan)
-    keyed = with_chunk(scan_chunk(source, plan.key, low, high + plan.stride), plan)
+        return with_chunk(source.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in plan.key_columns])), plan)
+    if plan.bounds is not None:
+        found = in_row_ranges(source, plan.key_columns, list(plan.bounds), low, high)
+    else:
+        found = scan_chunk(source, plan.key, low, high + plan.stride)
+    keyed = with_chunk(found, plan)
     return keyed.join(wave.select(F.col("chunk_id").alias("_chunk_id")), "_chunk_id", "left_semi")
 
 
-def _copy_wave(spark: SparkSession, source: DataFrame, root: str, plan: CopyPlan, wave: DataFrame, low: int | None, high: int | None, batch: str) -> DataFrame:
-    """Load one wave and return the rows stored per chunk. With rules the rows are
-    landed first, so that the source is read once and all steps see the same rows."""
+def _checked_rows(source: DataFrame, plan: CopyPlan, wave: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """A wave's rows as they are written, with ``_held``."""
     rows = convert_columns(_rows_of(source, plan, wave, low, high), plan.kinds, plan.source_engine, plan.target_engine)
-    rules = list(plan.rules) if low is not None else [quality.not_null(plan.key), *plan.rules]
-    good, landed = rows, None
-    if rules:
-        landed = fresh_dir(spark, "landed")
-        rows.write.parquet(landed)
-        checked = quality.check_rows(spark.read.schema(rows.schema).parquet(landed), rules, plan.key if plan.order else None, plan.order)
-        good, bad = quality.split_rows(checked)
-    if low is not None:
-        # Copying a chunk twice is harmless: its rows take the place of their like.
-        store.upsert(spark, root, good, [plan.key], batch, order=(plan.order,) if plan.order else ())
-    if landed:
-        bad.write.parquet(f"{root}/quarantine/batch={batch}")
-        files.discard(spark, landed)
-    if low is None:
-        return wave.select("chunk_id", F.lit(0).alias("stored"))
-    stored = scan_chunk(store.read_target(spark, root), plan.key, low, high + plan.stride)
-    counted = stored.groupBy(F.col("_chunk_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("stored"))
-    return wave.select("chunk_id").join(counted, "chunk_id", "left").na.fill(0, ["stored"])
+    rules = list(plan.rules) if low is not None else [*[quality.not_null(k) for k in plan.key_columns], *plan.rules]
+    if plan.order and not rules:
+        rows = latest_per_key(rows, plan.key_columns, [plan.order])
+    if plan.order and plan.rules and len(plan.key_columns) > 1:
+        raise ValueError("rows of a repeated key are chosen for keys of one column")
+    checked = quality.check_rows(rows, rules, plan.key if plan.order and plan.rules else None, plan.order)
+    return checked.withColumn("_held", F.size("reasons") > 0)
+
+
+def _copy_wave(spark: SparkSession, source: DataFrame, root: str, plan: CopyPlan, wave: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """Write one wave and return the rows stored per chunk, as counted in the target."""
+    rows = _checked_rows(source, plan, wave, low, high).hint("rebalance", "_chunk_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_held", "_chunk_id").parquet(f"{root}/rows")
+    chunk = wave.select("chunk_id")
+    if not files.exists(spark, f"{root}/rows"):
+        return chunk.withColumn("stored", F.lit(0))
+    # Only file footers are read.
+    loaded = spark.read.schema("_held boolean, _chunk_id string").parquet(f"{root}/rows").where(~F.col("_held"))
+    counted = loaded.groupBy(F.col("_chunk_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("stored"))
+    return chunk.join(counted, "chunk_id", "left").na.fill(0, ["stored"])
+
+
+def _broken(source: DataFrame, plan: CopyPlan, chunks: DataFrame, low: int, high: int) -> dict[int, str]:
+    """The chunks from ``low`` to ``high`` whose rows cannot be read, with the error. The
+    span is halved until each stands alone; nothing is written."""
+    spans, found = [(low, high)], {}
+    while spans:
+        low, high = spans.pop()
+        wave = chunks.where(F.col("chunk_start").between(low, high))
+        try:
+            _checked_rows(source, plan, wave, low, high).write.format("noop").mode("overwrite").save()
+        except Exception as error:
+            if low == high:
+                found[low] = str(error)
+                continue
+            middle = low + (high - low) // plan.stride // 2 * plan.stride
+            spans += [(middle + plan.stride, high), (low, middle)]
+    return found
+
+
+def _note_columns(spark: SparkSession, root: str, rows: DataFrame) -> None:
+    """Keeps the columns of the copy: those of earlier runs, then new ones."""
+    known = {f.name: f for f in (_noted_columns(spark, root) or T.StructType()).fields}
+    for field_ in rows.schema.fields:
+        before = known.setdefault(field_.name, T.StructField(field_.name, field_.dataType))
+        if before.dataType != field_.dataType:
+            raise ValueError(f"column {field_.name} was copied as {before.dataType.simpleString()}, not {field_.dataType.simpleString()}")
+    text = json.dumps(T.StructType(list(known.values())).jsonValue())
+    spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")).write.text(f"{root}/columns/{uuid.uuid4().hex}")
+
+
+def _noted_columns(spark: SparkSession, root: str) -> T.StructType | None:
+    if not files.folders(spark, f"{root}/columns/*"):
+        return None
+    noted = [T.StructType.fromJson(json.loads(r.value)) for r in spark.read.text(f"{root}/columns/*").collect()]
+    return max(noted, key=lambda shape: len(shape.fields))
+
+
+def _read_rows(spark: SparkSession, root: str) -> DataFrame:
+    shape = _noted_columns(spark, root)
+    if shape is None:
+        raise ValueError(f"nothing copied under {root}")
+    schema = T.StructType([*shape.fields, T.StructField("reasons", T.ArrayType(T.StringType())), T.StructField("_held", T.BooleanType()), T.StructField("_chunk_id", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{root}/rows") if files.exists(spark, f"{root}/rows") else spark.createDataFrame([], schema)
+
+
+def read_copy(spark: SparkSession, root: str, chunks: DataFrame | None = None) -> DataFrame:
+    """Copied rows with their ``_chunk_id``: those of all completed chunks, or only of the
+    given ones (``chunk_id``), which is how rows go back to a checkpoint."""
+    ledger = read_ledger(spark, f"{root}/ledger")
+    if ledger is None:
+        raise ValueError(f"nothing copied under {root}")
+    done = states.current_ledger(ledger).where((F.col("status") == "COMPLETED") & (F.col("rows_done") > 0)).select("chunk_id")
+    done = done if chunks is None else done.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return states.roll_back_rows(_read_rows(spark, root).where(~F.col("_held")).drop("_held", "reasons"), done)
+
+
+def read_held(spark: SparkSession, root: str) -> DataFrame:
+    """Rows that were not loaded, with the reasons."""
+    return _read_rows(spark, root).where("_held").drop("_held")
+
+
+def finished_by(ledger: DataFrame, checkpoint_at: str) -> DataFrame:
+    """(chunk_id) of the chunks that were complete at a checkpoint's time."""
+    before = ledger.where(F.col("noted_at") <= F.lit(checkpoint_at).cast("timestamp_ntz"))
+    return states.current_ledger(before).where(F.col("status") == "COMPLETED").select("chunk_id")
+
+
+def _clear(spark: SparkSession, root: str, chunks: DataFrame) -> None:
+    """Removes what an unfinished try left of open chunks, so that a chunk which now holds
+    no row of a kind shows none."""
+    left = [path.rsplit("/", 1)[1].removeprefix("_chunk_id=") for path in files.folders(spark, f"{root}/rows/_held=*/_chunk_id=*")]
+    if not left:
+        return
+    named = spark.createDataFrame([(unquote(name), name) for name in set(left)], "chunk_id string, name string")
+    for r in named.join(chunks, "chunk_id", "left_semi").collect():
+        for held in ("false", "true"):
+            files.discard(spark, f"{root}/rows/_held={held}/_chunk_id={r.name}")
 
 
 def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan: CopyPlan, batch: str, asof: str) -> DataFrame:
@@ -124,11 +236,10 @@ def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan:
 
     The open chunks are counted and noted as PENDING, copied in ``plan.waves`` spans of
     keys, and noted as RUNNING and then COMPLETED, wave by wave: what one wave stored
-    stays whatever happens to the next. A wave that fails is cut in two and tried
-    again, until the chunk that cannot be copied stands alone and is noted as FAILED
-    with the error; after ``plan.max_failures`` failed tries a failing wave is not cut
-    any more. Failed chunks are open again in the next run. Each try has a quarantine
-    folder of its own; a chunk copied again after a crash may be quarantined again.
+    stays whatever happens to the next. Where a wave fails, the chunks that cannot be
+    read are searched by reading only; each is noted as FAILED with its error, and the
+    spans between them are written. If all can be read, the wave is halved and written
+    again. No number of failures ends the copy. Failed chunks are open in the next run.
     """
     journal = _Journal(spark, root, plan, asof)
     ledger = read_ledger(spark, journal.path)
@@ -142,27 +253,34 @@ def copy_pending_chunks(spark: SparkSession, source: DataFrame, root: str, plan:
     span = chunks.agg(*ends).first()
     if not span.n:
         return ledger if ledger is not None else spark.createDataFrame([], states.LEDGER)
+    _note_columns(spark, root, convert_columns(source, plan.kinds, plan.source_engine, plan.target_engine))
+    _clear(spark, root, chunks)
     journal.note(chunks, "PENDING")
     waves = [(None, None)] if span.n > span.keyed else []
     if span.keyed:
         width = -(-((span.high - span.low) // plan.stride + 1) // plan.waves) * plan.stride
         waves += [(low, min(low + width - plan.stride, span.high)) for low in range(span.low, span.high + 1, width)]
-    waves, failures = waves[::-1], 0
+    waves = waves[::-1]
     while waves:
         low, high = waves.pop()
         start = F.col("chunk_start")
         wave = chunks.where(start.isNull() if low is None else start.between(low, high))
         journal.note(wave, "RUNNING")
         try:
-            stored = _copy_wave(spark, source, root, plan, wave, low, high, f"{batch}-{uuid.uuid4().hex[:12]}")
-            journal.note(stored, "COMPLETED", F.col("stored"))
+            journal.note(_copy_wave(spark, source, root, plan, wave, low, high), "COMPLETED", F.col("stored"))
         except Exception as error:
-            failures += 1
-            if low is None or low == high or failures > plan.max_failures:
+            if low is None or low == high:
                 journal.note(wave, "FAILED", error=str(error))
                 continue
-            middle = low + (high - low) // plan.stride // 2 * plan.stride
-            waves += [(middle + plan.stride, high), (low, middle)]
+            broken = _broken(source, plan, chunks, low, high)
+            for at, told in sorted(broken.items()):
+                journal.note(chunks.where(start == at), "FAILED", error=told)
+            edges = [low - plan.stride, *sorted(broken), high + plan.stride] if broken else [low - plan.stride, high + plan.stride]
+            between = [(a + plan.stride, b - plan.stride) for a, b in zip(edges[:-1], edges[1:]) if a + plan.stride < b]
+            if not broken:
+                middle = low + (high - low) // plan.stride // 2 * plan.stride
+                between = [(low, middle), (middle + plan.stride, high)]
+            waves += between[::-1]
     return read_ledger(spark, journal.path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 
 from ferry.functions import convert, numbers, text
 from ferry.inputs import GIVEN, Inputs
@@ -360,7 +360,7 @@ def copy_pending_chunks(t: Inputs):
     finished.write.parquet(f"{root}/ledger")
     copy.copy_pending_chunks(t.spark, t.orders, root, plan, "run-2", "2024-01-02 00:00:00")
     copy.copy_pending_chunks(t.spark, t.orders, root, plan, "run-3", "2024-01-03 00:00:00")
-    return target.read_target(t.spark, root)
+    return copy.read_copy(t.spark, root)
 
 
 @query(
@@ -382,6 +382,43 @@ def copy_table(t: Inputs):
     return copy.copy_table(t.spark, source, fresh_dir(t.spark, "copy"), plan, "2024-01-02 00:00:00")
 
 
+@query("copy_composite_key", "select conv_id, turn, role, text from conversations")
+def copy_composite_key(t: Inputs):
+    """Chunks are ranges of (conv_id, turn); a second run finds the same ranges done."""
+    root = fresh_dir(t.spark, "copy")
+    plan = copy.CopyPlan(1, "conversations", "conv_id", 1, keys=("conv_id", "turn"))
+    for run in ("run-1", "run-2"):
+        ranged = copy.ranged_plan(t.spark, t.conversations, root, plan, 16)
+        copy.copy_pending_chunks(t.spark, t.conversations, root, ranged, run, "2024-01-02 00:00:00")
+    return copy.read_copy(t.spark, root).drop("_chunk_id")
+
+
+@query(
+    "copy_text_key",
+    "select c_custkey, c_name, c_nationkey, c_acctbal, true as in_order from customer",
+)
+def copy_text_key(t: Inputs):
+    """Customers by name. ``in_order``: no name lies in a chunk after a later name's chunk."""
+    root = fresh_dir(t.spark, "copy")
+    source = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    plan = copy.ranged_plan(t.spark, source, root, copy.CopyPlan(1, "customer", "c_name", 1), 12)
+    copy.copy_pending_chunks(t.spark, source, root, plan, "run-1", "2024-01-02 00:00:00")
+    rows = copy.read_copy(t.spark, root).withColumn("chunk_no", F.regexp_extract("_chunk_id", "[0-9]+$", 0).cast("bigint"))
+    edges = rows.groupBy("chunk_no").agg(F.min("c_name").alias("least"), F.max("c_name").alias("most"))
+    earlier = Window.orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    told = edges.select("chunk_no", F.coalesce(F.max("most").over(earlier) < F.col("least"), F.lit(True)).alias("in_order"))
+    return rows.join(told, "chunk_no").drop("chunk_no", "_chunk_id")
+
+
+@query("rollback_copied_rows", "select *, '1#orders#' || ((o_orderkey // 1000) * 1000) as _chunk_id from orders where (o_orderkey // 1000) % 2 = 0")
+def rollback_copied_rows(t: Inputs):
+    """Two runs, then the rows of the chunks that were complete after the first."""
+    root, plan = fresh_dir(t.spark, "copy"), _orders_plan()
+    copy.copy_pending_chunks(t.spark, t.orders.where("floor(o_orderkey / 1000) % 2 = 0"), root, plan, "run-1", "2024-01-01 00:00:00")
+    ledger = copy.copy_pending_chunks(t.spark, t.orders, root, plan, "run-2", "2024-01-05 00:00:00")
+    return copy.read_copy(t.spark, root, copy.finished_by(ledger, "2024-01-03 00:00:00"))
+
+
 # ---- conversion ------------------------------------------------------------
 
 @query(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -229,6 +229,11 @@ def replicate(
     return store.read_target(spark, root)
 
 
+def _checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of a stream's checkpoint: kept over restarts, new when it is made anew."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def start_apply(
     stream: DataFrame, root: str, checkpoint: str, row: T.StructType | str = "", key: str = "",
     on_batch: Callable[[DataFrame, int], None] | None = None, max_errors: int = MAX_CONSECUTIVE_ERRORS, back_off: float = 2.0, once: bool = True,
@@ -238,23 +243,24 @@ def start_apply(
     for each of them.
 
     ``foreachBatch`` may deliver a batch again; log positions make that harmless.
-    (Batch ids alone would not do as names: they start over with a new checkpoint.)
-    Events that cannot be applied go to ``{root}/quarantine``, in one folder per batch
-    of this checkpoint, so a batch delivered again does not repeat them.
+    A batch is named by the identity that Spark gave the checkpoint and by its number:
+    numbers start over with a new checkpoint, also one at the same path, and its batches
+    are new ones. Events that cannot be applied go to ``{root}/quarantine``, in one folder
+    per batch of this checkpoint, so a batch delivered again does not repeat them.
     A batch that keeps failing is tried ``max_errors`` times in a row, then the
     query stops and a later start on the same checkpoint resumes. Each batch rewrites
     the buckets it touches, so ``every`` should leave time for a worthwhile batch.
     """
-    run, source = uuid.uuid4().hex[:12], f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        name = f"stream-{_checkpoint_id(spark, checkpoint)}-{batch_id}"
         if tables:
-            apply_table_changes(spark, root, batch, tables, f"stream-{source}-{batch_id}", base)
+            apply_table_changes(spark, root, batch, tables, name, base)
             return
         good, bad = split_changes(batch, row, key, base)
-        apply_changes(spark, root, good, row, key, f"stream-{run}-{batch_id}", base=base)
-        bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch={source}-{batch_id}")
+        apply_changes(spark, root, good, row, key, name, base=base)
+        bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch={name}")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()

@@ -7,7 +7,7 @@ from ferry.functions import convert
 from ferry.operators import drift
 from ferry.schemas import CHANGE_EVENT
 from ferry.session import fresh_dir
-from ferry.sources import sinks, tables, target
+from ferry.sources import files, sinks, tables, target
 from ferry.streaming import changes
 from tests.conftest import rows
 
@@ -156,6 +156,24 @@ def test_a_new_checkpoint_on_an_old_target_loses_nothing(spark, t):
     assert state(spark, root) == state(spark, straight)
 
 
+def test_a_checkpoint_made_anew_at_the_same_path_loses_nothing(spark, t):
+    """Batch numbers start over with it; its batches are new ones all the same."""
+    root, checkpoint, straight = fresh_dir(spark, "replica"), fresh_dir(spark, "stream"), fresh_dir(spark, "replica")
+    named = {name: (ROW, "id") for name in sorted(r.table_name for r in t.change_events.select("table_name").distinct().collect())}
+    unknown = t.change_events.withColumn("table_name", F.when(F.col("event_id") % 100 == 0, "elsewhere").otherwise(F.col("table_name")))
+    for low in (0, 500):
+        folder = fresh_dir(spark, "drop")
+        unknown.where(f"event_id >= {low} and event_id < {low + 500}").coalesce(1).write.parquet(folder)
+        for _ in range(2):  # a restart on the same checkpoint repeats nothing
+            changes.start_apply(changes.change_source(spark, folder), root, checkpoint, tables=named).awaitTermination()
+        files.discard(spark, checkpoint)
+    changes.apply_table_changes(spark, straight, unknown.where("event_id < 1000"), named, "all")
+    for name in named:
+        assert state(spark, changes.table_root(root, name)) == state(spark, changes.table_root(straight, name))
+    held = spark.read.parquet(f"{root}/quarantine")
+    assert rows(held, "event_id") == rows(spark.read.parquet(f"{straight}/quarantine"), "event_id") and held.where("table_name = 'elsewhere'").count() > 1
+
+
 def test_stream_stops_after_failures_in_a_row(spark, t, monkeypatch):
     folder = fresh_dir(spark, "drop")
     t.change_events.coalesce(1).write.parquet(folder)

@@ -139,9 +139,9 @@ def orders_plan(**more):
 def test_copying_again_changes_nothing(spark, t):
     root = fresh_dir(spark, "copy")
     copy.copy_table(spark, t.orders, root, orders_plan(), "2024-01-01 00:00:00", "run-1")
-    first = rows(target.read_target(spark, root))
+    first = rows(copy.read_copy(spark, root))
     copy.copy_table(spark, t.orders, root, orders_plan(), "2024-01-02 00:00:00", "run-2")
-    assert rows(target.read_target(spark, root)) == first and len(first) == t.orders.count()
+    assert rows(copy.read_copy(spark, root)) == first and len(first) == t.orders.count()
 
 
 def test_stopped_and_resumed_copy_equals_a_straight_one(spark, t):
@@ -149,7 +149,7 @@ def test_stopped_and_resumed_copy_equals_a_straight_one(spark, t):
     copy.copy_table(spark, t.orders, straight, orders_plan(), "2024-01-01 00:00:00")
     copy.copy_pending_chunks(spark, t.orders.where("o_orderkey < 500"), resumed, orders_plan(), "run-1", "2024-01-01 00:00:00")
     seen = copy.copy_pending_chunks(spark, t.orders, resumed, orders_plan(), "run-2", "2024-01-02 00:00:00")
-    assert rows(target.read_target(spark, resumed)) == rows(target.read_target(spark, straight))
+    assert rows(copy.read_copy(spark, resumed)) == rows(copy.read_copy(spark, straight))
     assert seen.where("status = 'COMPLETED'").groupBy("chunk_id").count().where("count > 1").count() == 0
 
 
@@ -157,15 +157,15 @@ def test_the_same_batch_name_still_copies_new_chunks(spark, t):
     root = fresh_dir(spark, "copy")
     copy.copy_table(spark, t.orders.where("o_orderkey < 300"), root, orders_plan(), "2024-01-01 00:00:00")
     copy.copy_table(spark, t.orders, root, orders_plan(), "2024-01-02 00:00:00")
-    assert target.read_target(spark, root).count() == t.orders.count()
+    assert copy.read_copy(spark, root).count() == t.orders.count()
 
 
 def test_copy_quarantines_and_counts_what_was_stored(spark, t):
     root = fresh_dir(spark, "copy")
     plan = copy.CopyPlan(1, "customer", "c_custkey", 50, order="copy_no", rules=(quality.not_null("c_name"),))
     progress = copy.copy_table(spark, t.dirty, root, plan, "2024-01-01 00:00:00").first()
-    stored = target.read_target(spark, root).count()
-    bad = spark.read.parquet(f"{root}/quarantine").count()
+    stored = copy.read_copy(spark, root).count()
+    bad = copy.read_held(spark, root).count()
     assert progress.rows_copied == stored and stored + bad == t.dirty.count()
     [saved] = spark.read.parquet(f"{root}/checkpoints").collect()
     assert saved.checkpoint_name == f"checkpoint_customer_{stored}"
@@ -175,8 +175,8 @@ def test_rows_without_a_key_are_quarantined(spark):
     root = fresh_dir(spark, "copy")
     source = spark.createDataFrame([(1, "a"), (None, "b"), (250, "c"), (None, "d")], "o_orderkey bigint, v string")
     copy.copy_table(spark, source, root, orders_plan(), "2024-01-01 00:00:00")
-    assert rows(target.read_target(spark, root), "o_orderkey", "v") == [(1, "a"), (250, "c")]
-    assert rows(spark.read.parquet(f"{root}/quarantine"), "v") == [("b",), ("d",)]
+    assert rows(copy.read_copy(spark, root), "o_orderkey", "v") == [(1, "a"), (250, "c")]
+    assert rows(copy.read_held(spark, root), "v") == [("b",), ("d",)]
 
 
 def test_one_bad_chunk_fails_alone_and_is_copied_by_the_next_run(spark, t):
@@ -185,7 +185,7 @@ def test_one_bad_chunk_fails_alone_and_is_copied_by_the_next_run(spark, t):
     progress = copy.copy_table(spark, t.orders.withColumn("o_orderstatus", bad), root, plan, "2024-01-01 00:00:00").first()
     assert progress.chunks_failed == 1 and progress.chunks_completed == progress.chunks_total - 1
     lost = t.orders.where("floor(o_orderkey / 100) = 7").count()
-    assert progress.rows_copied == t.orders.count() - lost == target.read_target(spark, root).count()
+    assert progress.rows_copied == t.orders.count() - lost == copy.read_copy(spark, root).count()
     assert progress.total_rows == t.orders.count() and progress.progress_percent < 100
     found = copy.read_ledger(spark, f"{root}/ledger")
     now = {r.chunk_id: r for r in ledger.current_ledger(found).collect()}
@@ -193,7 +193,7 @@ def test_one_bad_chunk_fails_alone_and_is_copied_by_the_next_run(spark, t):
     assert {r.status for r in found.where("chunk_id = '1#orders#700'").collect()} == {"PENDING", "RUNNING", "FAILED"}
     again = copy.copy_table(spark, t.orders, root, plan, "2024-01-01 00:00:00").first()
     assert (again.chunks_failed, again.progress_percent, again.rows_copied) == (0, 100.0, t.orders.count())
-    assert target.read_target(spark, root).count() == t.orders.count()
+    assert copy.read_copy(spark, root).count() == t.orders.count()
 
 
 def test_quarantine_of_an_earlier_run_stays(spark):
@@ -202,7 +202,7 @@ def test_quarantine_of_an_earlier_run_stays(spark):
     copy.copy_table(spark, first, root, plan, "2024-01-01 00:00:00")
     more = first.unionByName(spark.createDataFrame([(101, "c"), (102, None)], "k bigint, v string"))
     progress = copy.copy_table(spark, more, root, plan, "2024-01-02 00:00:00").first()
-    assert rows(spark.read.parquet(f"{root}/quarantine"), "k") == [(102,), (2,)]
+    assert rows(copy.read_held(spark, root), "k") == [(102,), (2,)]
     assert (progress.rows_copied, progress.total_rows, progress.progress_percent) == (2, 4, 50.0)
 
 
@@ -218,6 +218,79 @@ def test_a_finished_copy_has_nothing_left_to_read(spark, t):
     assert again == first
 
 
+def test_added_columns_are_copied_and_other_types_refused(spark):
+    root, plan = fresh_dir(spark, "copy"), copy.CopyPlan(1, "t", "k", 100)
+    copy.copy_table(spark, spark.createDataFrame([(1, "a")], "k bigint, v string"), root, plan, "2024-01-01 00:00:00")
+    copy.copy_table(spark, spark.createDataFrame([(1, "a", 0), (101, "b", 7)], "k bigint, v string, more int"), root, plan, "2024-01-02 00:00:00")
+    assert rows(copy.read_copy(spark, root), "k", "v", "more") == [(1, "a", None), (101, "b", 7)]
+    with pytest.raises(ValueError):
+        copy.copy_table(spark, spark.createDataFrame([(201, 5)], "k bigint, v int"), root, plan, "2024-01-03 00:00:00")
+
+
+def test_many_bad_chunks_cost_no_good_one(spark):
+    """Every tenth chunk cannot be read; the others are copied, each written once."""
+    root, plan = fresh_dir(spark, "copy"), copy.CopyPlan(1, "t", "k", 10)
+    torn = F.when((F.col("k") % 100) == 55, F.raise_error(F.lit("torn page")).cast("string")).otherwise(F.lit("v"))
+    progress = copy.copy_table(spark, spark.range(1000).select(F.col("id").alias("k")).withColumn("v", torn), root, plan, "2024-01-01 00:00:00").first()
+    assert (progress.chunks_failed, progress.chunks_completed, progress.rows_copied) == (10, 90, 900)
+    assert copy.read_copy(spark, root).count() == 900
+
+
+def test_an_unfinished_try_is_not_read_and_leaves_nothing(spark):
+    root, plan = fresh_dir(spark, "copy"), copy.CopyPlan(1, "t", "k", 10, rules=(quality.not_null("v"),))
+    source = spark.createDataFrame([(1, "a"), (11, None)], "k bigint, v string")
+    copy.copy_table(spark, source, root, plan, "2024-01-01 00:00:00")
+    dead = spark.createDataFrame([(21, "old", None, False, "1#t#20"), (22, None, ["x"], True, "1#t#20")], "k bigint, v string, reasons array<string>, _held boolean, _chunk_id string")
+    dead.write.mode("append").partitionBy("_held", "_chunk_id").parquet(f"{root}/rows")
+    assert rows(copy.read_copy(spark, root), "k") == [(1,)]
+    more = source.unionByName(spark.createDataFrame([(21, "new")], "k bigint, v string"))
+    copy.copy_table(spark, more, root, plan, "2024-01-02 00:00:00")
+    assert rows(copy.read_copy(spark, root), "k", "v") == [(1, "a"), (21, "new")]
+    assert rows(copy.read_held(spark, root), "k") == [(11,)]
+
+
+KEYS = {
+    "text": ("k string", [(v,) for v in ["", "a", "ab", "b", "Z", "é", "日本", "hot", "hot", "hot"] + [f"n{i:03}" for i in range(200)]]),
+    "date and number": ("k date, j int", None),
+    "number and text": ("k bigint, j string", [(i % 7, f"t{i % 50}") for i in range(300)] + [(3, "hot")] * 200),
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_ranges_of_any_key_cover_every_row_once(spark, kind, n):
+    import datetime
+
+    schema, data = KEYS[kind]
+    data = data or [(datetime.date(2024, 1, 1) + datetime.timedelta(days=i % 90), i % 11) for i in range(400)]
+    keys = [c.split()[0] for c in schema.split(", ")]
+    df = spark.createDataFrame([*data, *[(None, *d[1:]) for d in data[:3]]], schema)
+    bounds = chunks.row_bounds(chunks.plan_row_ranges(df, keys, n))
+    assert bounds == sorted(set(bounds)) and len(bounds) < max(n, 1)
+    tagged = df.withColumn("no", chunks.range_chunk(df, keys, bounds))
+    expect = sorted((*d, sum(b <= d for b in bounds)) for d in data)
+    assert sorted(tuple(r) for r in tagged.where("no is not null").collect()) == expect and tagged.where("no is null").count() == 3
+    half = len(bounds) // 2
+    spans = [(0, half), (half + 1, len(bounds))][: 1 + (half < len(bounds))]
+    assert sorted(tuple(r) for span in spans for r in chunks.in_row_ranges(df, keys, bounds, *span).collect()) == sorted(data)
+
+
+def test_copy_by_ranges_of_a_composite_key(spark):
+    root = fresh_dir(spark, "copy")
+    data = [(f"g{i % 9}", i, f"v{i}") for i in range(500)] + [(None, 1, "x"), ("g1", None, "y")]
+    source = spark.createDataFrame(data, "a string, b int, v string")
+    torn = F.when(F.col("b") == 250, F.raise_error(F.lit("torn page")).cast("string")).otherwise(F.col("v"))
+    plan = copy.ranged_plan(spark, source, root, copy.CopyPlan(1, "t", "a", 1, keys=("a", "b")), 10)
+    assert len(plan.bounds) == 9
+    first = copy.copy_table(spark, source.withColumn("v", torn), root, plan, "2024-01-01 00:00:00").first()
+    assert first.chunks_failed == 1 and 400 < first.rows_copied < 500
+    again = copy.ranged_plan(spark, source.limit(3), root, copy.CopyPlan(1, "t", "a", 1, keys=("a", "b")), 10)
+    assert again == plan
+    copy.copy_table(spark, source, root, again, "2024-01-02 00:00:00")
+    assert rows(copy.read_copy(spark, root), "a", "b", "v") == sorted(data[:500], key=lambda r: tuple((True, str(v)) for v in r))
+    assert rows(copy.read_held(spark, root), "v") == [("x",), ("y",)]
+
+
 def test_upsert_last_row_wins_and_rollback_restores(spark):
     root = fresh_dir(spark, "target")
     schema = "k int, v string, seq int"
