@@ -326,14 +326,16 @@ def with_primary_keys(columns: DataFrame, constraints: DataFrame, key_columns: D
     return marked.withColumn("primary_key", F.coalesce("_key", F.lit(False))).drop("_key")
 
 
-_QUOTE = {"MYSQL": "`", "POSTGRESQL": '"'}
+# Opening and closing quotes, and the words for a column that counts by itself.
+_QUOTES = {"MYSQL": ("`", "`"), "POSTGRESQL": ('"', '"'), "SQL_SERVER": ("[", "]"), "ORACLE": ('"', '"')}
+_COUNTERS = {"MYSQL": " AUTO_INCREMENT", "SQL_SERVER": " IDENTITY(1,1)"}
 
 
 def create_table_ddl(columns: DataFrame, engine: str = "MYSQL") -> DataFrame:
     """CREATE TABLE text per table, columns in order. One key column is marked in
     line, several are listed at the end."""
-    mark = _QUOTE[engine]
-    quoted = lambda c: F.concat(F.lit(mark), F.replace(F.col(c), F.lit(mark), F.lit(2 * mark)), F.lit(mark))
+    left, right = _QUOTES[engine]
+    quoted = lambda c: F.concat(F.lit(left), F.replace(F.col(c), F.lit(right), F.lit(2 * right)), F.lit(right))
     name = quoted("column_name")
     kind = F.col("column_type")
     precision, length = F.col("num_precision"), F.col("max_length")
@@ -345,13 +347,12 @@ def create_table_ddl(columns: DataFrame, engine: str = "MYSQL") -> DataFrame:
         )
         .otherwise("")
     )
-    counter = " AUTO_INCREMENT" if engine == "MYSQL" else " GENERATED BY DEFAULT AS IDENTITY"
-    definition = F.concat(
-        F.lit("    "), name, F.lit(" "), kind, size,
-        F.when(F.col("nullable"), "").otherwise(" NOT NULL"),
-        F.coalesce(F.concat(F.lit(" DEFAULT "), F.col("column_default")), F.lit("")),
-        F.when(F.col("auto_increment"), counter).otherwise(""),
-    )
+    counter = F.when(F.col("auto_increment"), _COUNTERS.get(engine, " GENERATED BY DEFAULT AS IDENTITY")).otherwise("")
+    required = F.when(F.col("nullable"), "").otherwise(" NOT NULL")
+    default = F.coalesce(F.concat(F.lit(" DEFAULT "), F.col("column_default")), F.lit(""))
+    # Oracle takes what fills a column only before its constraints.
+    rest = [default, counter, required] if engine == "ORACLE" else [required, default, counter]
+    definition = F.concat(F.lit("    "), name, F.lit(" "), kind, size, *rest)
     parts = columns.select(*TABLE, F.struct("ordinal", definition.alias("d"), name.alias("n"), F.col("primary_key").alias("pk")).alias("c"))
     listed = parts.groupBy(*TABLE).agg(F.sort_array(F.collect_list("c")).alias("cs"))
     keys = F.transform(F.filter("cs", lambda c: c["pk"]), lambda c: c["n"])

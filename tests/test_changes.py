@@ -222,6 +222,8 @@ def test_ddl_for_both_engines(spark):
     one = spark.createDataFrame([(1, "t", 2, "v", "varchar", True, False, 9, None, None, "'x'", False), (1, "t", 1, "id", "integer", False, True, None, None, None, None, True), (1, "t", 3, "n", "decimal", True, False, None, 8, 0, None, False)], schema)
     assert drift.create_table_ddl(one).first().ddl == "CREATE TABLE `t` (\n    `id` integer NOT NULL AUTO_INCREMENT PRIMARY KEY,\n    `v` varchar(9) DEFAULT 'x',\n    `n` decimal(8,0)\n)"
     assert '"id" integer NOT NULL GENERATED BY DEFAULT AS IDENTITY PRIMARY KEY' in drift.create_table_ddl(one, "POSTGRESQL").first().ddl
+    assert '"id" integer GENERATED BY DEFAULT AS IDENTITY NOT NULL PRIMARY KEY' in drift.create_table_ddl(one, "ORACLE").first().ddl
+    assert "CREATE TABLE [t] (\n    [id] integer NOT NULL IDENTITY(1,1) PRIMARY KEY" in drift.create_table_ddl(one, "SQL_SERVER").first().ddl
 
 
 def test_same_engine_is_not_converted(t):

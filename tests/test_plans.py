@@ -77,6 +77,32 @@ def test_jdbc_predicates_leave_no_row_out():
     assert jdbc.quote('a"b', "POSTGRESQL") == '"a""b"'
 
 
+def test_jdbc_bounds_are_spelled_by_type():
+    import datetime
+
+    day, name = datetime.date(2024, 1, 2), "O'Neil"
+    assert jdbc.key_predicates("d", [(None, day), (day, None)], "POSTGRESQL")[1] == "\"d\" >= DATE '2024-01-02'"
+    assert jdbc.key_predicates("d", [(None, day), (day, None)], "SQL_SERVER")[1] == "[d] >= '2024-01-02'"
+    assert jdbc.key_predicates("n", [(None, name), (name, None)], "MYSQL")[0] == "(`n` < 'O''Neil' OR `n` IS NULL)"
+    assert jdbc.literal("a\\'b", "MYSQL") == "'a\\\\''b'" and jdbc.literal(True, "ORACLE") == "1"
+    assert jdbc.literal(datetime.datetime(2024, 1, 2, 3, 4, 5), "ORACLE") == "TIMESTAMP '2024-01-02 03:04:05'"
+    assert jdbc.quote_table("public.orders", "POSTGRESQL") == '"public"."orders"' and jdbc.quote_table(["a.b"], "MYSQL") == "`a.b`"
+
+
+def test_jdbc_predicates_of_composite_keys_part_the_rows():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table t as select a, b from (values (1), (2), (3), (null)) x(a), (values ('p'), ('q'), (null)) y(b)")
+    bounds = [(None, (1, "q")), ((1, "q"), (3, "p")), ((3, "p"), None)]
+    asked = jdbc.key_predicates(["a", "b"], bounds, "POSTGRESQL")
+    found = [con.execute(f"select a, b from t where {p}").fetchall() for p in asked]
+    whole = [sorted(r for r in rows_ if None not in r) for rows_ in found]
+    assert whole == [[(1, "p")], [(1, "q"), (2, "p"), (2, "q")], [(3, "p"), (3, "q")]]
+    seen = [r for part in found for r in part]
+    assert all((None, b) in found[0] for b in ("p", "q", None)) and set(seen) == set(con.execute("select a, b from t").fetchall())
+
+
 def test_shared_folder_comes_from_the_session():
     class Cluster:
         def __init__(self, folder, master):
@@ -92,7 +118,7 @@ def test_shared_folder_comes_from_the_session():
 
 def test_every_engine_answers_the_same_questions():
     for engine, asked in jdbc.CATALOG_QUERIES.items():
-        assert {"tables", "columns", "primary_keys", "indexes", "row_estimates"} <= set(asked), engine
+        assert {"tables", "columns", "primary_keys", "foreign_keys", "indexes", "row_estimates"} <= set(asked), engine
 
 
 def test_scan_chunk_reaches_the_scan(t):
