@@ -97,6 +97,14 @@ def _list_text(parts: Column) -> Column:
     return F.concat(F.array_size(parts).cast("string"), F.lit("["), F.array_join(parts, "|"), F.lit("]"))
 
 
+def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """All fields in one text that no other row content can spell: fields end at a
+    bar, texts (which may hold bars) are led by their length, lists by their count,
+    null is a lone dash."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return F.concat_ws("|", *[_part(F.col(f"`{name}`"), types[name]) for name in columns or df.columns])
+
+
 def _with_double_parts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The parts of ``_double_text`` for whole columns, each made once in a projection of
     its own: inside one expression every branch would work them out again."""
@@ -122,9 +130,8 @@ def _double_text_of_parts(name: str) -> Column:
 
 
 def with_row_text(df: DataFrame, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Adds all fields in one text that no other row content can spell: fields end at a
-    bar, texts (which may hold bars) are led by their length, lists by their count, null
-    is a lone dash."""
+    """Adds ``row_text`` as a column. Doubles are taken apart in projections before it,
+    which is several times faster."""
     types = {f.name: f.dataType for f in df.schema.fields}
     wanted = list(columns or df.columns)
     doubles = [c for c in dict.fromkeys(wanted) if isinstance(types[c], (T.DoubleType, T.FloatType))]

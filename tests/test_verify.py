@@ -130,3 +130,14 @@ def test_nested_values_are_told_apart(spark):
     assert verify.table_checksum(left).first() == verify.table_checksum(same).first()
     assert rows(verify.diff_tables(left, same, ["k"])) == [(1, "MATCH", "")]
     assert rows(verify.diff_tables(left, other, ["k"])) == [(1, "CHANGED", "m")]
+
+
+def test_row_text_by_projections_spells_the_same(spark):
+    import random
+
+    dice = random.Random(1)
+    odd = [0.0, -0.0, 1.5, -2.25, 1e-320, 5e-324, 1e300, -1e22, 2.0**53, 2.0**53 - 0.5, 0.1, 1 / 3, 123456.789, float("nan"), float("inf"), float("-inf"), None]
+    data = [(v, f"t|{i}", i if i % 3 else None) for i, v in enumerate(odd + [dice.uniform(-1, 1) * 10 ** dice.randint(-40, 40) for _ in range(300)])]
+    df = spark.createDataFrame(data, "d double, `a b` string, n int").withColumn("f", F.col("d").cast("float")).withColumn("l", F.array("d", "f"))
+    both = verify.with_row_text(df.withColumn("_plain", verify.row_text(df)), "_text", df.columns)
+    assert both.where(~F.col("_plain").eqNullSafe(F.col("_text"))).count() == 0
