@@ -128,15 +128,16 @@ def _rows_of(source: DataFrame, plan: CopyPlan, wave: DataFrame, low: int | None
     return keyed.join(wave.select(F.col("chunk_id").alias("_chunk_id")), "_chunk_id", "left_semi")
 
 
-def _checked_rows(source: DataFrame, plan: CopyPlan, wave: DataFrame, low: int | None, high: int | None) -> DataFrame:
-    """A wave's rows as they are written, with ``_held``."""
+def _checked_rows(source: DataFrame, plan: CopyPlan, wave: DataFrame, low: int | None, high: int | None, choose: bool = True) -> DataFrame:
+    """A wave's rows as they are written, with ``_held``. ``choose`` is unset where no row
+    of a repeated key has to be chosen."""
     rows = convert_columns(_rows_of(source, plan, wave, low, high), plan.kinds, plan.source_engine, plan.target_engine)
     rules = list(plan.rules) if low is not None else [*[quality.not_null(k) for k in plan.key_columns], *plan.rules]
-    if plan.order and not rules:
+    if choose and plan.order and not rules:
         rows = latest_per_key(rows, plan.key_columns, [plan.order])
     if plan.order and plan.rules and len(plan.key_columns) > 1:
         raise ValueError("rows of a repeated key are chosen for keys of one column")
-    checked = quality.check_rows(rows, rules, plan.key if plan.order and plan.rules else None, plan.order)
+    checked = quality.check_rows(rows, rules, plan.key if choose and plan.order and plan.rules else None, plan.order)
     return checked.withColumn("_held", F.size("reasons") > 0)
 
 
@@ -155,19 +156,21 @@ def _copy_wave(spark: SparkSession, source: DataFrame, root: str, plan: CopyPlan
 
 def _broken(source: DataFrame, plan: CopyPlan, chunks: DataFrame, low: int, high: int) -> dict[int, str]:
     """The chunks from ``low`` to ``high`` whose rows cannot be read, with the error. The
-    span is halved until each stands alone; nothing is written."""
-    spans, found = [(low, high)], {}
+    span, which is known to fail as a whole, is halved until each stands alone; nothing is
+    written."""
+    halves = lambda low, middle, high: [(middle + plan.stride, high), (low, middle)]
+    middle_of = lambda low, high: low + (high - low) // plan.stride // 2 * plan.stride
+    spans, found = halves(low, middle_of(low, high), high), {}
     while spans:
         low, high = spans.pop()
         wave = chunks.where(F.col("chunk_start").between(low, high))
         try:
-            _checked_rows(source, plan, wave, low, high).write.format("noop").mode("overwrite").save()
+            _checked_rows(source, plan, wave, low, high, choose=False).write.format("noop").mode("overwrite").save()
         except Exception as error:
             if low == high:
                 found[low] = str(error)
                 continue
-            middle = low + (high - low) // plan.stride // 2 * plan.stride
-            spans += [(middle + plan.stride, high), (low, middle)]
+            spans += halves(low, middle_of(low, high), high)
     return found
 
 
