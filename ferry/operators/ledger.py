@@ -140,17 +140,20 @@ def drop_restarted_changes(changes: DataFrame, restarted: DataFrame) -> DataFram
 
 
 def recovery_options(jobs: DataFrame, checkpoints: DataFrame, changes: DataFrame) -> DataFrame:
-    """What can be done with each job. The list of all checkpoints is
+    """What can be done with each job, with its state, its newest checkpoint and its
+    events by outcome (null for a job without events). The list of all checkpoints is
     ``explore.newest_first(checkpoints)``; here it is counted."""
     newest = latest_per_key(checkpoints, ["migration_id"], ["created_at", "checkpoint_id"]).select(
         "migration_id",
         F.col("checkpoint_id").alias("latest_checkpoint_id"),
         F.col("checkpoint_name").alias("latest_checkpoint_name"),
         F.col("rows_processed").alias("latest_rows_processed"),
+        F.col("progress_percent").alias("latest_progress_percent"),
+        F.col("created_at").alias("latest_created_at"),
     )
     counted = checkpoints.groupBy("migration_id").agg(F.count(F.lit(1)).alias("checkpoints"))
     joined = (
-        jobs.select("migration_id", "status")
+        jobs.select("migration_id", "status", "progress_percent", "rows_migrated", "error_message")
         .join(newest, "migration_id", "left")
         .join(counted, "migration_id", "left")
         .join(change_counts(changes), "migration_id", "left")
@@ -159,6 +162,9 @@ def recovery_options(jobs: DataFrame, checkpoints: DataFrame, changes: DataFrame
     return joined.select(
         "migration_id",
         "status",
+        "progress_percent",
+        "rows_migrated",
+        "error_message",
         has.alias("can_rollback"),
         (has & F.col("status").isin("FAILED", "PAUSED")).alias("can_resume"),
         F.lit(True).alias("can_restart"),
@@ -166,5 +172,10 @@ def recovery_options(jobs: DataFrame, checkpoints: DataFrame, changes: DataFrame
         "latest_checkpoint_id",
         "latest_checkpoint_name",
         "latest_rows_processed",
+        "latest_progress_percent",
+        "latest_created_at",
         F.coalesce("checkpoints", F.lit(0).cast("bigint")).alias("checkpoints"),
+        "total_events",
+        "processed_events",
+        "failed_events",
     )

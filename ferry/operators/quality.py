@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,7 +65,23 @@ def split_rows(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(~bad).drop("reasons"), checked.where(bad)
 
 
-def referential_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Rows whose key has no parent. A null key is allowed."""
-    parents = parent.select(F.col(pk).alias(fk)).where(F.col(fk).isNotNull())
-    return child.where(F.col(fk).isNotNull()).join(parents, fk, "left_anti")
+def referential_violations(
+    child: DataFrame, fk: str | Sequence[str], parent: DataFrame, pk: str | Sequence[str], full: bool = False
+) -> DataFrame:
+    """Rows whose key has no parent, for keys of one column or of several.
+
+    A key with a null in any column is allowed (SQL's MATCH SIMPLE); with ``full`` only
+    one whose columns are all null is, and a key that is null in part is a violation.
+    Rows without a whole key never enter the join. Columns of the two tables may bear
+    the same names; parents may repeat; all columns of ``child`` come back.
+    """
+    fk, pk = ([k] if isinstance(k, str) else list(k) for k in (fk, pk))
+    if len(fk) != len(pk):
+        raise ValueError(f"{fk} refers to {pk}")
+    parents = parent.select(*[F.col(p).alias(f"_parent_{i}") for i, p in enumerate(pk)])
+    whole = reduce(and_, [F.col(c).isNotNull() for c in fk])
+    same = reduce(and_, [F.col(c) == F.col(f"_parent_{i}") for i, c in enumerate(fk)])
+    orphans = child.where(whole).join(parents, same, "left_anti")
+    if not full:
+        return orphans
+    return orphans.unionByName(child.where(~whole & reduce(or_, [F.col(c).isNotNull() for c in fk])))

@@ -174,6 +174,34 @@ def referential_violations(t: Inputs):
     return quality.referential_violations(t.dirty, "c_nationkey", t.nation, "n_nationkey")
 
 
+_TURNS = "select conv_id, turn, case when turn > 0 then turn - 1 end as previous, role from conversations"
+
+
+@query(
+    "referential_violations_composite",
+    f"""select * from ({_TURNS}) c where conv_id is not null and previous is not null
+          and not exists (select 1 from conversations p where p.conv_id = c.conv_id and p.turn = c.previous and p.role <> 'user')""",
+)
+def referential_violations_composite(t: Inputs):
+    """Turns whose turn before is missing or the user's; first turns refer to none."""
+    turns = t.conversations.select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("turn") - 1).alias("previous"), "role")
+    others = t.conversations.where(F.col("role") != "user")
+    return quality.referential_violations(turns, ["conv_id", "previous"], others, ["conv_id", "turn"])
+
+
+@query(
+    "referential_violations_full",
+    f"""select * from ({_TURNS}) c where (conv_id is not null and previous is null) or (conv_id is null and previous is not null)
+          or (conv_id is not null and previous is not null
+            and not exists (select 1 from conversations p where p.conv_id = c.conv_id and p.turn = c.previous and p.role <> 'assistant'))""",
+)
+def referential_violations_full(t: Inputs):
+    """MATCH FULL against the turns that are not the assistant's: a key null in part is told."""
+    turns = t.conversations.select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("turn") - 1).alias("previous"), "role")
+    others = t.conversations.where(F.col("role") != "assistant")
+    return quality.referential_violations(turns, ["conv_id", "previous"], others, ["conv_id", "turn"], full=True)
+
+
 # ---- masking ---------------------------------------------------------------
 
 _EMAIL = (

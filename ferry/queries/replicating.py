@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferry.inputs import Inputs
-from ferry.operators import metrics
+from ferry.operators import metrics, notify
 from ferry.queries.registry import query
 from ferry.session import fresh_dir
 from ferry.sources import target as store
@@ -269,6 +269,19 @@ def high_lag_alerts(t: Inputs):
     return changes.high_lag_alerts(changes.replication_lag(t.change_events), 590)
 
 
+@query(
+    "fan_out_subscriptions",
+    f"""with a as (select 'HIGH_REPLICATION_LAG' as event_type, migration_id, table_name, max_lag_seconds, last_lsn from ({_LAGS}) where max_lag_seconds > 590)
+       select s.config_id, s.notification_type, a.*, 'PENDING' as status
+       from a join subscriptions s on s.enabled and (s.subscribed_events = '[]' or contains(s.subscribed_events, '"' || a.event_type || '"'))""",
+    (*_CHANGES, "subscriptions"),
+)
+def fan_out_subscriptions(t: Inputs):
+    """Every alert of a lagging table goes to everyone subscribed to such alerts."""
+    alerts = changes.high_lag_alerts(changes.replication_lag(t.change_events), 590)
+    return notify.fan_out(alerts, t.subscriptions, salts=16)
+
+
 @query(
     "event_rate_windows",
     """select date_trunc('minute', change_timestamp) as window_start, date_trunc('minute', change_timestamp) + interval 1 minute as window_end,

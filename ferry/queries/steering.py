@@ -224,11 +224,13 @@ def restart_state(t: Inputs):
 @query(
     "recovery_options",
     f"""with n as (select migration_id, count(*) as checkpoints from checkpoints group by 1),
-         e as (select migration_id, count(*) filter (where status = 'FAILED') as f, count(*) filter (where status = 'PROCESSED') as p from change_events group by 1)
-       select j.migration_id, j.status, c.checkpoint_id is not null as can_rollback,
+         e as (select migration_id, count(*) as t, count(*) filter (where status = 'FAILED') as f, count(*) filter (where status = 'PROCESSED') as p
+           from change_events group by 1)
+       select j.migration_id, j.status, j.progress_percent, j.rows_migrated, j.error_message, c.checkpoint_id is not null as can_rollback,
          c.checkpoint_id is not null and j.status in ('FAILED', 'PAUSED') as can_resume, true as can_restart, e.f = 0 and e.p > 0 as can_resume_cdc,
          c.checkpoint_id as latest_checkpoint_id, c.checkpoint_name as latest_checkpoint_name, c.rows_processed as latest_rows_processed,
-         coalesce(n.checkpoints, 0) as checkpoints
+         c.progress_percent as latest_progress_percent, c.created_at as latest_created_at,
+         coalesce(n.checkpoints, 0) as checkpoints, e.t as total_events, e.p as processed_events, e.f as failed_events
        from jobs j left join {_NEWEST_CHECKPOINT} c using (migration_id) left join n using (migration_id) left join e using (migration_id)""",
     ("jobs", "checkpoints", "change_events"),
 )
@@ -700,13 +702,13 @@ def notification_history(t: Inputs):
 
 
 @query(
-    "fan_out_subscriptions",
+    "fan_out_daily_digest",
     """with a as (select event_type, cast(created_at as date) as day, count(*) as events from notifications group by 1, 2)
        select s.config_id, s.notification_type, a.event_type, a.day, a.events, 'PENDING' as status
        from a join subscriptions s on s.enabled and (s.subscribed_events = '[]' or contains(s.subscribed_events, '"' || a.event_type || '"'))""",
     ("notifications", "subscriptions"),
 )
-def fan_out_subscriptions(t: Inputs):
+def fan_out_daily_digest(t: Inputs):
     """A daily digest per event type goes to everyone subscribed to it."""
     digest = t.notifications.groupBy("event_type", F.col("created_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("events"))
     return notify.fan_out(digest, t.subscriptions)

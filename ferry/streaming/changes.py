@@ -334,14 +334,27 @@ def event_rate_windows(changes: DataFrame, width: str = "1 minute", late: str =
 
 def start_progress_feed(stream: DataFrame, feed: str, checkpoint: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
     """Running counts per migration: each micro-batch appends the rows that
-    changed, ``read_feed`` gives the newest."""
+    changed, ``read_feed`` gives the newest.
+
+    Parts are named by the checkpoint's identity and the batch, so a checkpoint made
+    anew writes beside the rows of the one before and takes none of them away.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("feed_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{feed}/part={batch_id}")
+        part = f"{_checkpoint_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        batch.withColumn("feed_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{feed}/part={part}")
 
     writer = change_counts(stream).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def read_feed(spark: SparkSession, feed: str) -> DataFrame:
-    return latest_per_key(spark.read.parquet(feed).drop("part"), ["migration_id"], ["feed_batch"]).drop("feed_batch")
+    """The newest counts of each migration. Counts only grow, so what a new checkpoint
+    tells while it reads the events again does not take the place of more of them."""
+    return latest_per_key(spark.read.parquet(feed).drop("part"), ["migration_id"], ["total_events", "feed_batch"]).drop("feed_batch")
+
+
+def compact_feed(spark: SparkSession, feed: str, into: str) -> None:
+    """The feed with one row per migration, as a feed that can be read and continued."""
+    newest = latest_per_key(spark.read.parquet(feed).drop("part"), ["migration_id"], ["total_events", "feed_batch"])
+    newest.write.mode("errorifexists").parquet(f"{into}/part=compacted")
