@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ferry.inputs import Inputs
 from ferry.operators import metrics, notify
+from ferry.plans.copy import CopyPlan
 from ferry.queries.registry import query
 from ferry.session import fresh_dir
 from ferry.sources import target as store
-from ferry.streaming import changes
+from ferry.streaming import changes, snapshot
 
 ROW = "id bigint, value double, k int"
 _CHANGES = ("change_events",)
@@ -97,6 +98,31 @@ def cdc_full_load_then_changes(t: Inputs):
     return changes.replicate(t.spark, fresh_dir(t.spark, "replica"), "FULL_LOAD_AND_CDC", _loaded(t), batches, ROW, "id")
 
 
+@query("cdc_load_between_changes", _LOADED_AND_APPLIED, _CHANGES)
+def cdc_load_between_changes(t: Inputs):
+    """A load in four spans of keys. Each span is read at a later state of the table than
+    its mark says, and a quarter of the changes is applied after it, the last quarter first."""
+    load, root, events = fresh_dir(t.spark, "load"), fresh_dir(t.spark, "replica"), t.change_events
+    last = events.agg(F.max("event_id")).first()[0]
+    quarter = [last * i // 4 for i in range(5)]
+    plan = CopyPlan(1, "customer", "id", max(1, t.customer.count() // 8))
+
+    def table_after(event: int):
+        """The source table once the events up to this one have happened."""
+        done = changes.collapse_changes(changes.keyed_changes(events.where(F.col("event_id") <= event), ROW, "id"), "id")
+        kept = _loaded(t).join(done, "id", "left_anti")
+        return kept.unionByName(done.where(~F.col("_deleted")).select(*kept.columns))
+
+    for i, span in enumerate(snapshot.key_spans(_loaded(t), plan, 4)):
+        mark = snapshot.last_position(events.where(F.col("event_id") <= quarter[i]))
+        snapshot.load_span(t.spark, table_after(quarter[min(i + 1, 4)]), load, plan, span, mark, "2024-01-01 00:00:00")
+        snapshot.apply_load(t.spark, load, root, ["id"], f"load-{i}")
+        low, high = quarter[3 - i % 4], quarter[4 - i % 4]
+        now = events.where((F.col("event_id") >= (low + 1 if low else 0)) & (F.col("event_id") <= high))
+        changes.apply_changes(t.spark, root, now, ROW, "id", f"changes-{i}")
+    return store.read_target(t.spark, root)
+
+
 @query(
     "cdc_late_events",
     """, x as (select event_id, coalesce(cast(json_extract_string(before_data, '$.id') as bigint), cast(json_extract_string(after_data, '$.id') as bigint)) as id from change_events),
