@@ -10,7 +10,7 @@ from ferry.plans.copy import CopyPlan
 from ferry.queries.registry import query
 from ferry.session import fresh_dir
 from ferry.sources import target as store
-from ferry.streaming import changes, snapshot
+from ferry.streaming import changes, silence, snapshot
 
 ROW = "id bigint, value double, k int"
 _CHANGES = ("change_events",)
@@ -326,3 +326,32 @@ def event_rate_windows(t: Inputs):
 def stale_workers(t: Inputs):
     beats = t.events.select(F.col("user_id").alias("worker_id"), F.col("ts").alias("seen_at"))
     return metrics.stale_workers(beats, "2024-01-31 00:00:00", 43200)
+
+
+_SILENCE = """with b as (select user_id as worker_id, ts, lag(ts) over (partition by user_id order by ts) as prev from events),
+       l as (select user_id as worker_id, max(ts) as prev from events group by 1)
+       select worker_id, 'SILENT' as notice, prev as since, prev + interval 43200 second as told_at from b where ts - prev > interval 43200 second
+       union all select worker_id, 'BACK', prev, ts from b where ts - prev > interval 43200 second
+       union all select worker_id, 'SILENT', prev, prev + interval 43200 second from l where (select max(ts) from events) - prev > interval 43200 second"""
+
+
+@query("silence_notices", _SILENCE)
+def silence_notices(t: Inputs):
+    """Every silence of more than twelve hours, and the beat that ends it."""
+    beats = t.events.select(F.col("user_id").alias("worker_id"), F.col("ts").alias("seen_at"))
+    return silence.silence_notices(beats, beats.agg(F.max("seen_at")).first()[0], 43200)
+
+
+@query("silence_watch", _SILENCE)
+def silence_watch(t: Inputs):
+    """The same from a stream that is stopped twice: beats of a worker may fall silent in
+    one run and come back in a later one."""
+    root, checkpoint, folder = (fresh_dir(t.spark, n) for n in ("watch", "stream", "drop"))
+    beats = t.events.select(F.col("user_id").alias("worker_id"), F.col("ts").alias("seen_at"))
+    first, second = F.lit("2024-01-09 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-19 12:00:00").cast("timestamp_ntz")
+    at = F.col("seen_at")
+    for part in (beats.where(at < first), beats.where((at >= first) & (at < second)), beats.where(at >= second)):
+        part.write.mode("append").parquet(folder)
+        stream = changes.change_source(t.spark, folder, schema=beats.schema)
+        silence.start_silence_watch(stream, root, checkpoint, 43200).awaitTermination()
+    return silence.read_notices(t.spark, root)
