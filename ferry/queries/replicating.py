@@ -100,26 +100,35 @@ def cdc_full_load_then_changes(t: Inputs):
 
 @query("cdc_load_between_changes", _LOADED_AND_APPLIED, _CHANGES)
 def cdc_load_between_changes(t: Inputs):
-    """A load in four spans of keys. Each span is read at a later state of the table than
-    its mark says, and a quarter of the changes is applied after it, the last quarter first."""
+    """A load in two spans of keys. Each span is read at a later state of the table than its
+    mark says. A third of the changes is applied before the load, the last third first; what
+    is loaded meets the target after the first span, and at the end."""
     load, root, events = fresh_dir(t.spark, "load"), fresh_dir(t.spark, "replica"), t.change_events
     last = events.agg(F.max("event_id")).first()[0]
-    quarter = [last * i // 4 for i in range(5)]
-    plan = CopyPlan(1, "customer", "id", max(1, t.customer.count() // 8))
+    third = [-1, last // 3, 2 * last // 3, last]
+    plan = CopyPlan(1, "customer", "id", max(1, t.customer.count() // 6))
 
     def table_after(event: int):
         """The source table once the events up to this one have happened."""
         done = changes.collapse_changes(changes.keyed_changes(events.where(F.col("event_id") <= event), ROW, "id"), "id")
         kept = _loaded(t).join(done, "id", "left_anti")
-        return kept.unionByName(done.where(~F.col("_deleted")).select(*kept.columns))
+        path = fresh_dir(t.spark, "source")
+        kept.unionByName(done.where(~F.col("_deleted")).select(*kept.columns)).write.parquet(path)
+        return t.spark.read.parquet(path)
 
-    for i, span in enumerate(snapshot.key_spans(_loaded(t), plan, 4)):
-        mark = snapshot.last_position(events.where(F.col("event_id") <= quarter[i]))
-        snapshot.load_span(t.spark, table_after(quarter[min(i + 1, 4)]), load, plan, span, mark, "2024-01-01 00:00:00")
-        snapshot.apply_load(t.spark, load, root, ["id"], f"load-{i}")
-        low, high = quarter[3 - i % 4], quarter[4 - i % 4]
-        now = events.where((F.col("event_id") >= (low + 1 if low else 0)) & (F.col("event_id") <= high))
+    def apply_third(i: int) -> None:
+        now = events.where((F.col("event_id") > third[i]) & (F.col("event_id") <= third[i + 1]))
         changes.apply_changes(t.spark, root, now, ROW, "id", f"changes-{i}")
+
+    apply_third(2)
+    spans = snapshot.key_spans(_loaded(t), plan, 2)
+    for i, span in enumerate(spans):
+        mark = snapshot.last_position(events.where(F.col("event_id") <= third[i]))
+        snapshot.load_span(t.spark, table_after(third[i + 1]), load, plan, span, mark, "2024-01-01 00:00:00")
+        snapshot.apply_load(t.spark, load, root, ["id"], f"load-{i}")
+        apply_third(i)
+    for i in range(len(spans), 2):
+        apply_third(i)
     return store.read_target(t.spark, root)
 
 
