@@ -30,11 +30,17 @@ def _loaded(t: Inputs):
     return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"), F.lit(0).alias("k"))
 
 
-def _drop(t: Inputs, files: int) -> str:
-    """All change events as files in a folder, as a capture process leaves them."""
+#: Change events in one dropped file, which one task sorts and writes.
+EVENTS_PER_FILE = 500_000
+
+
+def _drop(t: Inputs, files: int) -> tuple[str, int]:
+    """All change events as files in a folder, as a capture process leaves them, and how
+    many of the files are half of them. With more events come more files, not larger ones."""
     folder = fresh_dir(t.spark, "drop")
+    files = max(files, -(-t.change_events.count() // EVENTS_PER_FILE))
     t.change_events.repartitionByRange(files, "event_id").sortWithinPartitions("event_id").write.parquet(folder)
-    return folder
+    return folder, -(-files // 2)
 
 
 @query(
@@ -224,7 +230,8 @@ def cdc_apply_tables(t: Inputs):
 def cdc_source(t: Inputs):
     """Poll a folder in micro-batches and append what comes in."""
     out = fresh_dir(t.spark, "polled")
-    stream = changes.change_source(t.spark, _drop(t, 4), files_per_batch=2)
+    folder, half = _drop(t, 4)
+    stream = changes.change_source(t.spark, folder, files_per_batch=half)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", fresh_dir(t.spark, "stream"))
     writer.trigger(availableNow=True).start(out).awaitTermination()
     return t.spark.read.parquet(out)
@@ -234,7 +241,8 @@ def cdc_source(t: Inputs):
 def cdc_apply(t: Inputs):
     root = fresh_dir(t.spark, "replica")
     changes.replicate(t.spark, root, "FULL_LOAD", _loaded(t), [], ROW, "id")
-    stream = changes.change_source(t.spark, _drop(t, 2), files_per_batch=1)
+    folder, half = _drop(t, 2)
+    stream = changes.change_source(t.spark, folder, files_per_batch=half)
     changes.start_apply(stream, root, fresh_dir(t.spark, "stream"), ROW, "id").awaitTermination()
     return store.read_target(t.spark, root)
 
@@ -261,7 +269,8 @@ def cdc_resume(t: Inputs):
 )
 def progress_feed(t: Inputs):
     feed = fresh_dir(t.spark, "feed")
-    stream = changes.change_source(t.spark, _drop(t, 4), files_per_batch=2)
+    folder, half = _drop(t, 4)
+    stream = changes.change_source(t.spark, folder, files_per_batch=half)
     changes.start_progress_feed(stream, feed, fresh_dir(t.spark, "stream")).awaitTermination()
     return changes.read_feed(t.spark, feed)
 
