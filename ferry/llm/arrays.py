@@ -7,12 +7,15 @@ so words can be cut and lower-cased on the bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is handled alone, whole.
 BLOCK = 1 << 21
+#: Bytes hashed at a time, so that their numbers stay in a processor's cache.
+PIECE = 1 << 15
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -53,6 +56,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+@lru_cache(maxsize=1)
+def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, n), _powers(_INVERSE, n)
+
+
 class Words:
     """Words between white space, A-Z in lower case: where they are and their hashes."""
 
@@ -69,11 +77,24 @@ class Words:
         self.at = np.searchsorted(self.start, offsets)
 
     def hashes(self) -> np.ndarray:
-        """One 64-bit hash per word, from one running sum over all bytes."""
-        n = len(self.data)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + _U(1)) * _powers(_BASE, n), out=total[1:])
-        return mixed((total[self.end] - total[self.start]) * _powers(_INVERSE, n + 1)[self.start])
+        """One 64-bit hash per word, from a running sum over the bytes of a piece. Pieces are
+        cut between words; a longer word is a piece of its own."""
+        out = np.empty(len(self.start), dtype=np.uint64)
+        lo = 0
+        while lo < len(out):
+            first = self.start[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.end, first + PIECE, side="right")))
+            start, end = self.start[lo:hi] - first, self.end[lo:hi] - first
+            n = int(end[-1])
+            up, down = _both_powers(PIECE) if n <= PIECE else (_powers(_BASE, n), _powers(_INVERSE, 1))
+            value = self.data[first : first + n].astype(np.uint64)
+            value += _U(1)
+            value *= up[:n]
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(value, out=total[1:])
+            out[lo:hi] = mixed((total[end] - total[start]) * down[start])
+            lo = hi
+        return out
 
     def shingles(self, width: int) -> Iterator[np.ndarray]:
         """Sorted distinct shingle hashes of every document; fewer words make one shingle."""
